@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_chunks, extendible, host_reputation, packing, quality_forest, rank_profiles
+from . import bpe_chunks, extendible, host_reputation, minhash_forest, packing, phrase_fingerprints, quality_forest, rank_profiles
 
 URL_RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
 #: Share of good pages that a host should reach, and bytes of a shard (small, as the test tables are).
@@ -29,6 +29,14 @@ def op1_host_reputation(spark, sf_dir):
     return host_reputation.filter_urls(pages, page_outcomes(pages, table(spark, sf_dir, "labels")), URL_RULES, least_good=LEAST_GOOD)
 
 
+def op2_phrase_fingerprints(spark, sf_dir):
+    return phrase_fingerprints.compare_edited(table(spark, sf_dir, "documents"))
+
+
+def op8_minhash_forest(spark, sf_dir):
+    return minhash_forest.jaccard_groups(table(spark, sf_dir, "documents")).drop("row")
+
+
 def op3_bpe_chunks(spark, sf_dir):
     return bpe_chunks.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -52,7 +60,7 @@ def op10_extendible(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op1_host_reputation, op3_bpe_chunks, op4_quality_forest, op7_packing, op9_rank_profiles, op10_extendible)}
+    return {f.__name__: f for f in (op1_host_reputation, op2_phrase_fingerprints, op8_minhash_forest, op3_bpe_chunks, op4_quality_forest, op7_packing, op9_rank_profiles, op10_extendible)}
 
 
 def oracle_sql():
