@@ -85,7 +85,7 @@ def shard(docs: DataFrame, limit: int = LIMIT, text: str = "text", doc_id: str =
     found = rows.join(entries, _prefix(F.col("h"), bits) == F.col("slot"), "left").withColumn(
         "leaf", F.expr(f"filter(entries, e -> shiftright(h, {BITS} - e.depth) = e.prefix)[0]")
     )
-    flat = found.select(doc_id, *keep, "h", "bytes", "leaf.depth", "leaf.prefix", "leaf.leaf_bytes", "leaf.rows")
+    flat = found.select(doc_id, *keep, "h", "bytes", F.col("leaf.depth").cast("long").alias("depth"), "leaf.prefix", "leaf.leaf_bytes", "leaf.rows")
     over = leaves.where((F.col("bytes") > limit) & (F.col("rows") > 1))
     if over.isEmpty():
         return flat.select(doc_id, *keep, "bytes", "depth", "prefix", F.lit(0).cast("long").alias("overflow"))

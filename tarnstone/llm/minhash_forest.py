@@ -158,13 +158,14 @@ def jaccard_groups(
     trees: int = TREES,
     recall: float = RECALL,
 ) -> DataFrame:
-    """One row per row: doc_id, class_id, n_links, row.
+    """One row per row: doc_id, class_id, n_links, row, group.
 
     class_id is the least doc_id in the row's group of linked rows (its own, if it has no link); n_links counts the other
     rows at least `threshold` alike, copies of the same text included. Rows without words, null texts among them, have no links. Texts of
     fewer than `width` words are one shingle. Rows are counted one by one, repeated ones too. Null ids never give a
     class_id unless a group has no other. An empty table gives an empty result. Only the two named columns are read;
-    `row` is a hash of them.
+    `row` is a hash of
+    them, `group` that of the group's representative.
     """
     depth = prefix_length(threshold, trees, LABEL, recall)
     members = checkpointed(signatures(docs, text, doc_id, width, trees, depth))
@@ -187,9 +188,19 @@ def jaccard_groups(
     known = counted.join(group, counted["row"] == group["node"]).select(F.col("row").alias("rep"), "links", "component")
     of_class = classes.join(known, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     least = of_class.groupBy("component").agg(F.min("first_id").alias("class_id"))
-    of_class = of_class.join(least, "component").select("k1", "k2", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    out = worded.select("doc_id", "row", "k1", "k2").join(of_class, ["k1", "k2"]).select("doc_id", "class_id", "n_links", "row")
-    return out.unionByName(members.where("n = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), "row"))
+    of_class = of_class.join(least, "component").select("k1", "k2", "class_id", F.col("component").alias("group"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    out = worded.select("doc_id", "row", "k1", "k2").join(of_class, ["k1", "k2"]).select("doc_id", "class_id", "n_links", "row", "group")
+    alone = members.where("n = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), "row", F.col("row").alias("group"))
+    return out.unionByName(alone)
+
+
+def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
+    """The rows of `docs` that stand for their groups, with all their columns: of each group the row of least doc_id (nulls
+    last), then of least hash; of repeated rows one."""
+    groups = jaccard_groups(docs, text, doc_id, **options)
+    best = groups.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("best")).select(F.col("best.row").alias("_kept"))
+    marked = docs.withColumn("_row", F.xxhash64(doc_id, text)).join(best, F.col("_row") == F.col("_kept"))
+    return marked.dropDuplicates(["_row"]).select(*docs.columns)
 
 
 def _verified(texts: DataFrame, width: int, threshold: float) -> DataFrame:
