@@ -164,7 +164,8 @@ def compare_edited(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next. Only the two named columns are read.
     """
     rows = with_next(docs, doc_id, text)
-    dealt = rows.repartition(partitions(docs.sparkSession), "_range").sortWithinPartitions("_range", "ghost", F.desc_nulls_last("doc_id"), "_tie")
+    parts = partitions(docs.sparkSession)
+    dealt = rows.repartitionById(parts, F.pmod("_range", F.lit(parts))).sortWithinPartitions("_range", "ghost", F.desc_nulls_last("doc_id"), "_tie")
 
     def run(batches):
         held, out = None, []
