@@ -98,8 +98,9 @@ def score(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
     the target model is uniform. An empty table gives an empty result. Only the named columns are read.
     """
     marks = labels.groupBy(F.col(doc_id).alias("_id")).agg((F.min(good) > 0).alias("target")).where("target and _id is not null")
-    told = docs.select(doc_id, text).join(marks, F.col(doc_id) == F.col("_id"), "left").select(text, "target")
-    table = checkpointed(model(counts(told, text), mu))
+    # labels grow with the corpus, so this is a sort-merge join at every size
+    told = docs.select(doc_id, text).join(marks.hint("merge"), F.col(doc_id) == F.col("_id"), "left").select(text, "target")
+    table = checkpointed(model(checkpointed(counts(told, text)), mu))
     rows = table.count()
     # a first cut by count, so that each task offers only its share of the head
     least = table.approxQuantile("background", [1 - 2 * head / rows], 0.1 * head / rows)[0] if rows > 4 * head else 0
