@@ -7,7 +7,8 @@ document that has them.
 
 Lines are counted by hash first, so a line that a third of all documents share is one row before anything is
 grouped. Similarity is taken over up to 32 evenly spaced positions, which a line carries as one byte each. Leaves of
-more than `LEAF_LINES` different lines descend by eight more positions; what is still too wide there counts exact lines only.
+more than `LEAF_LINES` different lines descend by eight more positions at a time; lines alike at all 32 are one template
+by an aggregation, however many they are.
 """
 
 from __future__ import annotations
@@ -100,11 +101,15 @@ def recurring(docs: DataFrame, text: str, doc_id: str, min_docs: int, min_tokens
     leaves = exact.groupBy("leaf").agg(F.count("*").alias("lines"), F.sum("docs").alias("all")).where((F.col("lines") > 1) & (F.col("all") >= min_docs))
     pool = exact.where(F.col("n") >= MIN_GENERAL).join(leaves.select("leaf", "lines"), "leaf")
     narrow = pool.where(F.col("lines") <= LEAF_LINES).withColumn("sub", F.lit(0).cast("long"))
-    wide = pool.where(F.col("lines") > LEAF_LINES)
-    few = wide.groupBy("leaf", "s1").agg(F.count("*").alias("subs")).where(F.col("subs").between(2, LEAF_LINES)).select("leaf", "s1")
-    deep = wide.join(few, ["leaf", "s1"]).withColumn("sub", F.col("s1"))
+    wide = checkpointed(pool.where(F.col("lines") > LEAF_LINES).select("leaf", "n", "exact", "docs", "first_id", *_WORDS))
+    paths = [["leaf", *_WORDS[:k]] for k in range(1, len(_WORDS) + 1)]
+    deep, sub = wide, F.lit(None)
+    for k, path in enumerate(paths):
+        deep = deep.join(wide.groupBy(*path).agg(F.count("*").alias(f"at{k}")), path)
+        sub = F.coalesce(sub, F.when(F.col(f"at{k}") <= LEAF_LINES, F.xxhash64(F.lit(k), *path)))
+    deep = deep.withColumn("sub", sub)
     cols = ["leaf", "sub", "n", "exact", "docs", "first_id", *_WORDS]
-    dealt = narrow.select(*cols).unionByName(deep.select(*cols)).repartition(partitions(docs.sparkSession), "leaf", "sub").sortWithinPartitions("leaf", "sub", "n", F.desc("docs"), "exact")
+    dealt = narrow.select(*cols).unionByName(deep.where(F.col("sub").isNotNull()).select(*cols)).repartition(partitions(docs.sparkSession), "leaf", "sub").sortWithinPartitions("leaf", "sub", "n", F.desc("docs"), "exact")
 
     def run(batches):
         held, key = [], None
@@ -132,8 +137,13 @@ def recurring(docs: DataFrame, text: str, doc_id: str, min_docs: int, min_tokens
             yield settle()
 
     general = dealt.mapInArrow(run, "exact bigint, first_id bigint")
+    # lines alike at every position are one template, however many they are
+    filled = sum((F.shiftrightunsigned(w, 8 * k).bitwiseAND(F.lit(255)) != 0).cast("int") for w in _WORDS for k in range(8))
+    alike = deep.where(F.col("sub").isNull() & (filled >= similarity * F.least("n", F.lit(POSITIONS)))).select(*paths[-1], "exact", "docs", "first_id")
+    often = alike.groupBy(*paths[-1]).agg(F.sum("docs").alias("all"), F.min("first_id").alias("least")).where(F.col("all") >= min_docs)
+    same = alike.join(often, paths[-1]).select("exact", F.col("least").alias("first_id"))
     plain = exact.where(F.col("docs") >= min_docs).select("exact", "first_id")
-    return general.unionByName(plain).groupBy("exact").agg(F.min("first_id").alias("first_id"))
+    return general.unionByName(same).unionByName(plain).groupBy("exact").agg(F.min("first_id").alias("first_id"))
 
 
 def drop_lines(

@@ -167,6 +167,18 @@ def test_lines(spark):
     assert got[2]["text"] == base[2][1].split("\n")[0] and got[None]["text"] is None and got[None]["n_lines"] == 0
 
 
+def test_wide_leaves(spark, monkeypatch):
+    monkeypatch.setattr(line_templates, "LEAF_LINES", 2)
+    words = [f"word{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(64)]
+    free = min({*range(3, 64)} - {i * 63 // 31 for i in range(32)})  # no sampled position
+    with_word = lambda at, w: " ".join([*words[:at], w, *words[at + 1 :]])
+    alike = [with_word(free, "x" * k) for k in range(1, 6)]
+    apart = [" ".join(["some", "other", "lead", *(f"{chr(97 + k)}{chr(97 + i)}" for i in range(20))]) for k in range(5)]
+    rows = spark.createDataFrame([(k, f"{alike[k]}\n{apart[k]}") for k in range(5)], "doc_id bigint, text string")
+    got = {r["doc_id"]: r["text"] for r in line_templates.drop_lines(rows).collect()}
+    assert got == {0: f"{alike[0]}\n{apart[0]}"} | {k: apart[k] for k in range(1, 5)}
+
+
 def test_difference_and_plan():
     assert sorted(np.bincount(packing.difference(np.array([8, 7, 6, 5, 4]), 2), [8, 7, 6, 5, 4])) == [14, 16]
     rng = random.Random(2)
