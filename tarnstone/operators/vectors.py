@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+BLOCKS, BLOCK_ROWS = 4, 2048
+
 
 def entries(rows: DataFrame, key: str = "vec_id", vector: str = "embedding", keep: tuple[str, ...] = ()) -> DataFrame:
     return rows.select(key, *keep, F.posexplode(vector).alias("dim", "x")).withColumn("x", F.col("x").cast("double"))
@@ -69,16 +71,35 @@ def gaussian_nb(train: DataFrame, test: DataFrame, key: str = "vec_id", vector:
     return scored.groupBy(key).agg(best.alias("pred"))
 
 
-def nearest(queries: DataFrame, data: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", with_self: bool = False, blocks: int = 4) -> DataFrame:
+def _paired(queries: DataFrame, data: DataFrame, key: str, vector: str, keep: tuple[str, ...] = ()):
+    """Both sides dealt into blocks of about `BLOCK_ROWS` rows, each pair of blocks a cogroup with columns id, v and `keep`.
+
+    Rows without a key or vector are left out.
+    """
+
+    def side(df, own, blocks, other, others):
+        dealt = F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias(own)
+        whole = df.where(F.col(key).isNotNull() & F.col(vector).isNotNull())
+        return whole.select(F.col(key).alias("id"), F.col(vector).alias("v"), *keep, dealt, F.explode(F.sequence(F.lit(0), F.lit(others - 1))).alias(other)).groupBy("qb", "db")
+
+    n, m = (max(BLOCKS, -(-df.count() // BLOCK_ROWS)) for df in (queries, data))
+    return side(queries, "qb", n, "db", m).cogroup(side(data, "db", m, "qb", n))
+
+
+def _gaps(left: pd.DataFrame, right: pd.DataFrame, rows: int = 32):
+    """(start, squared distances) of `rows` rows of `left` at a time to all rows of `right`."""
+    if len(left) and len(right):
+        x, y = np.stack(left["v"].to_numpy()).astype(float), np.stack(right["v"].to_numpy()).astype(float)
+        for s in range(0, len(x), rows):
+            yield s, ((x[s : s + rows, None, :] - y[None, :, :]) ** 2).sum(2)
+
+
+def nearest(queries: DataFrame, data: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", with_self: bool = False) -> DataFrame:
     """(i, j, d2, rank): the k nearest rows of `data` (ties by id) of every row of `queries`, exactly.
 
     Queries and data are dealt into blocks; each pair of blocks is one bounded task that keeps its local k best, and the
     best of the blocks are ranked per query. Squared Euclidean distances to six places.
     """
-    side = lambda df, name: df.select(F.col(key).alias("id"), F.col(vector).alias("v"), F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias(name))
-    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    q = side(queries, "qb").withColumn("db", every)
-    d = side(data, "db").withColumn("qb", every)
 
     def match(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
@@ -96,7 +117,7 @@ def nearest(queries: DataFrame, data: DataFrame, k: int, key: str = "vec_id", ve
                 out.append(pd.DataFrame({"i": a[s + r], "j": b[top], "d2": d2[r][top]}))
         return pd.concat(out, ignore_index=True)
 
-    found = q.groupBy("qb", "db").cogroup(d.groupBy("qb", "db")).applyInPandas(match, "i bigint, j bigint, d2 double")
+    found = _paired(queries, data, key, vector).applyInPandas(match, "i bigint, j bigint, d2 double")
     ranked = found.withColumn("rank", F.row_number().over(W.partitionBy("i").orderBy("d2", "j")))
     return ranked.where(F.col("rank") <= k)
 
@@ -157,11 +178,15 @@ def double_centred(distances: DataFrame) -> DataFrame:
 
 
 def all_distances(rows: DataFrame, key: str = "vec_id", vector: str = "embedding", dims: int | None = None) -> DataFrame:
-    """(i, j, d2) of all ordered pairs, for the small inputs that classical scaling takes."""
-    v = F.slice(vector, 1, dims) if dims else F.col(vector)
-    a, b = rows.select(F.col(key).alias("i"), v.alias("x")), rows.select(F.col(key).alias("j"), v.alias("y"))
-    gap = F.aggregate(F.zip_with("x", "y", lambda p, q: (p.cast("double") - q.cast("double")) * (p.cast("double") - q.cast("double"))), F.lit(0.0), lambda acc, z: acc + z)
-    return a.crossJoin(b).select("i", "j", gap.alias("d2"))
+    """(i, j, d2) of all ordered pairs, block by block, for the small inputs that classical scaling takes."""
+    rows = rows.select(key, F.slice(vector, 1, dims).alias(vector)) if dims else rows
+
+    def match(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        a, b = left["id"].to_numpy(), right["id"].to_numpy()
+        out = [pd.DataFrame({"i": np.repeat(a[s : s + len(d2)], len(b)), "j": np.tile(b, len(d2)), "d2": d2.ravel()}) for s, d2 in _gaps(left, right)]
+        return pd.concat(out, ignore_index=True) if out else pd.DataFrame({"i": [], "j": [], "d2": []}).astype({"i": "int64", "j": "int64", "d2": "float64"})
+
+    return _paired(rows, rows, key, vector).applyInPandas(match, "i bigint, j bigint, d2 double")
 
 
 def scaled(distances: DataFrame, k: int) -> tuple[list[int], np.ndarray]:
@@ -200,11 +225,23 @@ def discriminant(rows: DataFrame, k: int, vector: str = "embedding", label: str
 
 
 def nca_objective(rows: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str = "label", dims: int | None = None) -> DataFrame:
-    """(objective): the expected number of rows whose stochastic neighbour has their label, with the identity transform."""
-    d = all_distances(rows, key, vector, dims).where("i <> j").withColumn("e", F.exp(-F.col("d2")))
-    lab = rows.select(F.col(key).alias("i"), F.col(label).alias("li"))
-    marked = d.join(lab, "i").join(lab.select(F.col("i").alias("j"), F.col("li").alias("lj")), "j")
-    p = marked.groupBy("i").agg(F.try_divide(F.sum(F.when(F.col("li") == F.col("lj"), F.col("e")).otherwise(0.0)), F.sum("e")).alias("p"))
+    """(objective): the expected number of rows whose stochastic neighbour has their label, with the identity transform.
+
+    Each pair of blocks gives two sums a row, so pairs never become rows.
+    """
+    rows = rows.select(key, F.coalesce(F.col(label).cast("double"), F.lit(float("nan"))).alias("label"), (F.slice(vector, 1, dims) if dims else F.col(vector)).alias(vector))
+
+    def match(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        a, b, la, lb = left["id"].to_numpy(), right["id"].to_numpy(), left["label"].to_numpy(), right["label"].to_numpy()
+        out = []
+        for s, d2 in _gaps(left, right):
+            part = slice(s, s + len(d2))
+            e = np.exp(-d2) * (a[part, None] != b[None, :])
+            out.append(pd.DataFrame({"i": a[part], "own": (e * (la[part, None] == lb[None, :])).sum(1), "every": e.sum(1)}))
+        return pd.concat(out, ignore_index=True) if out else pd.DataFrame({"i": [], "own": [], "every": []}).astype({"i": "int64", "own": "float64", "every": "float64"})
+
+    sums = _paired(rows, rows, key, vector, ("label",)).applyInPandas(match, "i bigint, own double, every double")
+    p = sums.groupBy("i").agg(F.try_divide(F.sum("own"), F.sum("every")).alias("p"))
     return p.agg(F.round(F.sum("p"), 6).alias("objective"))
 
 

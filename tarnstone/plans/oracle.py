@@ -62,7 +62,7 @@ SQL = {
     "triangles_or": f"WITH {_OR} {_TRI}",
     "triangles_and": f"WITH {_AND} {_TRI}",
     "dense_vertex_ids": f"WITH {_G.format(m=499)}, v AS (SELECT src AS vertex FROM g UNION SELECT dst FROM g) SELECT vertex, row_number() OVER (ORDER BY vertex) - 1 AS id FROM v",
-    "shortest_paths": f"WITH {_G.format(m=97)}, a AS (SELECT src, dst, count(*)::DOUBLE AS cost FROM g WHERE src <> dst GROUP BY ALL), b0 AS (SELECT DISTINCT src AS source, src AS node, 0.0::DOUBLE AS cost FROM a WHERE src <= 5), b1 AS (SELECT source, node, min(cost) AS cost FROM (SELECT * FROM b0 UNION ALL SELECT source, dst, b.cost + a.cost FROM b0 b JOIN a ON node = src) GROUP BY ALL), b2 AS (SELECT source, node, min(cost) AS cost FROM (SELECT * FROM b1 UNION ALL SELECT source, dst, b.cost + a.cost FROM b1 b JOIN a ON node = src) GROUP BY ALL) SELECT source, node, min(cost) AS cost FROM (SELECT * FROM b2 UNION ALL SELECT source, dst, b.cost + a.cost FROM b2 b JOIN a ON node = src) GROUP BY ALL",
+    "shortest_paths": f"WITH {_G.format(m=97)}, a AS (SELECT src, dst, count(*)::DOUBLE AS cost FROM g WHERE src <> dst GROUP BY ALL), b0 AS (SELECT DISTINCT src AS source, src AS node, 0.0::DOUBLE AS cost FROM a), b1 AS (SELECT source, node, min(cost) AS cost FROM (SELECT * FROM b0 UNION ALL SELECT source, dst, b.cost + a.cost FROM b0 b JOIN a ON node = src) GROUP BY ALL), b2 AS (SELECT source, node, min(cost) AS cost FROM (SELECT * FROM b1 UNION ALL SELECT source, dst, b.cost + a.cost FROM b1 b JOIN a ON node = src) GROUP BY ALL) SELECT source, node, min(cost) AS cost FROM (SELECT * FROM b2 UNION ALL SELECT source, dst, b.cost + a.cost FROM b2 b JOIN a ON node = src) GROUP BY ALL",
     "freq_itemsets_k1": f"WITH {_BK} SELECT item AS items, freq FROM s1, n WHERE freq >= n * {SUPPORT}",
     "freq_itemsets_k2": f"WITH {_S2} SELECT i || ',' || j AS items, freq FROM s2",
     "freq_itemsets_k3": f"WITH {_BK} SELECT x.item || ',' || y.item || ',' || z.item AS items, count(*) AS freq FROM b x JOIN b y ON x.tx = y.tx AND x.item < y.item JOIN b z ON z.tx = y.tx AND y.item < z.item GROUP BY ALL HAVING count(*) >= (SELECT n * {SUPPORT3} FROM n)",
@@ -100,10 +100,10 @@ SQL = {
     "accuracy": f"WITH {_J} SELECT round(avg(CAST(truth = pred AS DOUBLE)), 6) AS accuracy, count(*) AS n FROM j",
     "auc_rank": f"WITH {_J} SELECT round(sum(CASE WHEN a.score > b.score THEN 1.0 WHEN a.score = b.score THEN 0.5 ELSE 0.0 END) / count(*), 6)::DOUBLE AS auc FROM j a, j b WHERE a.truth = 1 AND b.truth = 0",
     "or_vote": f"WITH {_J} SELECT doc_id, greatest(pred, CAST(score > 0.985 AS INTEGER)) AS pred FROM j",
-    "prediction_gaps": "WITH g AS (SELECT DISTINCT doc_id FROM documents WHERE doc_id % 3 = 0), p AS (SELECT DISTINCT doc_id FROM labels) SELECT coalesce(g.doc_id, p.doc_id) AS doc_id, g.doc_id IS NOT NULL AS in_gold, p.doc_id IS NOT NULL AS in_pred FROM g FULL JOIN p ON g.doc_id = p.doc_id WHERE g.doc_id IS NULL OR p.doc_id IS NULL",
+    "prediction_gaps": "WITH g AS (SELECT DISTINCT doc_id FROM documents), p AS (SELECT DISTINCT doc_id FROM labels) SELECT coalesce(g.doc_id, p.doc_id) AS doc_id, g.doc_id IS NOT NULL AS in_gold, p.doc_id IS NOT NULL AS in_pred FROM g FULL JOIN p ON g.doc_id = p.doc_id WHERE g.doc_id IS NULL OR p.doc_id IS NULL",
     "span_scores": f"WITH {_SP}, x AS (SELECT kind, count(*) AS predicted, (SELECT count(*) FROM h WHERE h.kind = p.kind) AS hits, (SELECT count(*) FROM g WHERE g.kind = p.kind) AS gold FROM p GROUP BY kind) SELECT kind, predicted, hits, gold, {_PRF} FROM x",
     "span_scores_micro": f"WITH {_SP}, x AS (SELECT count(*) AS predicted, (SELECT count(*) FROM h) AS hits, (SELECT count(*) FROM g) AS gold FROM p) SELECT *, {_PRF} FROM x",
-    "covariance": f"WITH {_V} SELECT a.dim AS i, b.dim AS j, round(covar_samp(a.x, b.x), 6) AS cov FROM v a JOIN v b ON a.vec_id = b.vec_id AND a.dim <= b.dim WHERE b.dim < 16 GROUP BY ALL",
+    "covariance": f"WITH {_V} SELECT a.dim AS i, b.dim AS j, round(covar_samp(a.x, b.x), 6) AS cov FROM v a JOIN v b ON a.vec_id = b.vec_id AND a.dim <= b.dim GROUP BY ALL",
     "zscore": f"WITH {_V}, m AS (SELECT dim, avg(x) AS a, stddev_pop(x) AS s FROM v GROUP BY dim) SELECT vec_id, v.dim, round((x - a) / s, 5) AS z FROM v JOIN m ON v.dim = m.dim",
     "min_max": f"WITH {_V}, m AS (SELECT dim, min(x) AS a, max(x) AS b FROM v GROUP BY dim) SELECT vec_id, v.dim, round((x - a) / (b - a), 5) AS z FROM v JOIN m ON v.dim = m.dim",
     "gaussian_nb": f"WITH {_V}, e AS (SELECT * FROM v WHERE vec_id % 5 <> 0), sp AS (SELECT max(q) AS s FROM (SELECT var_pop(x) AS q FROM e GROUP BY dim)), m AS (SELECT label, dim, avg(x) AS m, var_pop(x) + 1e-9 * (SELECT s FROM sp) AS v FROM e GROUP BY ALL), pr AS (SELECT label, ln(count(*)::DOUBLE / (SELECT count(*) FROM embeddings WHERE vec_id % 5 <> 0)) AS prior FROM embeddings WHERE vec_id % 5 <> 0 GROUP BY label), s AS (SELECT v.vec_id, m.label, sum(-0.5 * ln(2 * pi() * m.v) - (x - m.m) * (x - m.m) / (2 * m.v)) AS s FROM v JOIN m ON v.dim = m.dim WHERE v.vec_id % 5 = 0 GROUP BY ALL) SELECT vec_id, s.label AS pred FROM s JOIN pr ON s.label = pr.label QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY round(s + prior, 6) DESC, s.label) = 1",
@@ -111,8 +111,8 @@ SQL = {
     "knn_graph": f"WITH {_V}, d AS (SELECT a.vec_id AS i, b.vec_id AS j, round(sum((a.x - b.x) * (a.x - b.x)), 6) AS d2 FROM v a JOIN v b ON a.dim = b.dim WHERE a.vec_id <> b.vec_id GROUP BY ALL), k AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY i ORDER BY d2, j) <= 4), e AS (SELECT i AS src, j AS dst, d2 FROM k UNION ALL SELECT j, i, d2 FROM k) SELECT src, dst, round(min(round(sqrt(d2), 6)), 3) AS cost FROM e GROUP BY ALL",
     "knn_classify": f"WITH {_NEAR} SELECT k.i AS vec_id, e.label AS pred FROM k JOIN embeddings e ON k.j = e.vec_id WHERE rank <= 3 GROUP BY k.i, e.label QUALIFY row_number() OVER (PARTITION BY k.i ORDER BY count(*) DESC, e.label) = 1",
     "one_nn_accuracy": f"WITH {_NEAR} SELECT round(avg(CAST(e.label = f.label AS DOUBLE)), 6) AS accuracy FROM k JOIN embeddings e ON k.j = e.vec_id JOIN embeddings f ON k.i = f.vec_id WHERE rank = 1",
-    "mds_b_matrix": f"WITH {_V}, d AS (SELECT a.vec_id AS i, b.vec_id AS j, sum((a.x - b.x) * (a.x - b.x)) AS d2 FROM v a JOIN v b ON a.dim = b.dim WHERE a.vec_id < 60 AND b.vec_id < 60 AND a.dim < 8 GROUP BY ALL) SELECT i, j, round(round(-0.5 * (d2 - avg(d2) OVER (PARTITION BY i) - avg(d2) OVER (PARTITION BY j) + avg(d2) OVER ()), 6), 3) + 0.0::DOUBLE AS b FROM d",
-    "nca_objective": f"WITH {_V}, d AS (SELECT a.vec_id AS i, a.label AS li, b.label AS lj, exp(-sum((a.x - b.x) * (a.x - b.x))) AS e, b.vec_id FROM v a JOIN v b ON a.dim = b.dim WHERE a.vec_id < 300 AND b.vec_id < 300 AND a.vec_id <> b.vec_id AND a.dim < 8 GROUP BY a.vec_id, a.label, b.label, b.vec_id), p AS (SELECT i, sum(CASE WHEN li = lj THEN e ELSE 0.0 END) / sum(e) AS p FROM d GROUP BY i) SELECT round(sum(p), 4) AS objective FROM p",
+    "mds_b_matrix": f"WITH {_V}, d AS (SELECT a.vec_id AS i, b.vec_id AS j, sum((a.x - b.x) * (a.x - b.x)) AS d2 FROM v a JOIN v b ON a.dim = b.dim GROUP BY ALL) SELECT i, j, round(-0.5 * (d2 - avg(d2) OVER (PARTITION BY i) - avg(d2) OVER (PARTITION BY j) + avg(d2) OVER ()), 6) + 0.0::DOUBLE AS b FROM d",
+    "nca_objective": f"WITH {_V}, d AS (SELECT a.vec_id AS i, a.label AS li, b.label AS lj, exp(-sum((a.x - b.x) * (a.x - b.x))) AS e, b.vec_id FROM v a JOIN v b ON a.dim = b.dim WHERE a.vec_id <> b.vec_id GROUP BY a.vec_id, a.label, b.label, b.vec_id), p AS (SELECT i, sum(CASE WHEN li = lj THEN e ELSE 0.0 END) / sum(e) AS p FROM d GROUP BY i) SELECT round(sum(p), 4) AS objective FROM p",
     "topic_shares": "WITH c AS (SELECT source, lang, count(*) AS n FROM documents GROUP BY ALL), t AS (SELECT source, sum(n) AS t FROM c GROUP BY source) SELECT c.source, lang, round((n + 0.1::DOUBLE) / (t + (SELECT count(DISTINCT lang) FROM c) * 0.1::DOUBLE), 6) AS share FROM c JOIN t ON c.source = t.source",
     "bio_spans": "WITH r AS (SELECT l_orderkey AS sent_id, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS INTEGER) AS pos, CASE WHEN l_quantity > 35 THEN 'B-' || l_returnflag WHEN l_quantity > 15 THEN 'I-' || l_returnflag ELSE 'O' END AS tag FROM lineitem), k AS (SELECT *, CASE WHEN tag = 'O' THEN '' ELSE substr(tag, 3) END AS kind FROM r), n AS (SELECT *, CASE WHEN starts_with(tag, 'I-') AND lag(kind) OVER w = kind THEN 0 ELSE 1 END AS nw FROM k WINDOW w AS (PARTITION BY sent_id ORDER BY pos)), u AS (SELECT *, sum(nw) OVER (PARTITION BY sent_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS run FROM n) SELECT sent_id, min(pos) AS start, CAST(max(pos) + 1 AS INTEGER) AS \"end\", min(kind) AS kind FROM u WHERE kind <> '' GROUP BY sent_id, run HAVING starts_with(arg_min(tag, pos), 'B-')",
     "lemma_rules": f"WITH {_T}, {_LEM.format(d='', t=_tries())} SELECT wd.word, lemma FROM wd LEFT JOIN best ON wd.word = best.word",
@@ -120,7 +120,7 @@ SQL = {
     "token_ids": r"WITH t AS (SELECT item_id, unnest(w) AS token, unnest(range(len(w))) AS place FROM (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '\s+'), lambda w: w <> '') AS w FROM benchmark)), f AS (SELECT token, min(item_id * 1000000 + place) AS k FROM t GROUP BY token) SELECT token, CAST(row_number() OVER (ORDER BY k) - 1 AS INTEGER) AS id FROM f",
     "text_predicates": "SELECT doc_id, regexp_matches(text, '[0-9]') AS digits, NOT regexp_matches(text, '[A-Za-z0-9,.!?]') AS acceptable, regexp_matches(text, '[\\x{3400}-\\x{4DBF}\\x{4E00}-\\x{9FFF}\\x{F900}-\\x{FAFF}]') AS cjk, regexp_matches(text, '^[A-Za-z]+$') AS alphabetic FROM documents",
     "fitted_ids": f"WITH a AS (SELECT doc_id, list_transform(list_slice({_TOK.format(x='text')}, 1, 24), lambda w: length(w)) AS a FROM documents) SELECT doc_id, array_to_string(list_concat(a, list_transform(range(24 - len(a)), lambda x: 0)), ',') AS ids, CAST(len(a) AS BIGINT) AS n FROM a",
-    "fitted_pairs": f"WITH a AS (SELECT doc_id, least(64, len({_TOK.format(x='text')})) AS a FROM documents), b AS (SELECT doc_id, a, least(a, doc_id % 23 + 1) AS b FROM a), g AS (SELECT *, greatest(a + b - 40, 0) AS o FROM b), f AS (SELECT *, least(o, a - b) AS f, greatest(o - (a - b), 0) AS r FROM g) SELECT doc_id, CAST(a - f - floor(r / 2.0) AS BIGINT) AS first, CAST(b - ceil(r / 2.0) AS BIGINT) AS second FROM f",
+    "fitted_pairs": f"WITH a AS (SELECT doc_id, len({_TOK.format(x='text')}) AS a FROM documents), b AS (SELECT doc_id, a, least(a, doc_id % 23 + 1) AS b FROM a), g AS (SELECT *, greatest(a + b - 40, 0) AS o FROM b), f AS (SELECT *, least(o, a - b) AS f, greatest(o - (a - b), 0) AS r FROM g) SELECT doc_id, CAST(a - f - floor(r / 2.0) AS BIGINT) AS first, CAST(b - ceil(r / 2.0) AS BIGINT) AS second FROM f",
     "quorum_index": "SELECT l_orderkey, CAST(list_extract(list_reverse_sort(list(l_linenumber)), CAST(floor(count(*) / 2.0) + 1 AS INTEGER)) AS BIGINT) AS committed FROM lineitem GROUP BY l_orderkey",
     "row_union": "SELECT id, count(*) AS n FROM (SELECT o_custkey AS id FROM orders UNION ALL SELECT c_custkey FROM customer) GROUP BY id",
     "key_difference": "SELECT id, 'orders' AS side FROM (SELECT o_custkey AS id FROM orders EXCEPT SELECT c_custkey FROM customer) UNION ALL SELECT id, 'customer' FROM (SELECT c_custkey AS id FROM customer EXCEPT SELECT o_custkey FROM orders)",
