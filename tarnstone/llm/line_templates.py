@@ -157,8 +157,8 @@ def drop_lines(
 ) -> DataFrame:
     """Every row with the lines of recurring templates dropped: doc_id, the columns `keep`, text, n_lines, n_dropped.
 
-    A template recurs if at least `min_docs` rows hold it; its lines stay in the row of least doc_id (its first copy
-    there). Lines of fewer than `min_tokens` tokens always stay; those of fewer than `MIN_GENERAL` are compared whole, with variable
+    A template recurs if its different masked lines are held by at least `min_docs` rows, a row counting once for each
+    masked line that it holds; its lines stay in the row of least doc_id (the first copy of each there). Lines of fewer than `min_tokens` tokens always stay; those of fewer than `MIN_GENERAL` are compared whole, with variable
     numbers. A null text stays null and has no lines; an empty text has one line. Repeated rows count as rows of their
     own and fare alike; rows with a null id come after all others, and if only such rows hold a template its first lines stay in all of
     them. An empty table gives an empty result. Only the named columns are read.
