@@ -6,17 +6,19 @@ positions that differ become variable. Templates that recur across documents are
 document that has them.
 
 Lines are counted by hash first, so a line that a third of all documents share is one row before anything is
-grouped. Similarity is taken over up to 32 evenly spaced positions, which a line carries as one byte each. Leaves of
-more than `LEAF_LINES` different lines descend by eight more positions at a time; lines alike at all 32 are one template
-by an aggregation, however many they are.
+grouped. Similarity is taken over up to 32 evenly spaced positions, which a line carries as one byte each. A leaf is
+parsed whole, in one task; one of more than `LEAF_LINES` different lines looks templates up by groups of positions, to
+the same result.
 """
 
 from __future__ import annotations
 
+import math
 import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -76,20 +78,67 @@ def lines_of(docs: DataFrame, text: str, doc_id: str, positions: bool, min_token
     return rows.mapInArrow(run, ", ".join(f"{n} bigint" for n in names))
 
 
+def _groups(samples: np.ndarray, most: int) -> np.ndarray | None:
+    """For each of some groups of positions (rows) a number a line, -1 where the group has a variable token.
+
+    Lines that differ at `most` positions at most have the number of a group in common. None if that tells nothing.
+    """
+    fixed = (samples == samples[0]).all(0)
+    most -= int((samples[0][fixed] == 0).sum())
+    free = np.flatnonzero(~fixed)
+    if not 0 <= most < len(free):
+        return None
+    kinds = [len(np.unique(samples[:, p])) for p in free]
+    free = free[np.argsort(kinds, kind="stable")]
+    out = np.empty((most + 1, len(samples)), np.int32)
+    for g in range(most + 1):
+        key = np.zeros(len(samples), np.uint64)
+        for p in free[g :: most + 1]:
+            key = key * np.uint64(0x9E3779B97F4A7C15) + samples[:, p]
+        out[g] = np.unique(key, return_inverse=True)[1]
+        out[g][(samples[:, free[g :: most + 1]] == 0).any(1)] = -1
+    return out
+
+
 def grow(samples: np.ndarray, n: int, similarity: float) -> np.ndarray:
-    """The template of each line of one leaf, lines in order: the most similar one, or a new one if none is similar enough."""
+    """The template of each line of one leaf, lines in order: the most similar one, or a new one if none is similar enough.
+
+    In a leaf of over `LEAF_LINES` lines a line is compared only with the templates whose first line shares a group of
+    positions with it. A template keeps tokens of its first line only, so no other can be similar enough: the result is the same.
+    """
     size = min(n, POSITIONS)
-    templates = np.zeros((len(samples), size), np.uint8)
+    samples = np.ascontiguousarray(samples[:, :size])
+    groups = _groups(samples, size - math.ceil(similarity * size)) if len(samples) > LEAF_LINES else None
+    if groups is not None:
+        # founders of each number of a group side by side, in room for all lines that have it
+        counts = [np.bincount(g + 1) for g in groups]
+        starts = [np.cumsum(c) - c for c in counts]
+        used = [np.zeros(len(c), np.int64) for c in counts]
+        slots = np.empty(groups.shape, np.int32)
+    templates = np.zeros((min(len(samples), 1024), size), np.uint8)
     known, out = 0, np.zeros(len(samples), np.int64)
-    for i, s in enumerate(samples[:, :size]):
-        same = ((templates[:known] == s) & (s > 0)).sum(1) if known else np.zeros(0)
-        best = int(same.argmax()) if known else -1
-        if known and same[best] >= similarity * size:
+    for i, s in enumerate(samples):
+        if groups is None:
+            near, pool = None, templates[:known]
+        else:
+            at = [(g, k + 1) for g, k in enumerate(groups[:, i].tolist()) if k >= 0]
+            parts = [slots[g, starts[g][k] : starts[g][k] + used[g][k]] for g, k in at]
+            near = np.concatenate(parts) if parts else np.zeros(0, np.int32)
+            pool = templates[near]
+        same = ((pool == s) & (s > 0)).sum(1) if len(pool) else np.zeros(0)
+        if len(pool) and same.max() >= similarity * size:
+            best = int(same.argmax()) if near is None else int(near[same == same.max()].min())
             templates[best][templates[best] != s] = 0
         else:
             best = known
+            if known == len(templates):
+                templates = np.concatenate([templates, np.zeros_like(templates)])
             templates[known] = s
             known += 1
+            if groups is not None:
+                for g, k in at:
+                    slots[g, starts[g][k] + used[g][k]] = best
+                    used[g][k] += 1
         out[i] = best
     return out
 
@@ -99,51 +148,45 @@ def recurring(docs: DataFrame, text: str, doc_id: str, min_docs: int, min_tokens
     own = [F.sum("first").alias("docs"), F.min("doc_id").alias("first_id")]
     exact = checkpointed(lines_of(docs, text, doc_id, True, min_tokens).groupBy("leaf", "exact", "n").agg(*own, *(F.min(w).alias(w) for w in _WORDS)))
     leaves = exact.groupBy("leaf").agg(F.count("*").alias("lines"), F.sum("docs").alias("all")).where((F.col("lines") > 1) & (F.col("all") >= min_docs))
-    pool = exact.where(F.col("n") >= MIN_GENERAL).join(leaves.select("leaf", "lines"), "leaf")
-    narrow = pool.where(F.col("lines") <= LEAF_LINES).withColumn("sub", F.lit(0).cast("long"))
-    wide = checkpointed(pool.where(F.col("lines") > LEAF_LINES).select("leaf", "n", "exact", "docs", "first_id", *_WORDS))
-    paths = [["leaf", *_WORDS[:k]] for k in range(1, len(_WORDS) + 1)]
-    deep, sub = wide, F.lit(None)
-    for k, path in enumerate(paths):
-        deep = deep.join(wide.groupBy(*path).agg(F.count("*").alias(f"at{k}")), path)
-        sub = F.coalesce(sub, F.when(F.col(f"at{k}") <= LEAF_LINES, F.xxhash64(F.lit(k), *path)))
-    deep = deep.withColumn("sub", sub)
-    cols = ["leaf", "sub", "n", "exact", "docs", "first_id", *_WORDS]
-    dealt = narrow.select(*cols).unionByName(deep.where(F.col("sub").isNotNull()).select(*cols)).repartition(partitions(docs.sparkSession), "leaf", "sub").sortWithinPartitions("leaf", "sub", "n", F.desc("docs"), "exact")
+    # a line with too many variable tokens is like no other
+    filled = sum((F.shiftrightunsigned(w, 8 * k).bitwiseAND(F.lit(255)) != 0).cast("int") for w in _WORDS for k in range(8))
+    pool = exact.where((F.col("n") >= MIN_GENERAL) & (filled >= similarity * F.least("n", F.lit(POSITIONS)))).join(leaves.select("leaf"), "leaf")
+    cols = ["leaf", "n", "exact", "docs", "first_id", *_WORDS]
+    dealt = pool.select(*cols).repartition(partitions(docs.sparkSession), "leaf").sortWithinPartitions("leaf", "n", F.desc("docs"), "exact")
 
     def run(batches):
         held, key = [], None
 
         def settle():
-            rows = np.array([[0 if x is None else x for x in r[3:]] for r in held], np.int64)
-            samples = np.ascontiguousarray(rows[:, 3:]).view(np.uint8).reshape(len(rows), POSITIONS)
-            template = grow(samples, key[2], similarity)
-            total = np.bincount(template, rows[:, 1])
-            firsts: dict[int, int | None] = {}
-            for r, t in zip(held, template.tolist(), strict=True):
-                if r[5] is not None:
-                    firsts[t] = min(firsts.get(t, r[5]), r[5])
-            keep = [(r[3], firsts.get(t)) for r, t in zip(held, template.tolist(), strict=True) if total[t] >= min_docs]
-            return pa.RecordBatch.from_arrays([pa.array([k[0] for k in keep], pa.int64()), pa.array([k[1] for k in keep], pa.int64())], names=["exact", "first_id"])
+            rows, null = (np.concatenate(x) for x in zip(*held, strict=True))
+            samples = np.ascontiguousarray(rows[:, 5:]).view(np.uint8).reshape(len(rows), POSITIONS)
+            template = grow(samples, key[1], similarity)
+            often = (np.bincount(template, rows[:, 3]) >= min_docs)[template]
+            least = np.full(len(rows), np.iinfo(np.int64).max)
+            np.minimum.at(least, template[~null], rows[~null, 4])
+            named = np.zeros(len(rows), bool)
+            named[template[~null]] = True
+            first = pa.array(least[template][often], pa.int64(), mask=~named[template][often])
+            return pa.RecordBatch.from_arrays([pa.array(rows[often, 2]), first], names=["exact", "first_id"])
 
         for batch in batches:
-            for r in zip(*(batch.column(c).to_pylist() for c in cols), strict=True):
-                if r[:3] != key:
-                    if len(held) > 1:
+            if not batch.num_rows:
+                continue
+            null = batch.column("first_id").is_null().to_numpy(zero_copy_only=False)
+            rows = np.stack([pc.fill_null(batch.column(c), 0).to_numpy(zero_copy_only=False) for c in cols], 1)
+            ends = np.flatnonzero((rows[1:, :2] != rows[:-1, :2]).any(1)) + 1
+            for part, none in zip(np.split(rows, ends), np.split(null, ends), strict=True):
+                if (own_key := tuple(part[0, :2].tolist())) != key:
+                    if sum(len(r) for r, _ in held) > 1:
                         yield settle()
-                    key, held = r[:3], []
-                held.append(r)
-        if len(held) > 1:
+                    key, held = own_key, []
+                held.append((part, none))
+        if sum(len(r) for r, _ in held) > 1:
             yield settle()
 
     general = dealt.mapInArrow(run, "exact bigint, first_id bigint")
-    # lines alike at every position are one template, however many they are
-    filled = sum((F.shiftrightunsigned(w, 8 * k).bitwiseAND(F.lit(255)) != 0).cast("int") for w in _WORDS for k in range(8))
-    alike = deep.where(F.col("sub").isNull() & (filled >= similarity * F.least("n", F.lit(POSITIONS)))).select(*paths[-1], "exact", "docs", "first_id")
-    often = alike.groupBy(*paths[-1]).agg(F.sum("docs").alias("all"), F.min("first_id").alias("least")).where(F.col("all") >= min_docs)
-    same = alike.join(often, paths[-1]).select("exact", F.col("least").alias("first_id"))
     plain = exact.where(F.col("docs") >= min_docs).select("exact", "first_id")
-    return general.unionByName(same).unionByName(plain).groupBy("exact").agg(F.min("first_id").alias("first_id"))
+    return general.unionByName(plain).groupBy("exact").agg(F.min("first_id").alias("first_id"))
 
 
 def drop_lines(

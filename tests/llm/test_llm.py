@@ -179,6 +179,32 @@ def test_wide_leaves(spark, monkeypatch):
     assert got == {0: f"{alike[0]}\n{apart[0]}"} | {k: apart[k] for k in range(1, 5)}
 
 
+def test_wide_leaves_with_varying_words(spark, monkeypatch):
+    name = lambda k: chr(97 + k // 26) + chr(97 + k % 26)
+    texts = [f"dear customer named {name(k)} of {name(59 - k)} your order has left our store today" for k in range(60)]
+    texts += [f"dear customer named {' '.join(name(k + 60 * j) for j in range(1, 11))}" for k in range(10)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = []
+    for most in (2000, 20):
+        monkeypatch.setattr(line_templates, "LEAF_LINES", most)
+        got.append({r["doc_id"]: r["n_dropped"] for r in line_templates.drop_lines(rows).collect()})
+    assert got[0] == got[1] == {k: int(0 < k < 60) for k in range(70)}
+
+
+def test_template_index_gives_the_same_templates(monkeypatch):
+    rng = np.random.default_rng(0)
+    for case in range(30):
+        n, rows = int(rng.integers(8, 50)), int(rng.integers(2, 300))
+        samples = rng.integers(1, [3, 20, 256][case % 3], (9, 32))[rng.integers(0, 9, rows)]
+        samples = np.where(rng.random((rows, 32)) < [0.05, 0.2, 0.35][case // 3 % 3], rng.integers(0, 256, (rows, 32)), samples).astype(np.uint8)
+        samples[:, min(n, 32) :] = 0
+        got = []
+        for most in (1 << 30, 1):
+            monkeypatch.setattr(line_templates, "LEAF_LINES", most)
+            got.append(line_templates.grow(samples, n, 0.7).tolist())
+        assert got[0] == got[1]
+
+
 def test_difference_and_plan():
     assert sorted(np.bincount(packing.difference(np.array([8, 7, 6, 5, 4]), 2), [8, 7, 6, 5, 4])) == [14, 16]
     rng = random.Random(2)
