@@ -198,12 +198,12 @@ def scaled(distances: DataFrame, k: int) -> tuple[list[int], np.ndarray]:
     return ids, vectors[:, ::-1][:, :k] * np.sqrt(np.maximum(values[::-1][:k], 0))
 
 
-def isomap(rows: DataFrame, k: int, dims: int, rounds: int = 12, key: str = "vec_id", vector: str = "embedding") -> tuple[list[int], np.ndarray]:
-    """kNN graph, shortest paths along it, classical scaling. Pairs out of reach get the longest finite distance."""
-    from .edges import shortest_paths
+def isomap(rows: DataFrame, k: int, dims: int, key: str = "vec_id", vector: str = "embedding") -> tuple[list[int], np.ndarray]:
+    """kNN graph, shortest paths of any length along it, classical scaling. Pairs without a path get the longest finite distance."""
+    from .edges import checkpointed, shortest_paths
 
-    graph = knn_graph(rows, k, key, vector).persist()
-    paths = shortest_paths(graph, rows.select(key), rounds).persist()
+    graph = checkpointed(knn_graph(rows, k, key, vector))
+    paths = shortest_paths(graph, rows.select(key))
     ids = rows.select(F.col(key).alias("i"))
     grid = ids.crossJoin(ids.withColumnRenamed("i", "j")).join(paths.select(F.col("source").alias("i"), F.col("node").alias("j"), "cost"), ["i", "j"], "left")
     far = paths.agg(F.max("cost")).first()[0] or 0.0

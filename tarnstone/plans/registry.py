@@ -466,7 +466,7 @@ def lda_axes(spark, d):
 
 @query
 def isomap(spark, d):
-    ids, x = V.isomap(emb(spark, d), 6, 2, 5)
+    ids, x = V.isomap(emb(spark, d), 6, 2)
     return spark.createDataFrame([(int(i), *map(float, abs(r))) for i, r in zip(ids, x, strict=True)], "vec_id bigint, x double, y double")
 
 

@@ -116,6 +116,20 @@ def test_neighbours_and_pca(spark):
     assert np.allclose(V.svd(rows, 3)[0], np.linalg.svd(x)[1][:3])
 
 
+def test_isomap_walks_long_chains(spark):
+    rows = spark.createDataFrame([(i, [float(i), 0.01 * (i % 2)], 0) for i in range(24)], "vec_id bigint, embedding array<double>, label int")
+    arcs = V.knn_graph(rows, 2)
+    got = {(r["source"], r["node"]): r["cost"] for r in G.shortest_paths(arcs, rows.select("vec_id")).collect()}
+    want = {(i, j): 0.0 if i == j else np.inf for i in range(24) for j in range(24)}
+    want.update({(r["src"], r["dst"]): r["cost"] for r in arcs.collect()})
+    for m, i, j in itertools.product(range(24), repeat=3):
+        want[i, j] = min(want[i, j], want[i, m] + want[m, j])
+    assert set(got) == set(want) and all(abs(got[p] - want[p]) < 1e-9 for p in want)
+    ids, x = V.isomap(rows, 2, 1)
+    line = np.array([x[ids.index(i), 0] for i in range(24)])
+    assert np.allclose(abs(line - line[0]), range(24), atol=0.1)
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "a.arff").write_text("% c\n@relation r\n@attribute 'x 1' numeric\n@attribute k {a,b}\n@data\n1.5,a\n?,b\n")
     assert [tuple(r) for r in files.arff(spark, str(tmp_path / "a.arff")).collect()] == [(1.5, "a"), (None, "b")]
