@@ -80,7 +80,7 @@ def _paired(queries: DataFrame, data: DataFrame, key: str, vector: str, keep: tu
     def side(df, own, blocks, other, others):
         dealt = F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias(own)
         whole = df.where(F.col(key).isNotNull() & F.col(vector).isNotNull())
-        return whole.select(F.col(key).alias("id"), F.col(vector).alias("v"), *keep, dealt, F.explode(F.sequence(F.lit(0), F.lit(others - 1))).alias(other)).groupBy("qb", "db")
+        return whole.select(F.col(key).alias("id"), F.col(vector).alias("v"), *(F.col(c).alias(c) for c in keep), dealt, F.explode(F.sequence(F.lit(0), F.lit(others - 1))).alias(other)).groupBy("qb", "db")
 
     n, m = (max(BLOCKS, -(-df.count() // BLOCK_ROWS)) for df in (queries, data))
     return side(queries, "qb", n, "db", m).cogroup(side(data, "db", m, "qb", n))
@@ -245,23 +245,51 @@ def nca_objective(rows: DataFrame, key: str = "vec_id", vector: str = "embedding
     return p.agg(F.round(F.sum("p"), 6).alias("objective"))
 
 
-def nca(rows: DataFrame, dims: int, steps: int = 20, rate: float = 0.01, vector: str = "embedding", label: str = "label", seed: int = 3, most: int = 5000) -> tuple[np.ndarray, list[float]]:
-    """Neighbourhood components by gradient ascent on a sample of at most `most` rows; returns the transform and the objectives."""
-    pdf = rows.select(vector, label).limit(most).toPandas()
-    x, y = np.stack(pdf[vector].to_numpy()).astype(float), pdf[label].to_numpy()
-    a = np.random.default_rng(seed).normal(scale=0.1, size=(dims, x.shape[1]))
-    same, seen = y[:, None] == y[None, :], []
+def nca(rows: DataFrame, dims: int, steps: int = 20, rate: float = 0.01, key: str = "vec_id", vector: str = "embedding", label: str = "label", seed: int = 3) -> tuple[np.ndarray, list[float]]:
+    """Neighbourhood components by gradient ascent over all pairs of rows; returns the transform and the objectives.
+
+    A step adds up two passes over pairs of blocks: each row's scale and sums, then the gradient, a matrix a pair of blocks.
+    """
+    rows = rows.select(key, F.coalesce(F.col(label).cast("double"), F.lit(float("nan"))).alias("label"), vector)
+    width = rows.where(F.col(vector).isNotNull()).select(F.size(vector)).first()[0]
+    a, seen = np.random.default_rng(seed).normal(scale=0.1, size=(dims, width)), []
+
+    def parts(left: pd.DataFrame, right: pd.DataFrame, a: np.ndarray, step: int = 256):
+        """Some rows of `left` at a time: their slice, x and z of both sides, -d2 (-inf to the row itself), same label."""
+        if len(left) and len(right):
+            x, y = np.stack(left["v"].to_numpy()).astype(float), np.stack(right["v"].to_numpy()).astype(float)
+            z, u, i, j, k, l = x @ a.T, y @ a.T, left["id"].to_numpy(), right["id"].to_numpy(), left["label"].to_numpy(), right["label"].to_numpy()
+            for s in range(0, len(x), step):
+                at = slice(s, s + step)
+                e = -((z[at, None, :] - u[None, :, :]) ** 2).sum(2)
+                e[i[at, None] == j[None, :]] = -np.inf
+                yield at, x[at], y, z[at], u, e, k[at, None] == l[None, :]
+
+    def sums(left: pd.DataFrame, right: pd.DataFrame, a: np.ndarray) -> pd.DataFrame:
+        out = [pd.DataFrame({"i": [], "top": [], "own": [], "every": []}).astype({"i": "int64", "top": "float64", "own": "float64", "every": "float64"})]
+        for at, _, _, _, _, e, same in parts(left, right, a):
+            top = np.maximum(e.max(1), -1e300)
+            e = np.exp(e - top[:, None])
+            out.append(pd.DataFrame({"i": left["id"].to_numpy()[at], "top": top, "own": (e * same).sum(1), "every": e.sum(1)}))
+        return pd.concat(out[1:] or out, ignore_index=True)
+
+    def slope(left: pd.DataFrame, right: pd.DataFrame, a: np.ndarray) -> pd.DataFrame:
+        g = np.zeros(a.shape)
+        for at, x, y, z, u, e, same in parts(left, right, a):
+            top, every, p = (left[c].to_numpy()[at, None] for c in ("top", "every", "p"))
+            w = np.exp(e - top) / np.where(every > 0, every, 1) * (p - same)
+            g += (z * w.sum(1)[:, None]).T @ x - z.T @ (w @ y) - (w @ u).T @ x + (u * w.sum(0)[:, None]).T @ y
+        return pd.DataFrame({"g": [g.ravel().tolist()]})
+
     for _ in range(steps):
-        z = x @ a.T
-        d2 = (z**2).sum(1)[:, None] + (z**2).sum(1) - 2 * z @ z.T
-        np.fill_diagonal(d2, np.inf)
-        e = -d2 - (-d2).max(1, keepdims=True)
-        p = np.exp(e)
-        p /= p.sum(1, keepdims=True)
-        own = (p * same).sum(1)
-        seen.append(float(own.sum()))
-        w = p * own[:, None] - p * same
-        w = w + w.T
-        grad = 2 * a @ (x.T @ (np.diag(w.sum(1)) - w) @ x)
-        a = a + rate * grad
+        found = _paired(rows, rows, key, vector, ("label",)).applyInPandas((lambda a: lambda l, r: sums(l, r, a))(a), "i bigint, top double, own double, every double")
+        found = found.groupBy("i").agg(F.max("top").alias("top"), F.collect_list(F.struct("top", "own", "every")).alias("of"))
+        total = lambda c: F.aggregate("of", F.lit(0.0), lambda s, x: s + x[c] * F.exp(x["top"] - F.col("top")))
+        known = found.select(F.col("i").alias(key), "top", total("every").alias("every"), F.coalesce(F.try_divide(total("own"), total("every")), F.lit(0.0)).alias("p")).persist()
+        seen.append(float(known.agg(F.sum("p")).first()[0]))
+        whole = rows.join(known, key)
+        flat = _paired(whole, whole, key, vector, ("label", "top", "every", "p")).applyInPandas((lambda a: lambda l, r: slope(l, r, a))(a), "g array<double>")
+        grad = flat.select(F.posexplode("g").alias("at", "v")).groupBy("at").agg(F.sum("v").alias("v")).orderBy("at").collect()
+        a = a + rate * 2 * np.array([r["v"] for r in grad]).reshape(a.shape)
+        known.unpersist()
     return a, seen

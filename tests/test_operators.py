@@ -130,6 +130,27 @@ def test_isomap_walks_long_chains(spark):
     assert np.allclose(abs(line - line[0]), range(24), atol=0.1)
 
 
+def test_nca_takes_all_rows(spark, monkeypatch):
+    monkeypatch.setattr(V, "BLOCKS", 2)
+    rng = np.random.default_rng(4)
+    x, y = rng.normal(size=(5003, 3)) * 0.3, np.arange(5003) % 2
+    rows = spark.createDataFrame([(i, v.tolist(), int(k)) for i, (v, k) in enumerate(zip(x, y, strict=True))], "vec_id bigint, embedding array<double>, label int")
+    a = np.random.default_rng(3).normal(scale=0.1, size=(2, 3))
+    want = []
+    for _ in range(2):
+        z = x @ a.T
+        e = np.exp(-((z[:, None] - z[None]) ** 2).sum(2))
+        np.fill_diagonal(e, 0)
+        p = e / e.sum(1)[:, None]
+        own = (p * (y[:, None] == y)).sum(1)
+        want.append(own.sum())
+        w = p * own[:, None] - p * (y[:, None] == y)
+        w += w.T
+        a = a + 0.0001 * 2 * a @ (x.T @ (w.sum(1)[:, None] * x - w @ x))
+    got, seen = V.nca(rows, 2, 2, 0.0001)
+    assert np.allclose(seen, want, rtol=1e-9) and np.allclose(got, a, rtol=1e-6)
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "a.arff").write_text("% c\n@relation r\n@attribute 'x 1' numeric\n@attribute k {a,b}\n@data\n1.5,a\n?,b\n")
     assert [tuple(r) for r in files.arff(spark, str(tmp_path / "a.arff")).collect()] == [(1.5, "a"), (None, "b")]
