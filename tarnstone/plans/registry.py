@@ -484,7 +484,7 @@ def mail_predictions(spark, d):
     from ..operators import learners as N
 
     rows = N.mail_messages(docs(spark, d), "lang").where("label is not null")
-    _, predict = N.train_mail(rows, size=32, layers=(16,), iterations=40)
+    _, predict = N.train_mail(rows)
     return predict(rows).groupBy("label", "predicted").agg(F.count("*").alias("n"))
 
 
@@ -492,7 +492,7 @@ def mail_predictions(spark, d):
 def lda_topics(spark, d):
     from ..operators import learners as N
 
-    return N.topics(docs(spark, d), iterations=5)
+    return N.topics(docs(spark, d))
 
 
 @query

@@ -151,6 +151,25 @@ def test_nca_takes_all_rows(spark, monkeypatch):
     assert np.allclose(seen, want, rtol=1e-9) and np.allclose(got, a, rtol=1e-6)
 
 
+def test_learners_run_whole(spark, monkeypatch):
+    from pyspark.ml import Pipeline
+    from pyspark.ml.clustering import LDA
+
+    from tarnstone.plans import registry
+
+    seen = []
+    for kind in (LDA, Pipeline):
+        monkeypatch.setattr(kind, "fit", lambda self, rows: seen.append(self) or 1 / 0)
+    for name in ("lda_topics", "mail_predictions"):
+        try:
+            registry.QUERIES[name](spark, "/root/testdata/sf0.001")
+        except ZeroDivisionError:
+            pass
+    lda, (_, words, net) = seen[0], seen[1].getStages()
+    assert (lda.getOptimizer(), lda.getMaxIter()) == ("em", 20)
+    assert (words.getVectorSize(), net.getLayers()[:-1], net.getMaxIter()) == (128, [128, 64, 32], 300)
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "a.arff").write_text("% c\n@relation r\n@attribute 'x 1' numeric\n@attribute k {a,b}\n@data\n1.5,a\n?,b\n")
     assert [tuple(r) for r in files.arff(spark, str(tmp_path / "a.arff")).collect()] == [(1.5, "a"), (None, "b")]
