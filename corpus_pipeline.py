@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from tarnstone.llm import line_templates, minhash_forest, packing, quality_forest, rank_profiles
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-#: Documents less like every profile than this are in no known language.
-LEAST_SCORE = 0.2
+#: Documents less like every profile than this are in no known language. On sf0.1 the least score of any document is 0.384,
+#: samples of Italian, Polish and random letters have 0.24 to 0.34.
+LEAST_SCORE = 0.35
 
 
 def quality(spark, docs, sf_dir):

@@ -134,3 +134,17 @@ def test_run_by_brute_force(spark):
     for parts in fill.values():
         parts.sort()
         assert parts[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(parts, parts[1:])) and sum(n for _, n in parts) <= 4096
+
+
+def test_foreign_and_random_texts_go(spark):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").select(*corpus_pipeline.COLUMNS)
+    odd = [
+        "il ragazzo che era andato alla scuola non sapeva ancora che cosa avrebbe fatto nella citta quando tornava a casa dalla famiglia",
+        "wszyscy ludzie rodza sie wolni i rowni pod wzgledem swej godnosci i swych praw sa oni obdarzeni rozumem i sumieniem",
+        "xqzv bkwt zzpf qwrt vbnm hjkl xcvd qqwz ptkf gfds",
+        "kjrte iasno ldtuh mreai onlst eurai dnsot hrlia",
+    ]
+    extra = spark.createDataFrame([(-1 - k, t, None, None, len(t)) for k, t in enumerate(odd)], docs.schema)
+    got = {r["doc_id"] for r in corpus_pipeline.language(spark, docs.unionByName(extra), None).select("doc_id").collect()}
+    want = {r["doc_id"] for r in docs.collect() if any(c.isalpha() for c in r["text"] or "")}
+    assert got == want
