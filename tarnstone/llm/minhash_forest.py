@@ -1,9 +1,9 @@
-"""N-gram Jaccard join by a MinHash LSH forest with exact verification.
+"""N-gram Jaccard join by banded MinHash LSH with exact verification.
 
 1. Each text becomes its set of five-word shingles; texts with one set form a class, which goes on as one row.
-2. Each class gets `TREES` labels of MinHash values. A forest keeps each tree's labels sorted, so that rows sharing a
-   prefix lie side by side. The matched prefix starts at the whole label and is shortened until the chance that a pair at the
-   threshold meets in some tree reaches the target recall; that length depends on the threshold, the trees and the
+2. Each class gets `TREES` keys, each of the same number of MinHash values: banded MinHash LSH, which replaces the LSH
+   forest. No labels are sorted and no prefix is shortened on data; the length is the largest with which the chance that a
+   pair at the threshold shares some key reaches the target recall. It depends on the threshold, the trees and the
    target only, so every input is treated alike. Each meeting place links its rows to its least row.
 3. The components of these links hold every pair that meets anywhere. Inside them, all pairs are verified on
    the exact sets, in blocks of bounded size; a large component is dealt out as pairs of blocks. Pairs become counts and
