@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SLICE_BYTES = 6 << 20
 
@@ -27,19 +28,62 @@ def slices(batches: Iterable[pa.RecordBatch], column: str, limit: int = SLICE_BY
             start = stop
 
 
+def kind(df: DataFrame, name: str) -> str:
+    """The type of a column, as a schema names it."""
+    return df.schema[name].dataType.simpleString()
+
+
+def free(name: str, taken: Iterable[str]) -> str:
+    """`name`, with underscores before it until it is none of `taken` (whatever their case)."""
+    known = {t.lower() for t in taken}
+    while name.lower() in known:
+        name = "_" + name
+    return name
+
+
+#: Keys that may be broadcast by `lookup`: at most so many can each hold more than one part in so many of all rows.
+MOST_HOT = 1000
+
+
+def lookup(left: DataFrame, right: DataFrame, key: str, weight: str) -> DataFrame:
+    """`left` joined with the one row that `right` has for a key, without one task that holds a frequent key.
+
+    `weight` counts the rows that `left` may have for a key. Keys with more than one in `MOST_HOT` of all, of which there are
+    fewer than `MOST_HOT` at every size, are broadcast; the others are shuffled. `right` should have a few narrow columns.
+    """
+    right = checkpointed(right)
+    total = right.agg(F.sum(weight)).first()[0] or 0
+    often = F.col(weight) * MOST_HOT > total
+    hot, cold = right.where(often), right.where(~often)
+    fast = left.join(F.broadcast(hot), key)
+    return fast.unionByName(left.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold.hint("merge"), key))
+
+
 def columns(batch: pa.RecordBatch, *names: str) -> list[list]:
     return [batch.column(name).to_pylist() for name in names]
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the folder that the cluster names.
+    """Cut the lineage with a reliable checkpoint in the folder that the cluster names."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
 
-    A folder of our own is taken only where none is set, which is the case in local tests.
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that `spark.checkpoint.dir` names.
+
+    Where none is set, a folder of our own is taken in local mode, as in tests; on a cluster that is an error, as
+    executors would write where nobody reads.
     """
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.checkpoint(eager=True)
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    context = spark.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        if not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
+    return context._jsc.sc().getCheckpointDir().get()
 
 
 def partitions(spark: SparkSession) -> int:

@@ -1,192 +1,193 @@
 """Line dedup by a log-template tree.
 
 As in Drain (He et al. 2017), a line descends a tree of fixed depth, by its number of tokens and then by its leading
-tokens, tokens with a digit counting as variable; in the leaf it joins the most similar template or founds one, and
-positions that differ become variable. Templates that recur across documents are dropped, but for the lines of the first
-document that has them.
+tokens, tokens with a digit counting as variable; in the leaf it joins the first template that it resembles or founds
+one. All tokens of both lines are compared, at every length and in leaves of every size, and positions that differ
+from the founder are the template's variable fields. Templates that recur across documents are dropped, but for the
+lines of the first document that has them.
 
 Lines are counted by hash first, so a line that a third of all documents share is one row before anything is
-grouped. Similarity is taken over up to 32 evenly spaced positions, which a line carries as one byte each. A leaf is
-parsed whole, in one task; one of more than `LEAF_LINES` different lines looks templates up by groups of positions, to
-the same result.
+grouped. A leaf is parsed in rounds: its first lines found templates in one task, the others are dealt out and compared
+with these, and what resembles none goes on to the next round. That is the order of a sequential parse, so
+the result does not depend on how a leaf is dealt.
 """
 
 from __future__ import annotations
 
-import math
 import re
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Memo, checkpointed, partitions, slices
+from .common import Memo, checkpointed, free, kind, lookup, partitions, slices
 
-LEAD, POSITIONS, SIMILARITY, MIN_DOCS, MIN_TOKENS, MIN_GENERAL, LEAF_LINES = 3, 32, 0.7, 3, 5, 8, 2000
+LEAD, SIMILARITY = 3, 0.7
+#: Documents that a template needs, for lines of `MIN_TOKENS` tokens or more and for those of `LONG_TOKENS` or more.
+MIN_DOCS, LONG_DOCS, MIN_TOKENS, LONG_TOKENS = 3, 2, 5, 50
+#: Lines of fewer tokens are alike only if all tokens are the same or variable: one word of five makes another sentence.
+MIN_GENERAL = 8
+#: Lines of a leaf that found templates in one task, in the first round and at most (doubling from round to round).
+HEADS, MOST_HEADS = 250, 1000
 _DIGIT = re.compile(rb"[0-9]")
 _MASK = b"<*>"
-_WORDS = ["s1", "s2", "s3", "s4"]
-_byte: Memo = Memo(lambda w: xxhash.xxh32_intdigest(w) % 255 + 1, 200_000)
+_code: Memo = Memo(lambda w: 0 if w is _MASK else xxhash.xxh32_intdigest(w) or 1, 300_000)
 
 
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def parse(line: bytes, positions: bool = True) -> tuple[int, int, int, bytes]:
-    """Number of tokens, leaf, hash of the masked line, and the bytes of its sampled positions."""
+def masked(line: bytes) -> list[bytes]:
+    """The tokens of a line, those with a digit replaced by a mark."""
     tokens = line.split()
-    if _DIGIT.search(line):
-        tokens = [_MASK if _DIGIT.search(t) else t for t in tokens]
-    n = len(tokens)
-    leaf = xxhash.xxh64_intdigest(b" ".join(tokens[:LEAD]), seed=n)
-    exact = xxhash.xxh64_intdigest(b" ".join(tokens))
-    sample = b""
-    if positions:
-        taken = tokens if n <= POSITIONS else [tokens[i * (n - 1) // (POSITIONS - 1)] for i in range(POSITIONS)]
-        sample = bytes([0 if t is _MASK else _byte[t] for t in taken]).ljust(POSITIONS, b"\0")
-    return n, _signed(leaf), _signed(exact), sample
-
-
-def lines_of(docs: DataFrame, text: str, doc_id: str, positions: bool, min_tokens: int) -> DataFrame:
-    """The lines of at least `min_tokens` tokens: doc_id, row, line (from 0), first (1 where the document has it first), ..."""
-    names = ["doc_id", "row", "line", "first", "n", "leaf", "exact", *(_WORDS if positions else [])]
+    return [_MASK if _DIGIT.search(t) else t for t in tokens] if _DIGIT.search(line) else tokens
+
+
+def parse(tokens: list[bytes]) -> tuple[int, int]:
+    """The leaf and the hash of a masked line."""
+    return _signed(xxhash.xxh64_intdigest(b" ".join(tokens[:LEAD]), seed=len(tokens))), _signed(xxhash.xxh64_intdigest(b" ".join(tokens)))
+
+
+def lines_of(docs: DataFrame, text: str, doc_id: str, min_tokens: int) -> DataFrame:
+    """The lines of at least `min_tokens` tokens: doc_id, row, line (from 0), first (1 where the row has it first), n, leaf, exact."""
+    names = ["line", "first", "n", "leaf", "exact"]
 
     def run(batches):
         for batch in slices(batches, "text"):
-            keys, rows, out, samples = [], [], [], []
-            for key, row, t in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "row", "text")), strict=True):
+            at, out = [], []
+            for k, t in enumerate(batch.column("text").to_pylist()):
                 seen = set()
                 for i, line in enumerate((t or "").encode("utf-8", "replace").split(b"\n")):
-                    n, leaf, exact, sample = parse(line, positions)
-                    if n >= min_tokens:
-                        keys.append(key)
-                        rows.append(row)
-                        out.append((i, exact not in seen, n, leaf, exact))
+                    tokens = masked(line)
+                    if len(tokens) >= min_tokens:
+                        leaf, exact = parse(tokens)
+                        at.append(k)
+                        out.append((i, exact not in seen, len(tokens), leaf, exact))
                         seen.add(exact)
-                        samples.append(sample)
-            table = np.array(out, np.int64).reshape(len(out), 5)
-            cols = [pa.array(keys, pa.int64()), pa.array(rows, pa.int64()), *(pa.array(c) for c in table.T.copy())]
-            if positions:
-                cols += [pa.array(c.copy()) for c in np.frombuffer(b"".join(samples), "<i8").reshape(len(out), 4).T]
-            yield pa.RecordBatch.from_arrays(cols, names=names)
+            table = np.array(out, np.int64).reshape(len(out), len(names)).T.copy()
+            owner = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(c).take(owner) for c in ("doc_id", "row")] + [pa.array(c) for c in table], names=["doc_id", "row", *names])
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(doc_id, text).alias("row"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, ", ".join(f"{n} bigint" for n in names))
+    return rows.mapInArrow(run, f"doc_id {kind(docs, doc_id)}, row bigint, " + ", ".join(f"{n} bigint" for n in names))
 
 
-def _groups(samples: np.ndarray, most: int) -> np.ndarray | None:
-    """For each of some groups of positions (rows) a number a line, -1 where the group has a variable token.
+def tokens_of(docs: DataFrame, text: str, similarity: float) -> DataFrame:
+    """exact and tokens (four bytes each, 0 for a variable one) of the lines that can resemble another one."""
 
-    Lines that differ at `most` positions at most have the number of a group in common. None if that tells nothing.
-    """
-    fixed = (samples == samples[0]).all(0)
-    most -= int((samples[0][fixed] == 0).sum())
-    free = np.flatnonzero(~fixed)
-    if not 0 <= most < len(free):
-        return None
-    kinds = [len(np.unique(samples[:, p])) for p in free]
-    free = free[np.argsort(kinds, kind="stable")]
-    out = np.empty((most + 1, len(samples)), np.int32)
-    for g in range(most + 1):
-        key = np.zeros(len(samples), np.uint64)
-        for p in free[g :: most + 1]:
-            key = key * np.uint64(0x9E3779B97F4A7C15) + samples[:, p]
-        out[g] = np.unique(key, return_inverse=True)[1]
-        out[g][(samples[:, free[g :: most + 1]] == 0).any(1)] = -1
+    def run(batches):
+        for batch in slices(batches, text):
+            found = {}
+            for t in batch.column(text).to_pylist():
+                for line in (t or "").encode("utf-8", "replace").split(b"\n"):
+                    tokens = masked(line)
+                    if len(tokens) >= MIN_GENERAL and len(tokens) - tokens.count(_MASK) >= similarity * len(tokens):
+                        exact = parse(tokens)[1]
+                        if exact not in found:
+                            found[exact] = np.fromiter(map(_code.__getitem__, tokens), "<u4", len(tokens)).tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.int64()), pa.array(found.values(), pa.binary())], names=["exact", "tokens"])
+
+    return docs.select(text).mapInArrow(run, "exact bigint, tokens binary")
+
+
+def resembles(founders: np.ndarray, line: np.ndarray, similarity: float) -> int:
+    """The first founder that has enough tokens in common with the line, place by place; -1 if none has."""
+    alike = ((founders == line) & (line > 0)).sum(1) >= similarity * len(line) - 1e-9
+    best = int(alike.argmax()) if len(alike) else 0
+    return best if len(alike) and alike[best] else -1
+
+
+def grow(lines: list[bytes], similarity: float) -> list[int]:
+    """For each line of a leaf, in order, the place of the line that founded its template (its own, if it founds one)."""
+    rows = np.frombuffer(b"".join(lines), "<u4").reshape(len(lines), -1)
+    founders, places, out = np.zeros_like(rows), [], []
+    for i, row in enumerate(rows):
+        best = resembles(founders[: len(places)], row, similarity)
+        if best < 0:
+            best = len(places)
+            founders[best] = row
+            places.append(i)
+        out.append(places[best])
     return out
 
 
-def grow(samples: np.ndarray, n: int, similarity: float) -> np.ndarray:
-    """The template of each line of one leaf, lines in order: the most similar one, or a new one if none is similar enough.
+def _groups(batches, *key):
+    """Runs of rows with the same key, as lists of dictionaries without it."""
+    last, held = None, []
+    for batch in batches:
+        for row in batch.to_pylist():
+            own = tuple(row[k] for k in key)
+            if own != last and held:
+                yield held
+                held = []
+            last = own
+            held.append(row)
+    if held:
+        yield held
 
-    In a leaf of over `LEAF_LINES` lines a line is compared only with the templates whose first line shares a group of
-    positions with it. A template keeps tokens of its first line only, so no other can be similar enough: the result is the same.
-    """
-    size = min(n, POSITIONS)
-    samples = np.ascontiguousarray(samples[:, :size])
-    groups = _groups(samples, size - math.ceil(similarity * size)) if len(samples) > LEAF_LINES else None
-    if groups is not None:
-        # founders of each number of a group side by side, in room for all lines that have it
-        counts = [np.bincount(g + 1) for g in groups]
-        starts = [np.cumsum(c) - c for c in counts]
-        used = [np.zeros(len(c), np.int64) for c in counts]
-        slots = np.empty(groups.shape, np.int32)
-    templates = np.zeros((min(len(samples), 1024), size), np.uint8)
-    known, out = 0, np.zeros(len(samples), np.int64)
-    for i, s in enumerate(samples):
-        if groups is None:
-            near, pool = None, templates[:known]
-        else:
-            at = [(g, k + 1) for g, k in enumerate(groups[:, i].tolist()) if k >= 0]
-            parts = [slots[g, starts[g][k] : starts[g][k] + used[g][k]] for g, k in at]
-            near = np.concatenate(parts) if parts else np.zeros(0, np.int32)
-            pool = templates[near]
-        same = ((pool == s) & (s > 0)).sum(1) if len(pool) else np.zeros(0)
-        if len(pool) and same.max() >= similarity * size:
-            best = int(same.argmax()) if near is None else int(near[same == same.max()].min())
-            templates[best][templates[best] != s] = 0
-        else:
-            best = known
-            if known == len(templates):
-                templates = np.concatenate([templates, np.zeros_like(templates)])
-            templates[known] = s
-            known += 1
-            if groups is not None:
-                for g, k in at:
-                    slots[g, starts[g][k] + used[g][k]] = best
-                    used[g][k] += 1
-        out[i] = best
-    return out
 
+def templates(pool: DataFrame, similarity: float, heads: int = HEADS) -> DataFrame:
+    """(exact, template): for each line of `pool` (leaf, exact, docs, tokens) the hash of the line that founded its template.
 
-def recurring(docs: DataFrame, text: str, doc_id: str, min_docs: int, min_tokens: int, similarity: float) -> DataFrame:
-    """The masked lines whose template recurs: exact, first_id (the least doc_id that has the template)."""
-    own = [F.sum("first").alias("docs"), F.min("doc_id").alias("first_id")]
-    exact = checkpointed(lines_of(docs, text, doc_id, True, min_tokens).groupBy("leaf", "exact", "n").agg(*own, *(F.min(w).alias(w) for w in _WORDS)))
-    leaves = exact.groupBy("leaf").agg(F.count("*").alias("lines"), F.sum("docs").alias("all")).where((F.col("lines") > 1) & (F.col("all") >= min_docs))
-    # a line with too many variable tokens is like no other
-    filled = sum((F.shiftrightunsigned(w, 8 * k).bitwiseAND(F.lit(255)) != 0).cast("int") for w in _WORDS for k in range(8))
-    pool = exact.where((F.col("n") >= MIN_GENERAL) & (filled >= similarity * F.least("n", F.lit(POSITIONS)))).join(leaves.select("leaf"), "leaf")
-    cols = ["leaf", "n", "exact", "docs", "first_id", *_WORDS]
-    dealt = pool.select(*cols).repartition(partitions(docs.sparkSession), "leaf").sortWithinPartitions("leaf", "n", F.desc("docs"), "exact")
+    The lines of a leaf come in order of falling docs, then by hash, as if one task had parsed them one by one.
+    """
+    left, done = checkpointed(pool), []
+    schema = "leaf bigint, exact bigint, place int, template bigint, tokens binary"
 
-    def run(batches):
-        held, key = [], None
-
-        def settle():
-            rows, null = (np.concatenate(x) for x in zip(*held, strict=True))
-            samples = np.ascontiguousarray(rows[:, 5:]).view(np.uint8).reshape(len(rows), POSITIONS)
-            template = grow(samples, key[1], similarity)
-            often = (np.bincount(template, rows[:, 3]) >= min_docs)[template]
-            least = np.full(len(rows), np.iinfo(np.int64).max)
-            np.minimum.at(least, template[~null], rows[~null, 4])
-            named = np.zeros(len(rows), bool)
-            named[template[~null]] = True
-            first = pa.array(least[template][often], pa.int64(), mask=~named[template][often])
-            return pa.RecordBatch.from_arrays([pa.array(rows[often, 2]), first], names=["exact", "first_id"])
+    def found(batches):
+        for rows in _groups(batches, "leaf"):
+            at = grow([r["tokens"] for r in rows], similarity)
+            yield pa.RecordBatch.from_pylist([r | {"template": rows[k]["exact"], "tokens": r["tokens"] if k == i else None} for i, (r, k) in enumerate(zip(rows, at, strict=True))], _schema("leaf exact place template tokens"))
 
+    def compare(batches):
+        own, names, founders, out = None, [], [], []
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            null = batch.column("first_id").is_null().to_numpy(zero_copy_only=False)
-            rows = np.stack([pc.fill_null(batch.column(c), 0).to_numpy(zero_copy_only=False) for c in cols], 1)
-            ends = np.flatnonzero((rows[1:, :2] != rows[:-1, :2]).any(1)) + 1
-            for part, none in zip(np.split(rows, ends), np.split(null, ends), strict=True):
-                if (own_key := tuple(part[0, :2].tolist())) != key:
-                    if sum(len(r) for r, _ in held) > 1:
-                        yield settle()
-                    key, held = own_key, []
-                held.append((part, none))
-        if sum(len(r) for r, _ in held) > 1:
-            yield settle()
-
-    general = dealt.mapInArrow(run, "exact bigint, first_id bigint")
-    plain = exact.where(F.col("docs") >= min_docs).select("exact", "first_id")
-    return general.unionByName(plain).groupBy("exact").agg(F.min("first_id").alias("first_id"))
+            for r in batch.to_pylist():
+                if (r["leaf"], r["part"]) != own:
+                    own, names, founders, table = (r["leaf"], r["part"]), [], [], None
+                if r["place"] is not None:
+                    names.append(r["exact"])
+                    founders.append(r["tokens"])
+                    continue
+                if table is None:
+                    table = np.frombuffer(b"".join(founders), "<u4").reshape(len(founders), -1)
+                best = resembles(table, np.frombuffer(r["tokens"], "<u4"), similarity)
+                out.append({k: r[k] for k in ("leaf", "exact", "docs", "tokens")} | {"template": names[best] if best >= 0 else None})
+                if len(out) >= 2000:
+                    yield pa.RecordBatch.from_pylist(out, _schema("leaf exact docs tokens template"))
+                    out = []
+        if out:
+            yield pa.RecordBatch.from_pylist(out, _schema("leaf exact docs tokens template"))
+
+    while True:
+        order = Window.partitionBy("leaf").orderBy(F.desc("docs"), "exact")
+        first = left.withColumn("place", F.row_number().over(order)).where(F.col("place") <= heads)
+        first = checkpointed(first.select("leaf", "exact", "place", "tokens").mapInArrow(found, schema))
+        done.append(first.select("exact", "template"))
+        sizes = left.groupBy("leaf").agg(F.count("*").alias("size")).where(F.col("size") > heads)
+        wide = checkpointed(sizes.withColumn("parts", F.ceil(F.col("size") / heads).cast("int")))
+        if wide.isEmpty():
+            break
+        rest = lookup(left.join(first.select("exact"), "exact", "left_anti"), wide, "leaf", "size").withColumn("part", F.pmod("exact", "parts").cast("int"))
+        founders = first.where("tokens is not null").join(wide, "leaf").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        both = founders.select("leaf", "part", "place", "exact", F.lit(None).cast("bigint").alias("docs"), "tokens")
+        both = both.unionByName(rest.select("leaf", "part", F.lit(None).cast("int").alias("place"), "exact", "docs", "tokens"))
+        dealt = both.repartition(partitions(pool.sparkSession), "leaf", "part").sortWithinPartitions("leaf", "part", F.asc_nulls_last("place"))
+        met = checkpointed(dealt.mapInArrow(compare, "leaf bigint, exact bigint, docs bigint, tokens binary, template bigint"))
+        done.append(met.where("template is not null").select("exact", "template"))
+        left = met.where("template is null").drop("template")
+        heads = min(MOST_HEADS, 2 * heads)
+    out = done[0]
+    for more in done[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def _schema(names: str) -> pa.Schema:
+    return pa.schema([(n, pa.binary() if n == "tokens" else pa.int32() if n == "place" else pa.int64()) for n in names.split()])
 
 
 def drop_lines(
@@ -197,28 +198,47 @@ def drop_lines(
     min_docs: int = MIN_DOCS,
     min_tokens: int = MIN_TOKENS,
     similarity: float = SIMILARITY,
+    long_docs: int = LONG_DOCS,
+    long_tokens: int = LONG_TOKENS,
 ) -> DataFrame:
     """Every row with the lines of recurring templates dropped: doc_id, the columns `keep`, text, n_lines, n_dropped.
 
-    A template recurs if its different masked lines are held by at least `min_docs` rows, a row counting once for each
-    masked line that it holds; its lines stay in the row of least doc_id (the first copy of each there). Lines of fewer than `min_tokens` tokens always stay; those of fewer than `MIN_GENERAL` are compared whole, with variable
-    numbers. A null text stays null and has no lines; an empty text has one line. Repeated rows count as rows of their
-    own and fare alike; rows with a null id come after all others, and if only such rows hold a template its first lines stay in all of
-    them. An empty table gives an empty result. Only the named columns are read.
+    A template recurs if at least `min_docs` documents hold a line of it (`long_docs`, if it has `long_tokens` tokens or
+    more); a document counts once, however many of its lines are of the template, and rows with the same id and text are
+    one document. Its lines stay in the document of least doc_id (the first copy of each there). Lines of fewer than
+    `min_tokens` tokens always stay; those of fewer than `MIN_GENERAL` are compared whole, with variable numbers. A null
+    text stays null and has no lines; an empty text has one line. Repeated rows fare alike; null ids come after all
+    others, and if only rows with such ids hold a template its first lines stay in all of them. An empty table gives an
+    empty result. Only the named columns are read; doc_id may be of any type that can be ordered. A column of `keep` named
+    like one of the result's own gives way to it.
     """
-    known = checkpointed(recurring(docs, text, doc_id, min_docs, min_tokens, similarity))
-    lines = lines_of(docs, text, doc_id, False, min_tokens).select("doc_id", "row", "line", "first", "exact")
+    keep = tuple(c for c in dict.fromkeys(keep) if c not in ("doc_id", "text", "n_lines", "n_dropped"))
+    need = F.when(F.col("n") >= long_tokens, long_docs).otherwise(min_docs)
+    lines = checkpointed(lines_of(docs, text, doc_id, min_tokens))
+    exact = checkpointed(lines.groupBy("leaf", "exact", "n").agg(F.sum("first").alias("docs")))
+    leaves = exact.groupBy("leaf", "n").agg(F.count("*").alias("lines"), F.sum("docs").alias("all")).where((F.col("lines") > 1) & (F.col("n") >= MIN_GENERAL) & (F.col("all") >= need))
+    some = lookup(exact, leaves.select("leaf", "lines"), "leaf", "lines").select("leaf", "exact", "docs")
+    coded = tokens_of(docs, text, similarity).groupBy("exact").agg(F.min("tokens").alias("tokens")).join(some, "exact")
+    joined = checkpointed(templates(coded, similarity))
+    shared = joined.groupBy("template").agg(F.count("*").alias("lines")).where("lines > 1").select("template")
+    general = joined.join(shared, "template").select("exact", "template").join(exact.select("exact", "docs", "n"), "exact")
+    plain = exact.where(F.col("docs") >= need).join(general.select("exact"), "exact", "left_anti").select("exact", F.col("exact").alias("template"), "docs", "n")
+    hits = checkpointed(lookup(lines.select("doc_id", "row", "line", "first", "exact"), general.unionByName(plain), "exact", "docs"))
+    # one row a document and template before documents are counted
+    held = hits.groupBy("template", "row").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n")).groupBy("template").agg(F.count("*").alias("many"), F.min("doc_id").alias("first_id"), F.first("n").alias("n"))
+    recurring = checkpointed(held.where(F.col("many") >= need).select("template", "many", "first_id"))
     stays = (F.col("first") == 1) & F.col("doc_id").eqNullSafe(F.col("first_id"))
-    gone = lines.join(known, "exact").where(~stays).groupBy("row").agg(F.collect_set("line").alias("gone"))
-    base = docs.select(F.col(doc_id).alias("doc_id"), *keep, F.col(text).alias("text"), F.xxhash64(doc_id, text).alias("row"))
-    marked = base.join(gone, "row", "left").drop("row")
+    row, drops = free("row", ("doc_id", "text", *keep)), free("gone", ("doc_id", "text", *keep))
+    gone = lookup(hits.select("template", "doc_id", "row", "line", "first"), recurring, "template", "many").where(~stays).groupBy("row").agg(F.collect_set("line").alias(drops)).withColumnRenamed("row", row)
+    base = docs.select(F.col(doc_id).alias("doc_id"), *keep, F.col(text).alias("text"), F.xxhash64(doc_id, text).alias(row))
+    marked = base.join(gone, row, "left").drop(row)
     kinds = dict(marked.dtypes)
     names = ["doc_id", *keep, "text", "n_lines", "n_dropped"]
 
     def run(batches):
         for batch in slices(batches, "text"):
             texts, n, dropped = [], [], []
-            for t, g in zip(batch.column("text").to_pylist(), batch.column("gone").to_pylist(), strict=True):
+            for t, g in zip(batch.column("text").to_pylist(), batch.column(drops).to_pylist(), strict=True):
                 parts = [] if t is None else t.split("\n")
                 out = {*(g or ())}
                 n.append(len(parts))

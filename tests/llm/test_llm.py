@@ -167,42 +167,71 @@ def test_lines(spark):
     assert got[2]["text"] == base[2][1].split("\n")[0] and got[None]["text"] is None and got[None]["n_lines"] == 0
 
 
-def test_wide_leaves(spark, monkeypatch):
-    monkeypatch.setattr(line_templates, "LEAF_LINES", 2)
-    words = [f"word{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(64)]
-    free = min({*range(3, 64)} - {i * 63 // 31 for i in range(32)})  # no sampled position
-    with_word = lambda at, w: " ".join([*words[:at], w, *words[at + 1 :]])
-    alike = [with_word(free, "x" * k) for k in range(1, 6)]
-    apart = [" ".join(["some", "other", "lead", *(f"{chr(97 + k)}{chr(97 + i)}" for i in range(20))]) for k in range(5)]
-    rows = spark.createDataFrame([(k, f"{alike[k]}\n{apart[k]}") for k in range(5)], "doc_id bigint, text string")
-    got = {r["doc_id"]: r["text"] for r in line_templates.drop_lines(rows).collect()}
-    assert got == {0: f"{alike[0]}\n{apart[0]}"} | {k: apart[k] for k in range(1, 5)}
-
-
-def test_wide_leaves_with_varying_words(spark, monkeypatch):
-    name = lambda k: chr(97 + k // 26) + chr(97 + k % 26)
-    texts = [f"dear customer named {name(k)} of {name(59 - k)} your order has left our store today" for k in range(60)]
-    texts += [f"dear customer named {' '.join(name(k + 60 * j) for j in range(1, 11))}" for k in range(10)]
-    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
-    got = []
-    for most in (2000, 20):
-        monkeypatch.setattr(line_templates, "LEAF_LINES", most)
-        got.append({r["doc_id"]: r["n_dropped"] for r in line_templates.drop_lines(rows).collect()})
-    assert got[0] == got[1] == {k: int(0 < k < 60) for k in range(70)}
+def dropped(rows):
+    return {r["doc_id"]: r["n_dropped"] for r in line_templates.drop_lines(rows).collect()}
+
+
+def test_all_tokens_of_long_lines_count(spark):
+    word = lambda k: "".join(chr(97 + int(c)) for c in str(k))
+    kept = {i * 319 // 31 for i in range(32)}
+    apart = [" ".join(word(i) if i in kept or i < 3 else word(1000 * (d + 1) + i) for i in range(320)) for d in range(4)]
+    assert set(dropped(spark.createDataFrame(list(enumerate(apart)), "doc_id bigint, text string")).values()) == {0}
+    alike = [" ".join(f"other{word(d)}" if i == 100 else word(i) for i in range(320)) for d in range(4)]
+    assert dropped(spark.createDataFrame(list(enumerate(alike)), "doc_id bigint, text string")) == {0: 0, 1: 1, 2: 1, 3: 1}
 
 
-def test_template_index_gives_the_same_templates(monkeypatch):
+def test_documents_are_counted_not_lines(spark):
+    line = "the order of customer {} has left our store this morning"
+    rows = [(0, "\n".join(map(line.format, ("ann", "bob", "carl")))), (1, line.format("dora"))]
+    assert dropped(spark.createDataFrame(rows, "doc_id bigint, text string")) == {0: 0, 1: 0}
+    assert dropped(spark.createDataFrame([*rows, (2, line.format("emil"))], "doc_id bigint, text string")) == {0: 0, 1: 1, 2: 1}
+    long = " ".join(f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(50))
+    assert dropped(spark.createDataFrame([(0, long), (1, long), (2, long[:-4]), (3, long[:-4])], "doc_id bigint, text string")) == {0: 0, 1: 1, 2: 0, 3: 0}
+
+
+def test_unrelated_lines_change_nothing(spark, monkeypatch):
+    name = lambda k: chr(97 + k // 26) + chr(97 + k % 26)
+    texts = [f"dear customer named {name(k)} of {name(59 - k)} your order has left our store today" for k in range(60)]
+    lone = [f"dear customer named {' '.join(name(k + 60 * j) for j in range(1, 11))}" for k in range(10)]
+    monkeypatch.setattr(line_templates, "MOST_HEADS", 7)
+    for heads in (1000, 3, 20):
+        monkeypatch.setattr(line_templates.templates, "__defaults__", (heads,))
+        assert dropped(spark.createDataFrame(list(enumerate(texts + lone)), "doc_id bigint, text string")) == {k: int(0 < k < 60) for k in range(70)}
+    assert dropped(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")) == {k: int(0 < k) for k in range(60)}
+
+
+def plain_templates(lines, similarity=0.7):
+    founders, out = [], {}
+    for exact, tokens in lines:
+        for name, own in founders:
+            if sum(a == b != 0 for a, b in zip(own, tokens)) >= similarity * len(tokens) - 1e-9:
+                out[exact] = name
+                break
+        else:
+            founders.append((exact, tokens))
+            out[exact] = exact
+    return out
+
+
+def test_rounds_give_a_sequential_parse(spark):
     rng = np.random.default_rng(0)
-    for case in range(30):
-        n, rows = int(rng.integers(8, 50)), int(rng.integers(2, 300))
-        samples = rng.integers(1, [3, 20, 256][case % 3], (9, 32))[rng.integers(0, 9, rows)]
-        samples = np.where(rng.random((rows, 32)) < [0.05, 0.2, 0.35][case // 3 % 3], rng.integers(0, 256, (rows, 32)), samples).astype(np.uint8)
-        samples[:, min(n, 32) :] = 0
-        got = []
-        for most in (1 << 30, 1):
-            monkeypatch.setattr(line_templates, "LEAF_LINES", most)
-            got.append(line_templates.grow(samples, n, 0.7).tolist())
-        assert got[0] == got[1]
+    rows, want = [], {}
+    for leaf, (n, size) in enumerate([(9, 40), (30, 25), (12, 1), (100, 12), (8, 60)]):
+        base = rng.integers(1, 9, (4, n))
+        lines = np.where(rng.random((size, n)) < 0.25, rng.integers(0, 9, (size, n)), base[rng.integers(0, 4, size)]).astype("<u4")
+        own = sorted((int(d), 1000 * leaf + k, x) for k, (d, x) in enumerate(zip(rng.integers(1, 5, size), lines)))
+        own.sort(key=lambda r: (-r[0], r[1]))
+        rows += [(leaf, exact, d, bytearray(x.tobytes())) for d, exact, x in own]
+        want |= plain_templates([(exact, x.tolist()) for _, exact, x in own])
+    pool = spark.createDataFrame(rows, "leaf bigint, exact bigint, docs bigint, tokens binary").repartition(3)
+    for heads in (1000, 4, 1):
+        assert {r["exact"]: r["template"] for r in line_templates.templates(pool, 0.7, heads).collect()} == want
+
+
+def test_kept_columns_may_have_any_name(spark):
+    rows = spark.createDataFrame([("a", "one two three four five", 1, 2, 3)] * 2 + [("b", "one two three four five", 1, 2, 3), ("c", "one two three four five", 1, 2, 3)], "doc_id string, text string, row int, gone int, n_lines int")
+    got = sorted(map(tuple, line_templates.drop_lines(rows, keep=("row", "gone", "n_lines")).collect()))
+    assert got == [("a", 1, 2, "one two three four five", 1, 0)] * 2 + [("b", 1, 2, "", 1, 1), ("c", 1, 2, "", 1, 1)]
 
 
 def test_difference_and_plan():

@@ -52,29 +52,24 @@ def lines(rows):
         for line in (text or "").split("\n"):
             if len(words := masked(line)) >= 5:
                 held[tuple(words)].add(i)
-    first = {w: min(ids) for w, ids in held.items() if len(ids) >= 3}
     leaves = defaultdict(list)
     for w in held:
-        if len(w) >= 8:
-            leaves[len(w), w[:3]].append(w)
+        leaves[len(w), w[:3] if len(w) >= 8 else w].append(w)
+    first = {}
     for (n, _), own in leaves.items():
-        own.sort(key=lambda w: (-len(held[w]), line_templates.parse(" ".join(w).replace("<*>", "0").encode())[2]))
-        at = range(n) if n <= 32 else [k * (n - 1) // 31 for k in range(32)]
-        templates, members = [], []
+        own.sort(key=lambda w: (-len(held[w]), line_templates.parse([x.encode() for x in w])[1]))
+        groups = []
         for w in own:
-            sample = [w[k] for k in at]
-            same = [sum(a == b != "<*>" for a, b in zip(t, sample)) for t in templates]
-            best = same.index(max(same)) if same else 0
-            if same and same[best] >= 0.7 * len(sample):
-                templates[best] = [a if a == b else None for a, b in zip(templates[best], sample)]
-                members[best].append(w)
+            for group in groups:
+                if sum(a == b != "<*>" for a, b in zip(group[0], w)) >= 0.7 * n:
+                    group.append(w)
+                    break
             else:
-                templates.append(sample)
-                members.append([w])
-        for group in members:
-            if sum(len(held[w]) for w in group) >= 3:
-                least = min(min(held[w]) for w in group)
-                first |= {w: min(least, first.get(w, least)) for w in group}
+                groups.append([w])
+        for group in groups:
+            ids = set().union(*map(held.get, group))
+            if len(ids) >= (2 if n >= 50 else 3):
+                first |= dict.fromkeys(group, min(ids))
     out = {}
     for i, (text, lang) in rows.items():
         kept, seen, dropped = [], set(), 0
