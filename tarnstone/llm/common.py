@@ -49,9 +49,9 @@ def lookup(left: DataFrame, right: DataFrame, key: str, weight: str) -> DataFram
     """`left` joined with the one row that `right` has for a key, without one task that holds a frequent key.
 
     `weight` counts the rows that `left` may have for a key. Keys with more than one in `MOST_HOT` of all, of which there are
-    fewer than `MOST_HOT` at every size, are broadcast; the others are shuffled. `right` should have a few narrow columns.
+    fewer than `MOST_HOT` at every size, are broadcast; the others are shuffled. `right` should have a few narrow columns
+    and be cheap to read more than once.
     """
-    right = checkpointed(right)
     total = right.agg(F.sum(weight)).first()[0] or 0
     often = F.col(weight) * MOST_HOT > total
     hot, cold = right.where(often), right.where(~often)
@@ -59,6 +59,36 @@ def lookup(left: DataFrame, right: DataFrame, key: str, weight: str) -> DataFram
     return fast.unionByName(left.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold.hint("merge"), key))
 
 
+#: Bits of a `Bloom` filter at most: 16 MB, whatever the number of keys.
+MOST_BITS = 1 << 27
+
+
+class Bloom:
+    """A Bloom filter (Bloom 1970) over a column of 64-bit hashes, of a size that is bounded whatever the number of keys.
+
+    It has 16 bits or more a key until `MOST_BITS` is reached; beyond some 20 million keys it lets more and more others
+    through, so it may only spare work before an exact join. The driver receives its words, never the keys.
+    """
+
+    def __init__(self, keys: DataFrame, column: str):
+        bits = 1 << 16
+        while bits < min(MOST_BITS, 16 * keys.count()):
+            bits *= 2
+        spots = F.array(F.col(column).bitwiseAND(bits - 1), F.shiftrightunsigned(column, 32).bitwiseAND(bits - 1))
+        at = keys.select(F.explode(spots).alias("at"))
+        words = at.groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits")).toPandas()
+        self.words, self.mask = np.zeros(bits >> 6, np.uint64), np.uint64(bits - 1)
+        self.words[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).view(np.uint64)
+
+    def has(self, keys: np.ndarray) -> np.ndarray:
+        """Whether each of an array of 64-bit hashes may be a key."""
+        keys = keys.view(np.uint64)
+        out = np.ones(len(keys), bool)
+        for at in (keys & self.mask, keys >> np.uint64(32) & self.mask):
+            out &= (self.words[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+        return out
+
+
 def columns(batch: pa.RecordBatch, *names: str) -> list[list]:
     return [batch.column(name).to_pylist() for name in names]
 

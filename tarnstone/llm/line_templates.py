@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Memo, checkpointed, free, kind, lookup, partitions, slices
+from .common import Bloom, Memo, checkpointed, free, kind, lookup, partitions, slices
 
 LEAD, SIMILARITY = 3, 0.7
 #: Documents that a template needs, for lines of `MIN_TOKENS` tokens or more and for those of `LONG_TOKENS` or more.
@@ -75,22 +75,26 @@ def lines_of(docs: DataFrame, text: str, doc_id: str, min_tokens: int) -> DataFr
     return rows.mapInArrow(run, f"doc_id {kind(docs, doc_id)}, row bigint, " + ", ".join(f"{n} bigint" for n in names))
 
 
-def tokens_of(docs: DataFrame, text: str, similarity: float) -> DataFrame:
-    """exact and tokens (four bytes each, 0 for a variable one) of the lines that can resemble another one."""
+def tokens_of(docs: DataFrame, text: str, wanted: DataFrame, similarity: float) -> DataFrame:
+    """`wanted` (with a column exact) and the tokens (four bytes each, 0 for a variable one) of those lines that can resemble another one."""
+    sent = docs.sparkSession.sparkContext.broadcast(Bloom(wanted, "exact"))
 
     def run(batches):
+        may, tried = sent.value, Memo(lambda _: False, 300_000)
         for batch in slices(batches, text):
-            found = {}
+            held: dict[int, list] = {}
             for t in batch.column(text).to_pylist():
                 for line in (t or "").encode("utf-8", "replace").split(b"\n"):
                     tokens = masked(line)
                     if len(tokens) >= MIN_GENERAL and len(tokens) - tokens.count(_MASK) >= similarity * len(tokens):
-                        exact = parse(tokens)[1]
-                        if exact not in found:
-                            found[exact] = np.fromiter(map(_code.__getitem__, tokens), "<u4", len(tokens)).tobytes()
-            yield pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.int64()), pa.array(found.values(), pa.binary())], names=["exact", "tokens"])
+                        held.setdefault(parse(tokens)[1], tokens)
+            names = np.fromiter((k for k in held if not tried[k]), np.int64)
+            names = names[may.has(names)]
+            tried.update(dict.fromkeys(names.tolist(), True))
+            coded = [np.fromiter(map(_code.__getitem__, held[k]), "<u4", len(held[k])).tobytes() for k in names.tolist()]
+            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(coded, pa.binary())], names=["exact", "tokens"])
 
-    return docs.select(text).mapInArrow(run, "exact bigint, tokens binary")
+    return docs.select(text).mapInArrow(run, "exact bigint, tokens binary").join(wanted, "exact").dropDuplicates(["exact"])
 
 
 def resembles(founders: np.ndarray, line: np.ndarray, similarity: float) -> int:
@@ -168,7 +172,7 @@ def templates(pool: DataFrame, similarity: float, heads: int = HEADS) -> DataFra
         first = checkpointed(first.select("leaf", "exact", "place", "tokens").mapInArrow(found, schema))
         done.append(first.select("exact", "template"))
         sizes = left.groupBy("leaf").agg(F.count("*").alias("size")).where(F.col("size") > heads)
-        wide = checkpointed(sizes.withColumn("parts", F.ceil(F.col("size") / heads).cast("int")))
+        wide = sizes.withColumn("parts", F.ceil(F.col("size") / heads).cast("int"))
         if wide.isEmpty():
             break
         rest = lookup(left.join(first.select("exact"), "exact", "left_anti"), wide, "leaf", "size").withColumn("part", F.pmod("exact", "parts").cast("int"))
@@ -218,12 +222,12 @@ def drop_lines(
     exact = checkpointed(lines.groupBy("leaf", "exact", "n").agg(F.sum("first").alias("docs")))
     leaves = exact.groupBy("leaf", "n").agg(F.count("*").alias("lines"), F.sum("docs").alias("all")).where((F.col("lines") > 1) & (F.col("n") >= MIN_GENERAL) & (F.col("all") >= need))
     some = lookup(exact, leaves.select("leaf", "lines"), "leaf", "lines").select("leaf", "exact", "docs")
-    coded = tokens_of(docs, text, similarity).groupBy("exact").agg(F.min("tokens").alias("tokens")).join(some, "exact")
-    joined = checkpointed(templates(coded, similarity))
+    joined = templates(tokens_of(docs, text, checkpointed(some), similarity), similarity)
     shared = joined.groupBy("template").agg(F.count("*").alias("lines")).where("lines > 1").select("template")
     general = joined.join(shared, "template").select("exact", "template").join(exact.select("exact", "docs", "n"), "exact")
     plain = exact.where(F.col("docs") >= need).join(general.select("exact"), "exact", "left_anti").select("exact", F.col("exact").alias("template"), "docs", "n")
-    hits = checkpointed(lookup(lines.select("doc_id", "row", "line", "first", "exact"), general.unionByName(plain), "exact", "docs"))
+    wanted = checkpointed(general.unionByName(plain))
+    hits = checkpointed(lookup(lines.select("doc_id", "row", "line", "first", "exact"), wanted, "exact", "docs"))
     # one row a document and template before documents are counted
     held = hits.groupBy("template", "row").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n")).groupBy("template").agg(F.count("*").alias("many"), F.min("doc_id").alias("first_id"), F.first("n").alias("n"))
     recurring = checkpointed(held.where(F.col("many") >= need).select("template", "many", "first_id"))
