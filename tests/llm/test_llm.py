@@ -295,10 +295,10 @@ def test_groups_by_brute_force(spark):
                 seen[x] = i
                 stack += links[x]
     assert {i: got[i]["class_id"] for i, _ in rows} == seen
-    assert minhash_forest.expected_recall() >= 0.999
+    assert minhash_forest.meeting(0.8, minhash_forest.prefix_length(), minhash_forest.TREES) >= 0.999
 
 
-def test_blocks_give_the_same_counts(spark, monkeypatch):
+def test_blocks_and_parts_give_the_same_groups(spark, monkeypatch):
     rng = random.Random(4)
     base = [f"w{i}" for i in range(120)]
     rows = []
@@ -306,11 +306,60 @@ def test_blocks_give_the_same_counts(spark, monkeypatch):
         w = list(base)
         w[rng.randrange(120)] = f"x{i}"
         rows.append((i, " ".join(w)))
+    for i in range(40, 60):  # about 0.75 alike: they meet, but few are linked
+        w = list(base)
+        for k in (2, 60, 110):
+            w[k + rng.randrange(-2, 3)] = f"y{i}"
+        rows.append((i, " ".join(w)))
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
-    whole = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in minhash_forest.jaccard_groups(df).collect()}
-    monkeypatch.setattr(minhash_forest, "BLOCK_ROWS", 7)
-    assert {r["doc_id"]: (r["class_id"], r["n_links"]) for r in minhash_forest.jaccard_groups(df).collect()} == whole
-    assert len({c for c, _ in whole.values()}) == 1
+    run = lambda: {r["doc_id"]: (r["class_id"], r["n_links"]) for r in minhash_forest.jaccard_groups(df).collect()}
+    whole = run()
+    sets = {i: set(minhash_forest.shingles(t).tolist()) for i, t in rows}
+    links = {i: sum(len(s & o) >= 0.8 * len(s | o) for j, o in sets.items() if j != i) for i, s in sets.items()}
+    assert {i: n for i, (_, n) in whole.items()} == links and len({c for i, (c, _) in whole.items() if i < 40}) == 1
+    for name, value in (("BLOCK_ROWS", 7), ("PART_PAIRS", 3), ("FEW", 0)):
+        monkeypatch.setattr(minhash_forest, name, value)
+        assert run() == whole
+
+
+def test_work_grows_with_a_group_not_its_square(spark, monkeypatch):
+    rng = random.Random(6)
+    base = [f"w{i}" for i in range(150)]
+    tried = []
+    monkeypatch.setattr(minhash_forest, "verify", lambda pairs, *rest, real=minhash_forest.verify: tried.append(pairs.count()) or real(pairs, *rest))
+    for size in (100, 400):
+        rows = []
+        for i in range(size):
+            w = list(base)
+            w[rng.randrange(150)] = f"x{i}"
+            rows.append((i, " ".join(w)))
+        tried.clear()
+        got = minhash_forest.jaccard_groups(spark.createDataFrame(rows, "doc_id bigint, text string"), count_links=False)
+        assert {(r["class_id"], r["n_links"]) for r in got.collect()} == {(0, None)}
+        assert sum(tried) <= 6 * size
+
+
+def test_recall_of_a_query_set_against_all_rows(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    sets = {r["doc_id"]: set(minhash_forest.shingles(r["text"]).tolist()) for r in docs.select("doc_id", "text").collect()}
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in minhash_forest.jaccard_groups(docs).collect()}
+    found = wanted = 0
+    for i in sets:
+        if i % 100 == 0:
+            near = [j for j, s in sets.items() if j != i and s and len(s & sets[i]) >= 0.8 * len(s | sets[i])]
+            wanted += len(near)
+            found += min(got[i][1], len(near))
+            assert got[i][1] <= len(near)
+            if got[i][1] == len(near):
+                assert {got[j][0] for j in near} <= {got[i][0]}
+    assert found >= 0.99 * wanted
+
+
+def test_one_of_each_with_clashing_columns(spark):
+    rows = [(2, PROSE, 1, 2, "a"), (1, PROSE, 3, 4, "b"), (1, PROSE, 3, 4, "b"), (5, None, 5, 6, "c"), (5, None, 5, 6, "c"), (6, "", 7, 8, "d"), (None, PROSE, 9, 9, "e")]
+    df = spark.createDataFrame(rows, "doc_id int, text string, _row int, row int, `group` string")
+    assert sorted(map(tuple, minhash_forest.one_of_each(df).collect())) == [(1, PROSE, 3, 4, "b"), (5, None, 5, 6, "c"), (6, "", 7, 8, "d")]
+    assert minhash_forest.one_of_each(df.where("false")).collect() == []
 
 
 def test_components(spark):
