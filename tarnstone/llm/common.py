@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -42,17 +43,20 @@ def free(name: str, taken: Iterable[str]) -> str:
 
 
 #: Keys that may be broadcast by `lookup`: at most so many can each hold more than one part in so many of all rows.
-MOST_HOT = 1000
+MOST_HOT, MANY = 1000, 300
 
 
-def lookup(left: DataFrame, right: DataFrame, key: str, weight: str) -> DataFrame:
+def lookup(left: DataFrame, right: DataFrame, key: str, weight: str, ready: bool = False) -> DataFrame:
     """`left` joined with the one row that `right` has for a key, without one task that holds a frequent key.
 
-    `weight` counts the rows that `left` may have for a key. Keys with more than one in `MOST_HOT` of all, of which there are
-    fewer than `MOST_HOT` at every size, are broadcast; the others are shuffled. `right` should have a few narrow columns
-    and be cheap to read more than once.
+    `weight` counts the rows that `left` may have for a key. Where one goes beyond `MANY`, keys with more than one in `MOST_HOT`
+    of all rows, of which there are fewer than `MOST_HOT` at every size, are broadcast and the others shuffled. `right`
+    should have a few narrow columns; it is stored first unless it is `ready`.
     """
-    total = right.agg(F.sum(weight)).first()[0] or 0
+    right = right if ready else settled(right)
+    total, most = right.agg(F.sum(weight), F.max(weight)).first()
+    if (most or 0) <= MANY:
+        return left.join(right.hint("merge"), key)
     often = F.col(weight) * MOST_HOT > total
     hot, cold = right.where(often), right.where(~often)
     fast = left.join(F.broadcast(hot), key)
@@ -99,6 +103,17 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a table in the shared folder, read again.
+
+    Unlike a checkpoint it tells the planner its true size (a checkpoint keeps the estimate of its plan, which loops of joins
+    multiply without bound), and small files are read many to a task.
+    """
+    path = f"{shared_folder(df.sparkSession)}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that `spark.checkpoint.dir` names.
 

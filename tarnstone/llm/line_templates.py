@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Bloom, Memo, checkpointed, free, kind, lookup, partitions, slices
+from .common import Bloom, Memo, free, kind, lookup, partitions, settled, slices
 
 LEAD, SIMILARITY = 3, 0.7
 #: Documents that a template needs, for lines of `MIN_TOKENS` tokens or more and for those of `LONG_TOKENS` or more.
@@ -138,7 +138,7 @@ def templates(pool: DataFrame, similarity: float, heads: int = HEADS) -> DataFra
 
     The lines of a leaf come in order of falling docs, then by hash, as if one task had parsed them one by one.
     """
-    left, done = checkpointed(pool), []
+    left, done = settled(pool), []
     schema = "leaf bigint, exact bigint, place int, template bigint, tokens binary"
 
     def found(batches):
@@ -169,7 +169,7 @@ def templates(pool: DataFrame, similarity: float, heads: int = HEADS) -> DataFra
     while True:
         order = Window.partitionBy("leaf").orderBy(F.desc("docs"), "exact")
         first = left.withColumn("place", F.row_number().over(order)).where(F.col("place") <= heads)
-        first = checkpointed(first.select("leaf", "exact", "place", "tokens").mapInArrow(found, schema))
+        first = settled(first.select("leaf", "exact", "place", "tokens").mapInArrow(found, schema))
         done.append(first.select("exact", "template"))
         sizes = left.groupBy("leaf").agg(F.count("*").alias("size")).where(F.col("size") > heads)
         wide = sizes.withColumn("parts", F.ceil(F.col("size") / heads).cast("int"))
@@ -180,7 +180,7 @@ def templates(pool: DataFrame, similarity: float, heads: int = HEADS) -> DataFra
         both = founders.select("leaf", "part", "place", "exact", F.lit(None).cast("bigint").alias("docs"), "tokens")
         both = both.unionByName(rest.select("leaf", "part", F.lit(None).cast("int").alias("place"), "exact", "docs", "tokens"))
         dealt = both.repartition(partitions(pool.sparkSession), "leaf", "part").sortWithinPartitions("leaf", "part", F.asc_nulls_last("place"))
-        met = checkpointed(dealt.mapInArrow(compare, "leaf bigint, exact bigint, docs bigint, tokens binary, template bigint"))
+        met = settled(dealt.mapInArrow(compare, "leaf bigint, exact bigint, docs bigint, tokens binary, template bigint"))
         done.append(met.where("template is not null").select("exact", "template"))
         left = met.where("template is null").drop("template")
         heads = min(MOST_HEADS, 2 * heads)
@@ -218,19 +218,19 @@ def drop_lines(
     """
     keep = tuple(c for c in dict.fromkeys(keep) if c not in ("doc_id", "text", "n_lines", "n_dropped"))
     need = F.when(F.col("n") >= long_tokens, long_docs).otherwise(min_docs)
-    lines = checkpointed(lines_of(docs, text, doc_id, min_tokens))
-    exact = checkpointed(lines.groupBy("leaf", "exact", "n").agg(F.sum("first").alias("docs")))
+    lines = settled(lines_of(docs, text, doc_id, min_tokens))
+    exact = settled(lines.groupBy("leaf", "exact", "n").agg(F.sum("first").alias("docs")))
     leaves = exact.groupBy("leaf", "n").agg(F.count("*").alias("lines"), F.sum("docs").alias("all")).where((F.col("lines") > 1) & (F.col("n") >= MIN_GENERAL) & (F.col("all") >= need))
     some = lookup(exact, leaves.select("leaf", "lines"), "leaf", "lines").select("leaf", "exact", "docs")
-    joined = templates(tokens_of(docs, text, checkpointed(some), similarity), similarity)
+    joined = templates(tokens_of(docs, text, settled(some), similarity), similarity)
     shared = joined.groupBy("template").agg(F.count("*").alias("lines")).where("lines > 1").select("template")
     general = joined.join(shared, "template").select("exact", "template").join(exact.select("exact", "docs", "n"), "exact")
     plain = exact.where(F.col("docs") >= need).join(general.select("exact"), "exact", "left_anti").select("exact", F.col("exact").alias("template"), "docs", "n")
-    wanted = checkpointed(general.unionByName(plain))
-    hits = checkpointed(lookup(lines.select("doc_id", "row", "line", "first", "exact"), wanted, "exact", "docs"))
+    wanted = settled(general.unionByName(plain))
+    hits = settled(lookup(lines.select("doc_id", "row", "line", "first", "exact"), wanted, "exact", "docs", ready=True))
     # one row a document and template before documents are counted
     held = hits.groupBy("template", "row").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n")).groupBy("template").agg(F.count("*").alias("many"), F.min("doc_id").alias("first_id"), F.first("n").alias("n"))
-    recurring = checkpointed(held.where(F.col("many") >= need).select("template", "many", "first_id"))
+    recurring = (held.where(F.col("many") >= need).select("template", "many", "first_id"))
     stays = (F.col("first") == 1) & F.col("doc_id").eqNullSafe(F.col("first_id"))
     row, drops = free("row", ("doc_id", "text", *keep)), free("gone", ("doc_id", "text", *keep))
     gone = lookup(hits.select("template", "doc_id", "row", "line", "first"), recurring, "template", "many").where(~stays).groupBy("row").agg(F.collect_set("line").alias(drops)).withColumnRenamed("row", row)

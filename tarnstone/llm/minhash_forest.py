@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Bloom, Memo, checkpointed, free, kind, lookup, mix, partitions, slices
+from .common import Bloom, Memo, free, kind, lookup, mix, partitions, settled, slices
 from .graph import components
 
 WIDTH, THRESHOLD, TREES, LABEL, RECALL = 5, 0.8, 64, 12, 0.999
@@ -164,7 +164,7 @@ def verify_blocks(pairs: DataFrame, sets: DataFrame, threshold: float, groups: D
     The sets of a group go out in blocks of some `BLOCK_ROWS`; a block receives the set of each b once, with the a to compare.
     """
     split = F.pmod(F.xxhash64("a"), F.ceil(F.col("size") / BLOCK_ROWS))
-    pairs = checkpointed(lookup(pairs, groups.withColumnRenamed("c", "ca"), "ca", "size").select("a", "b", "ca", "cb", F.xxhash64("ca", split).alias("block")))
+    pairs = settled(lookup(pairs, groups.withColumnRenamed("c", "ca"), "ca", "size").select("a", "b", "ca", "cb", F.xxhash64("ca", split).alias("block")))
     sizes = pairs.groupBy("block").agg(F.count("*").alias("size")).withColumn("parts", F.ceil(F.col("size") / (100 * PART_PAIRS)).cast("int"))
     asked = lookup(pairs, sizes, "block", "size").withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int"))
     asked = asked.groupBy("block", "part", "b", "ca", "cb").agg(F.collect_list("a").alias("many")).join(sets.select(F.col("k1").alias("b"), "set"), "b")
@@ -202,7 +202,7 @@ class Groups:
     """The groups found so far: `of` has columns k1 and c (the least class linked to it, itself if none is)."""
 
     def __init__(self, nodes: DataFrame, sets: DataFrame, threshold: float):
-        self.of, self.sets, self.threshold = checkpointed(nodes.select("k1", F.col("k1").alias("c"))), sets, threshold
+        self.of, self.sets, self.threshold = settled(nodes.select("k1", F.col("k1").alias("c"))), sets, threshold
         self.tried, self.links = None, []
 
     def join(self, pairs: DataFrame, dense: bool = False) -> None:
@@ -210,18 +210,18 @@ class Groups:
         pairs = pairs.where("ca <> cb").select("a", "b", "ca", "cb").dropDuplicates(["a", "b"])
         if self.tried is not None:
             pairs = pairs.join(self.tried, ["a", "b"], "left_anti")
-        pairs = checkpointed(pairs)
+        pairs = settled(pairs)
         if pairs.isEmpty():
             return
         self.tried = pairs.select("a", "b") if self.tried is None else self.tried.unionByName(pairs.select("a", "b"))
         sizes = self.of.groupBy("c").agg(F.count("*").alias("size"))
-        links = checkpointed(verify_blocks(pairs, self.sets, self.threshold, sizes) if dense else verify(pairs, self.sets, self.threshold))
+        links = settled(verify_blocks(pairs, self.sets, self.threshold, sizes) if dense else verify(pairs, self.sets, self.threshold))
         if links.isEmpty():
             return
         self.links.append(links.select("likeness"))
         merged = components(links.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
         moved = sizes.join(merged.withColumnRenamed("node", "c"), "c", "left").select("c", "size", F.coalesce("component", "c").alias("fresh"))
-        self.of = checkpointed(lookup(self.of, moved, "c", "size").select("k1", F.col("fresh").alias("c")))
+        self.of = settled(lookup(self.of, moved, "c", "size").select("k1", F.col("fresh").alias("c")))
 
     def met(self, length: int, trees: int) -> float:
         """The estimated share of all links that prefixes of this length bring together; one link at the threshold is added."""
@@ -235,7 +235,8 @@ class Groups:
 def forest_groups(tries: DataFrame, sets: DataFrame, threshold: float, trees: int, length: int, shortest: int, recall: float) -> DataFrame:
     """(k1, c): the group of each class in `tries` (root, k1, label)."""
     groups = Groups(tries.select("k1").distinct(), sets, threshold)
-    for depth in range(length, shortest - 1, -1):
+    depth = length
+    while True:
         place = tries.select("k1", F.xxhash64("root", F.expr(f"substring(label, 1, {depth})")).alias("place"))
         for first in (True, False) if depth == length else (False,):
             seen = place.join(groups.of, "k1")
@@ -247,27 +248,28 @@ def forest_groups(tries: DataFrame, sets: DataFrame, threshold: float, trees: in
                 best = often.groupBy("a", "ca").agg(F.max(F.struct("times", -F.col("b"), "b", "cb")).alias("best"))
                 pairs = best.select("a", "ca", "best.b", "best.cb")
             groups.join(pairs)
-        if groups.met(depth, trees) >= recall:
+        if depth == shortest or groups.met(depth, trees) >= recall:
             break
-    seen = checkpointed(place.join(groups.of, "k1"))
+        depth = next((k for k in range(depth - 1, shortest, -1) if groups.met(k, trees) >= recall), shortest)
+    seen = settled(place.join(groups.of, "k1"))
     owners = seen.groupBy("place", "c").agg(F.count("*").alias("own"))
     mixed = owners.groupBy("place").agg(F.sum("own").alias("size"), F.count("*").alias("kinds"), F.max(F.struct("own", "c")).alias("most")).where("kinds > 1 and size > 2")
-    mixed = checkpointed(mixed.select("place", "size", F.col("most.c").alias("main"), (F.col("size") - F.col("most.own")).alias("strays")))
-    members = checkpointed(lookup(seen, mixed, "place", "size"))
+    mixed = settled(mixed.select("place", "size", F.col("most.c").alias("main"), (F.col("size") - F.col("most.own")).alias("strays")))
+    members = settled(lookup(seen, mixed, "place", "size", ready=True))
     few = members.where(F.col("strays") <= FEW)
     strays = few.where("c <> main").select("place", F.col("k1").alias("b"), F.col("c").alias("cb"))
     groups.join(few.select("place", F.col("k1").alias("a"), F.col("c").alias("ca")).join(strays, "place"), dense=True)
     # places of many strays are compared whole, once for each set of members
     many = members.where(F.col("strays") > FEW)
     same = many.groupBy("place").agg(F.count("*").alias("size"), F.sum(F.xxhash64("k1").cast("decimal(38,0)")).alias("sum")).groupBy("size", "sum").agg(F.min("place").alias("place"))
-    whole = checkpointed(many.join(same.select("place"), "place").select(F.col("place").alias("component"), "k1"))
+    whole = settled(many.join(same.select("place"), "place").select(F.col("place").alias("component"), "k1"))
     if not whole.isEmpty():
         near = blocks(whole, sets, threshold).select("row", "root").distinct()
         own, other = groups.of.select(F.col("k1").alias("row"), F.col("c").alias("a")), groups.of.select(F.col("k1").alias("root"), F.col("c").alias("b"))
         merged = components(near.join(own, "row").join(other, "root").select("a", "b"))
         sizes = groups.of.groupBy("c").agg(F.count("*").alias("size"))
         moved = sizes.join(merged.withColumnRenamed("node", "c"), "c", "left").select("c", "size", F.coalesce("component", "c").alias("fresh"))
-        groups.of = checkpointed(lookup(groups.of, moved, "c", "size").select("k1", F.col("fresh").alias("c")))
+        groups.of = settled(lookup(groups.of, moved, "c", "size").select("k1", F.col("fresh").alias("c")))
     return groups.of
 
 
@@ -372,26 +374,26 @@ def jaccard_groups(
     them, `group` names the row's group.
     """
     shortest = prefix_length(threshold, trees, LABEL, recall)
-    members = checkpointed(signatures(docs, text, doc_id, width, trees, LABEL))
+    members = settled(signatures(docs, text, doc_id, width, trees, LABEL))
     worded = members.where("n > 0")
-    classes = checkpointed(worded.groupBy("k1").agg(F.count("*").alias("copies"), F.min("row").alias("rep"), F.min("doc_id").alias("first_id"), F.first("n").alias("n")))
+    classes = settled(worded.groupBy("k1").agg(F.count("*").alias("copies"), F.min("row").alias("rep"), F.min("doc_id").alias("first_id"), F.first("n").alias("n")))
     # subtries below a root that holds two classes or more
     shared = roots(worded, trees, LABEL, shortest).groupBy("root").agg(F.min("k1").alias("low"), F.max("k1").alias("high"), F.count("*").alias("size"))
-    shared = checkpointed(shared.where("low < high").select("root", "size"))
-    tries = checkpointed(lookup(roots(worded, trees, LABEL, shortest, shared), shared, "root", "size").select("root", "k1", "label").distinct())
+    shared = settled(shared.where("low < high").select("root", "size"))
+    tries = settled(lookup(roots(worded, trees, LABEL, shortest, shared), shared, "root", "size", ready=True).select("root", "k1", "label").distinct())
     wanted = classes.join(tries.select("k1").distinct(), "k1").select("rep", "k1", "copies", "n")
-    sets = checkpointed(shingle_sets(docs, text, doc_id, width, wanted))
+    sets = settled(shingle_sets(docs, text, doc_id, width, wanted))
     found = forest_groups(tries, sets, threshold, trees, LABEL, shortest, recall)
     of_class = classes.join(found, "k1", "left").withColumn("group", F.coalesce("c", "k1"))
     least = of_class.groupBy("group").agg(F.min("first_id").alias("class_id"), F.count("*").alias("size"))
     if count_links:
         several = least.where("size > 1").select("group", "size")
         grouped = lookup(found.withColumnRenamed("c", "group"), several, "group", "size").select(F.col("group").alias("component"), "k1")
-        counted = blocks(checkpointed(grouped), sets, threshold).groupBy(F.col("row").alias("k1")).agg(F.sum("links").alias("links"))
+        counted = blocks(settled(grouped), sets, threshold).groupBy(F.col("row").alias("k1")).agg(F.sum("links").alias("links"))
         of_class = of_class.join(counted, "k1", "left").withColumn("n_links", F.coalesce("links", F.lit(0)) + F.col("copies") - 1)
     else:
         of_class = of_class.withColumn("n_links", F.lit(None).cast("long"))
-    of_class = checkpointed(lookup(of_class.select("k1", "copies", "n_links", "group"), least, "group", "size").select("k1", "copies", "class_id", "group", "n_links"))
+    of_class = (lookup(of_class.select("k1", "copies", "n_links", "group"), least, "group", "size").select("k1", "copies", "class_id", "group", "n_links"))
     out = lookup(worded.select("doc_id", "row", "k1"), of_class, "k1", "copies").select("doc_id", "class_id", "n_links", "row", "group")
     alone = members.where("n = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), "row", F.col("row").alias("group"))
     return out.unionByName(alone)
