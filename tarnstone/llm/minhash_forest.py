@@ -9,7 +9,7 @@
    are not compared again. Then the recall is estimated from the links found, each weighed by the inverse of the chance with
    which its likeness makes it meet at that length (Horvitz and Thompson 1952), and the prefixes are shortened until the
    target is met, or the shortest one is reached, which meets it by its length.
-4. At the last length, nodes that still hold several groups have their remaining pairs verified too. The
+4. At the last length, nodes that still hold several groups are compared whole, in blocks. The
    components of the verified links are the groups; links are counted inside groups, in blocks of bounded size.
 """
 
@@ -25,7 +25,7 @@ from .common import Bloom, Memo, free, kind, lookup, mix, partitions, settled, s
 from .graph import components
 
 WIDTH, THRESHOLD, TREES, LABEL, RECALL = 5, 0.8, 64, 12, 0.999
-BLOCK_ROWS, BLOCK_SHINGLES, PART_PAIRS, FEW = 1500, 1_500_000, 500, 32
+BLOCK_ROWS, BLOCK_SHINGLES, PART_PAIRS = 1500, 1_500_000, 500
 
 
 def meeting(likeness, length: int, trees: int):
@@ -158,46 +158,6 @@ def verify(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return dealt.select("a", "b", "ca", "cb", "set").mapInArrow(run, "a bigint, b bigint, ca bigint, cb bigint, likeness double")
 
 
-def verify_blocks(pairs: DataFrame, sets: DataFrame, threshold: float, groups: DataFrame) -> DataFrame:
-    """As `verify`, for many pairs of each b with members a of few groups (c, size).
-
-    The sets of a group go out in blocks of some `BLOCK_ROWS`; a block receives the set of each b once, with the a to compare.
-    """
-    split = F.pmod(F.xxhash64("a"), F.ceil(F.col("size") / BLOCK_ROWS))
-    pairs = settled(lookup(pairs, groups.withColumnRenamed("c", "ca"), "ca", "size").select("a", "b", "ca", "cb", F.xxhash64("ca", split).alias("block")))
-    sizes = pairs.groupBy("block").agg(F.count("*").alias("size")).withColumn("parts", F.ceil(F.col("size") / (100 * PART_PAIRS)).cast("int"))
-    asked = lookup(pairs, sizes, "block", "size").withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int"))
-    asked = asked.groupBy("block", "part", "b", "ca", "cb").agg(F.collect_list("a").alias("many")).join(sets.select(F.col("k1").alias("b"), "set"), "b")
-    given = pairs.select("block", "a").distinct().join(sizes, "block").join(sets.select(F.col("k1").alias("a"), "set"), "a")
-    given = given.select("block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "a", "set")
-    both = asked.withColumn("a", F.lit(None).cast("bigint")).unionByName(given, allowMissingColumns=True)
-    dealt = both.repartition(partitions(pairs.sparkSession), "block", "part").sortWithinPartitions("block", "part", F.asc_nulls_last("a"))
-
-    def run(batches):
-        own, held = None, {}
-        for batch in batches:
-            out = []
-            for block, part, a, b, ca, cb, many, raw in zip(*(batch.column(c).to_pylist() for c in ("block", "part", "a", "b", "ca", "cb", "many", "set")), strict=True):
-                if (block, part) != own:
-                    own, held = (block, part), {}
-                got = np.frombuffer(raw, np.uint64)
-                if a is not None:
-                    held[a] = got
-                    continue
-                others = [held[x] for x in many]
-                owner = np.repeat(np.arange(len(others)), [len(x) for x in others])
-                flat = np.concatenate(others)
-                at = np.minimum(np.searchsorted(got, flat), len(got) - 1)
-                shared = np.bincount(owner[got[at] == flat], minlength=len(others))
-                for x, other, n in zip(many, others, shared.tolist(), strict=True):
-                    if n >= threshold * (len(got) + len(other) - n) - 1e-9:
-                        out.append((x, b, ca, cb, n / (len(got) + len(other) - n)))
-            table = list(zip(*out, strict=True)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(table, [pa.int64()] * 4 + [pa.float64()], strict=True)], names=["a", "b", "ca", "cb", "likeness"])
-
-    return dealt.select("block", "part", "a", "b", "ca", "cb", "many", "set").mapInArrow(run, "a bigint, b bigint, ca bigint, cb bigint, likeness double")
-
-
 class Groups:
     """The groups found so far: `of` has columns k1 and c (the least class linked to it, itself if none is)."""
 
@@ -205,7 +165,7 @@ class Groups:
         self.of, self.sets, self.threshold = settled(nodes.select("k1", F.col("k1").alias("c"))), sets, threshold
         self.tried, self.links = None, []
 
-    def join(self, pairs: DataFrame, dense: bool = False) -> None:
+    def join(self, pairs: DataFrame) -> None:
         """Verify pairs (a, b, ca, cb) that were not tried before, and merge the groups of those that are alike."""
         pairs = pairs.where("ca <> cb").select("a", "b", "ca", "cb").dropDuplicates(["a", "b"])
         if self.tried is not None:
@@ -214,12 +174,16 @@ class Groups:
         if pairs.isEmpty():
             return
         self.tried = pairs.select("a", "b") if self.tried is None else self.tried.unionByName(pairs.select("a", "b"))
-        sizes = self.of.groupBy("c").agg(F.count("*").alias("size"))
-        links = settled(verify_blocks(pairs, self.sets, self.threshold, sizes) if dense else verify(pairs, self.sets, self.threshold))
+        links = settled(verify(pairs, self.sets, self.threshold))
         if links.isEmpty():
             return
         self.links.append(links.select("likeness"))
-        merged = components(links.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+        self.merge(links.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+
+    def merge(self, links: DataFrame) -> None:
+        """Merge the groups a and b of each row."""
+        merged = components(links)
+        sizes = self.of.groupBy("c").agg(F.count("*").alias("size"))
         moved = sizes.join(merged.withColumnRenamed("node", "c"), "c", "left").select("c", "size", F.coalesce("component", "c").alias("fresh"))
         self.of = settled(lookup(self.of, moved, "c", "size").select("k1", F.col("fresh").alias("c")))
 
@@ -251,25 +215,17 @@ def forest_groups(tries: DataFrame, sets: DataFrame, threshold: float, trees: in
         if depth == shortest or groups.met(depth, trees) >= recall:
             break
         depth = next((k for k in range(depth - 1, shortest, -1) if groups.met(k, trees) >= recall), shortest)
+    # what the least class of a node does not link: nodes that still hold several groups, once for each set of members
     seen = settled(place.join(groups.of, "k1"))
     owners = seen.groupBy("place", "c").agg(F.count("*").alias("own"))
-    mixed = owners.groupBy("place").agg(F.sum("own").alias("size"), F.count("*").alias("kinds"), F.max(F.struct("own", "c")).alias("most")).where("kinds > 1 and size > 2")
-    mixed = settled(mixed.select("place", "size", F.col("most.c").alias("main"), (F.col("size") - F.col("most.own")).alias("strays")))
-    members = settled(lookup(seen, mixed, "place", "size", ready=True))
-    few = members.where(F.col("strays") <= FEW)
-    strays = few.where("c <> main").select("place", F.col("k1").alias("b"), F.col("c").alias("cb"))
-    groups.join(few.select("place", F.col("k1").alias("a"), F.col("c").alias("ca")).join(strays, "place"), dense=True)
-    # places of many strays are compared whole, once for each set of members
-    many = members.where(F.col("strays") > FEW)
-    same = many.groupBy("place").agg(F.count("*").alias("size"), F.sum(F.xxhash64("k1").cast("decimal(38,0)")).alias("sum")).groupBy("size", "sum").agg(F.min("place").alias("place"))
-    whole = settled(many.join(same.select("place"), "place").select(F.col("place").alias("component"), "k1"))
+    mixed = owners.groupBy("place").agg(F.sum("own").alias("size"), F.count("*").alias("kinds")).where("kinds > 1 and size > 2").select("place", "size")
+    members = settled(lookup(seen, mixed, "place", "size").select("place", "size", "k1"))
+    same = members.groupBy("place", "size").agg(F.bit_xor("k1").alias("mark")).groupBy("size", "mark").agg(F.min("place").alias("place"))
+    whole = settled(members.join(same.select("place"), "place").select(F.col("place").alias("component"), "k1"))
     if not whole.isEmpty():
-        near = blocks(whole, sets, threshold).select("row", "root").distinct()
+        near = blocks(whole, sets, threshold).where("row <> root").select("row", "root").distinct()
         own, other = groups.of.select(F.col("k1").alias("row"), F.col("c").alias("a")), groups.of.select(F.col("k1").alias("root"), F.col("c").alias("b"))
-        merged = components(near.join(own, "row").join(other, "root").select("a", "b"))
-        sizes = groups.of.groupBy("c").agg(F.count("*").alias("size"))
-        moved = sizes.join(merged.withColumnRenamed("node", "c"), "c", "left").select("c", "size", F.coalesce("component", "c").alias("fresh"))
-        groups.of = settled(lookup(groups.of, moved, "c", "size").select("k1", F.col("fresh").alias("c")))
+        groups.merge(near.join(own, "row").join(other, "root").select("a", "b").where("a <> b"))
     return groups.of
 
 

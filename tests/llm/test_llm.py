@@ -317,7 +317,7 @@ def test_blocks_and_parts_give_the_same_groups(spark, monkeypatch):
     sets = {i: set(minhash_forest.shingles(t).tolist()) for i, t in rows}
     links = {i: sum(len(s & o) >= 0.8 * len(s | o) for j, o in sets.items() if j != i) for i, s in sets.items()}
     assert {i: n for i, (_, n) in whole.items()} == links and len({c for i, (c, _) in whole.items() if i < 40}) == 1
-    for name, value in (("BLOCK_ROWS", 7), ("PART_PAIRS", 3), ("FEW", 0)):
+    for name, value in (("BLOCK_ROWS", 7), ("PART_PAIRS", 3)):
         monkeypatch.setattr(minhash_forest, name, value)
         assert run() == whole
 
