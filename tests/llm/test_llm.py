@@ -107,6 +107,25 @@ def test_bpe_equals_the_whole(odd):
     assert sorted(r["text"] for r in bpe_chunks.decode_documents(encoded, RANKS, public_tokenizers.PATTERN).collect()) == sorted(r[1] or "" for r in odd_rows())
 
 
+def test_texts_of_many_chunks_and_stretches(spark, monkeypatch):
+    rng = random.Random(8)
+    mixed = "".join(rng.choice(["word", " ", "  \n", "it's ", "\u00e9t\u00e9 ", "12", "3456 ", "\u65e5\u672c", "!? ", "\U0001f600"]) for _ in range(9000))
+    texts = [(1, mixed), (1, mixed), (None, mixed[::-1]), (2, "1" * 9000), (3, " " * 5000 + "x"), (4, "a" * 7000), (5, "short"), (6, None), (7, mixed[:3000])]
+    docs = spark.createDataFrame(texts, "doc_id int, text string").repartition(3)
+    coder = bpe_chunks.chunked_bpe(RANKS, public_tokenizers.PATTERN)
+    want = sorted((str(i), coder.engine.encode_ordinary(t or "")) for i, t in texts)
+    for chunk, stretch, margin in ((1 << 13, 1 << 20, 1 << 13), (200, 1 << 20, 100), (200, 3000, 400), (1 << 13, 2000, 50)):
+        monkeypatch.setattr(bpe_chunks, "MARGIN", margin)
+        monkeypatch.setattr(bpe_chunks.ChunkedBpe.__init__, "__defaults__", (chunk, 40, 250_000))
+        small = bpe_chunks.ChunkedBpe(RANKS, public_tokenizers.PATTERN)
+        assert all(small.encode(t) == coder.engine.encode_ordinary(t or "") for _, t in texts)
+        got = bpe_chunks.encode_documents(docs, RANKS, public_tokenizers.PATTERN, ids=True, stretch=stretch).collect()
+        assert sorted((str(r["doc_id"]), r["ids"]) for r in got) == want
+        for r in got:
+            assert r["n_tokens"] == len(r["ids"]) and r["ids_sha256"] == hashlib.sha256(",".join(map(str, r["ids"])).encode()).hexdigest()
+            assert r["decoded_sha256"] == hashlib.sha256(coder.engine.decode_bytes(r["ids"])).hexdigest()
+
+
 def test_counts_by_brute_force():
     rng = random.Random(7)
     texts = [None, "", " \x0b\x1c "] + [" ".join(rng.choice(["a", "b", "c#", "d\n", "\u00e9|"]) for _ in range(rng.randint(0, 60))) for _ in range(80)]
