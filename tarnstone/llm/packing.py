@@ -1,11 +1,11 @@
 """Packing token ids into sequences by Karmarkar-Karp multiway differencing.
 
 Every task tokenises the documents of its partition and packs them in lots of about `LOT_WINDOWS` sequences, so nothing
-is shuffled and memory is bounded by a lot. Whole sequences are cut off long documents first. In a lot, the pieces of
-what remains are differenced into `m` windows: the two partial
-partitions with the largest imbalance merge, the fullest windows of one with the emptiest of the other. If a window
-exceeds the capacity, the window count rises and the lot is partitioned anew. What a whole number of windows cannot hold
-is cut off before and laid in sequences whose lengths are powers of two, which need no padding.
+is shuffled and memory is bounded by a lot. Whole sequences are cut off long documents first. In a lot, what remains of the
+documents is differenced into windows: the two partial partitions with the largest imbalance merge, the fullest windows of
+one with the emptiest of the other. If a window exceeds the capacity, the window count rises. Only where that does not
+help, as with few long remainders, the pieces are cut in two and differenced anew. What a lot's windows cannot hold goes to the
+next lot; the last lot of a task lays its rest in sequences whose lengths are powers of two, which need no padding.
 """
 
 from __future__ import annotations
@@ -22,11 +22,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .common import Memo, slices
+from .common import Memo, kind, slices
 
-CAPACITY, LOT_WINDOWS, PIECE, END_ID = 4096, 64, 512, 2
-ALLOWANCES = (16, 48)  # tokens by which the mean window is kept under the capacity, tried in turn
+CAPACITY, LOT_WINDOWS, END_ID = 4096, 128, 2
+#: Tokens by which the mean window of a lot is kept under the capacity, longest pieces tried, least length of a stub.
+ALLOWANCE, PIECES, LEAST_STUB = 12, (4096, 2048, 1024, 512, 256, 128), 256
 _SPACES = "\t-\r \x85\xa0  -     　"
 _CHUNK = re.compile(f"[^{_SPACES}]+")
 _ODD_SPLIT = re.compile("[\x1c-\x1f]")
@@ -120,104 +122,116 @@ def difference(sizes: np.ndarray, windows: int) -> np.ndarray:
     return label[:n]
 
 
-def plan(lengths: list[int], capacity: int = CAPACITY, piece: int = PIECE) -> list[tuple[int, int, int, int, int]]:
-    """Lay documents of these lengths in sequences: (document, start, length, sequence, offset) of each piece."""
-    full = [(d, s, capacity) for d, n in enumerate(lengths) for s in range(0, n - capacity + 1, capacity)]
+def windows_of(sizes: list[int], capacity: int) -> tuple[list[tuple[int, int, int]], list[int], int]:
+    """Pieces (item, start, length), the window of each, and how many windows there are; none exceeds the capacity."""
+    total = sum(sizes)
+    least = -(-total // capacity)
+    for piece in (*PIECES, 1):
+        piece = max(1, piece * capacity // CAPACITY)
+        pieces = [(i, s, min(piece, n - s)) for i, n in enumerate(sizes) for s in range(0, n, piece)]
+        lengths = np.array([p[2] for p in pieces], np.int64)
+        # beyond one window more, shorter pieces waste less
+        for windows in (least, least + 1):
+            at = difference(lengths, windows)
+            if not len(lengths) or np.bincount(at, lengths).max() <= capacity:
+                return pieces, at.tolist(), windows
+    raise AssertionError("single ids always fit")
+
+
+def plan(lengths: list[int], capacity: int = CAPACITY, last: bool = True) -> tuple[list[tuple[int, int, int, int, int]], list[tuple[int, int]]]:
+    """Lay documents of these lengths in sequences: (document, start, length, sequence, offset) of each piece, and what is carried on.
+
+    The rest, (document, start) of each that is not laid whole, is empty for the `last` lot.
+    """
+    out, sequence = [], 0
     begin = [n // capacity * capacity for n in lengths]
-    lengths = np.asarray(lengths, np.int64) % capacity
-    total = int(lengths.sum())
-    for allowance in (*ALLOWANCES, None):
-        windows = total // capacity if allowance is not None else -(-total // capacity)
-        spare = total - windows * (capacity - allowance) if allowance is not None else 0
-        if spare < 0:
-            windows, spare = -(-total // capacity), 0
-        rest, tails = lengths.copy(), []
-        i = len(rest) - 1
-        while spare:  # the largest powers of two first, taken from the ends of the last documents
-            need = min(capacity, 1 << (spare.bit_length() - 1))
-            spare -= need
-            parts = []
-            while need:
-                take = min(need, int(rest[i]))
-                if take:
-                    rest[i] -= take
-                    parts.append((i, int(rest[i]), take))
-                    need -= take
-                if not rest[i]:
-                    i -= 1
-            tails.append(parts)
-        pieces = [(d, s, min(piece, n - s)) for d, n in enumerate(rest.tolist()) for s in range(0, n, piece)]
-        sizes = np.array([p[2] for p in pieces], np.int64)
-        while windows:
-            at = difference(sizes, windows)
-            if not len(sizes) or np.bincount(at, sizes).max() <= capacity:
-                break
-            if allowance is not None:
-                at = None
-                break
-            windows += 1
-        else:
-            at = np.zeros(0, np.int64)
-        if at is not None:
-            break
-    out, fill = [], [0] * windows
-    for (d, s, n), w in zip(pieces, at.tolist(), strict=True):
-        out.append((d, begin[d] + s, n, w, fill[w]))
+    for d, n in enumerate(begin):
+        for s in range(0, n, capacity):
+            out.append((d, s, capacity, sequence, 0))
+            sequence += 1
+    rest = [n - b for n, b in zip(lengths, begin, strict=True)]
+    whole = sum(rest) // capacity
+    room = max(0, whole * capacity - whole * max(1, ALLOWANCE * capacity // CAPACITY)) if whole else 0
+    taken, left = [0] * len(rest), room
+    for d, n in enumerate(rest):  # the first documents, the last of them cut where the room ends
+        taken[d] = min(n, left)
+        left -= taken[d]
+    pieces, at, windows = windows_of(taken, capacity)
+    fill = [0] * windows
+    for (d, s, n), w in zip(pieces, at, strict=True):
+        out.append((d, begin[d] + s, n, sequence + w, fill[w]))
         fill[w] += n
-    for k, parts in enumerate(tails):
-        offset = 0
-        for d, s, n in parts:
-            out.append((d, begin[d] + s, n, windows + k, offset))
+    sequence += windows
+    over = [(d, begin[d] + t) for d, (t, n) in enumerate(zip(taken, rest, strict=True)) if t < n]
+    if not last:
+        return out, over
+    # stubs: the largest powers of two first, down to LEAST_STUB; what is less stands alone
+    spare = sum(lengths[d] - s for d, s in over)
+    while spare:
+        need = min(capacity, 1 << (spare.bit_length() - 1))
+        need = need if need >= LEAST_STUB else spare
+        spare, offset = spare - need, 0
+        while offset < need:
+            d, s = over[0]
+            n = min(need - offset, lengths[d] - s)
+            out.append((d, s, n, sequence, offset))
             offset += n
-    after = windows + len(tails)
-    return out + [(d, s, n, after + k, 0) for k, (d, s, n) in enumerate(full)]
+            over[0] = (d, s + n)
+            if s + n == lengths[d]:
+                over.pop(0)
+        sequence += 1
+    return out, []
 
 
 def pack(docs: DataFrame, tokenizer: str, text: str = "text", doc_id: str = "doc_id", capacity: int = CAPACITY, end: int = END_ID, ids: bool = False) -> DataFrame:
     """Pack all rows. One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and the ids).
 
     A null text counts as empty and gives the end id alone. Rows with equal or null ids are packed one by one. Each id lies
-    in exactly one piece; the pieces of a sequence lie gapless from offset 0. An empty table gives no pieces. Only the two
-    named columns are read. Sequence ids are unique; their upper bits are those of the partition.
+    in exactly one piece; the pieces of a sequence lie gapless from offset 0. Texts may be of any length; a lot holds at least
+    one whole text. An empty table gives no pieces. Only the two named columns are read; doc_id may be of any type. Sequence ids are unique; their upper
+    bits are those of the partition.
     """
 
     def run(batches):
-        encoder = word_bpe(tokenizer)
         base, lot, held, sequence = TaskContext.get().partitionId() << 40, [], 0, 0
+        encoder = word_bpe(tokenizer)
 
-        def emit():
-            nonlocal sequence
-            rows = plan([len(x) for _, x in lot], capacity)
-            if not rows:
-                return
-            parts = [lot[d][1][s : s + n] for d, s, n, _, _ in rows]
-            cols = [
-                pa.array([lot[r[0]][0] for r in rows], pa.int64()),
-                pa.array([r[1] for r in rows], pa.int64()),
-                pa.array([r[2] for r in rows], pa.int64()),
-                pa.array([zlib.crc32(p.tobytes()) for p in parts], pa.int64()),
-                pa.array([len(lot[r[0]][1]) for r in rows], pa.int64()),
-                pa.array([base + sequence + r[3] for r in rows], pa.int64()),
-                pa.array([r[4] for r in rows], pa.int64()),
-            ]
-            sequence += max(r[3] for r in rows) + 1
-            names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
-            if ids:
-                cols.append(pa.array([p.astype(np.int32) for p in parts], pa.list_(pa.int32())))
-                names.append("ids")
-            yield pa.RecordBatch.from_arrays(cols, names=names)
-
-        for batch in slices(batches, text):
-            for key, value in zip(batch.column(doc_id).to_pylist(), batch.column(text).to_pylist(), strict=True):
-                lot.append((key, encoder.encode(value, end)))
+        def emit(last):
+            """A lot is a list of (key, ids, start of what is left of them)."""
+            nonlocal lot, held, sequence
+            rows, over = plan([len(x) - s for _, x, s in lot], capacity, last)
+            if rows:
+                parts = [lot[d][1][lot[d][2] + s : lot[d][2] + s + n] for d, s, n, _, _ in rows]
+                cols = [
+                    pa.array([lot[r[0]][0] for r in rows], key_type),
+                    pa.array([lot[r[0]][2] + r[1] for r in rows], pa.int64()),
+                    pa.array([r[2] for r in rows], pa.int64()),
+                    pa.array([zlib.crc32(p.tobytes()) for p in parts], pa.int64()),
+                    pa.array([len(lot[r[0]][1]) for r in rows], pa.int64()),
+                    pa.array([base + sequence + r[3] for r in rows], pa.int64()),
+                    pa.array([r[4] for r in rows], pa.int64()),
+                ]
+                sequence += max(r[3] for r in rows) + 1
+                names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+                if ids:
+                    cols.append(pa.array([p.astype(np.int32) for p in parts], pa.list_(pa.int32())))
+                    names.append("ids")
+                yield pa.RecordBatch.from_arrays(cols, names=names)
+            lot = [(lot[d][0], lot[d][1], lot[d][2] + s) for d, s in over]
+            held = sum(len(x) - s for _, x, s in lot)
+
+        key_type = None
+        for batch in slices(batches, "text"):
+            key_type = batch.column("doc_id").type
+            for key, value in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                lot.append((key, encoder.encode(value, end), 0))
                 held += len(lot[-1][1])
                 if held >= LOT_WINDOWS * capacity:
-                    yield from emit()
-                    lot, held = [], 0
-        yield from emit()
+                    yield from emit(False)
+        yield from emit(True)
 
-    schema = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint" + ", ids array<int>" * ids
-    return docs.select(doc_id, text).mapInArrow(run, schema)
+    schema = f"doc_id {kind(docs, doc_id)}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint" + ", ids array<int>" * ids
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, schema)
 
 
 def plain_ids(tokenizer, text: str | None, end: int = END_ID) -> list[int]:

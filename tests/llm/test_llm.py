@@ -257,7 +257,8 @@ def test_difference_and_plan():
     assert sorted(np.bincount(packing.difference(np.array([8, 7, 6, 5, 4]), 2), [8, 7, 6, 5, 4])) == [14, 16]
     rng = random.Random(2)
     for lengths in ([1], [4096], [5000, 3, 1], [rng.randint(1, 9000) for _ in range(60)], [1] * 500):
-        rows = packing.plan(lengths)
+        rows, over = packing.plan(lengths)
+        assert over == []
         for d, n in enumerate(lengths):
             mine = sorted((s, k) for i, s, k, _, _ in rows if i == d)
             assert sum(k for _, k in mine) == n and all(a + k == b for (a, k), (b, _) in zip(mine, mine[1:])) and mine[0][0] == 0
@@ -269,6 +270,24 @@ def test_difference_and_plan():
             assert parts[0][0] == 0 and all(a + k == b for (a, k), (b, _) in zip(parts, parts[1:])) and sum(k for _, k in parts) <= 4096
 
 
+def test_lots_carry_their_rest_and_pad_little():
+    rng = np.random.default_rng(3)
+    for mean in (300, 2500, 3900):
+        lengths = np.clip(rng.lognormal(np.log(mean), 0.9, 900).astype(int), 1, 30000).tolist()
+        rows, over = packing.plan(lengths, last=False)
+        laid, fill = Counter(), Counter()
+        for d, _, n, w, _ in rows:
+            laid[d] += n
+            fill[w] += n
+        assert all(laid[d] + sum(n - s for e, s in over if e == d) == n for d, n in enumerate(lengths))
+        assert sum(n - s for d, s in over for n in [lengths[d]]) < 2 * packing.CAPACITY + 12 * len(fill)
+        assert sum(fill.values()) > 0.97 * packing.CAPACITY * len(fill)
+        last = Counter()
+        for _, _, n, w, _ in packing.plan(lengths)[0]:
+            last[w] += n
+        assert sum(n < 256 for n in last.values()) <= 1 and min(fill.values()) >= 256
+
+
 def test_packed_ids(odd):
     from tokenizers import Tokenizer
 
