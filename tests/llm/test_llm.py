@@ -107,6 +107,46 @@ def test_bpe_equals_the_whole(odd):
     assert sorted(r["text"] for r in bpe_chunks.decode_documents(encoded, RANKS, public_tokenizers.PATTERN).collect()) == sorted(r[1] or "" for r in odd_rows())
 
 
+def test_forest_by_a_plain_version():
+    rng = np.random.default_rng(1)
+    rows = np.round(rng.normal(size=(400, 5)), 1)
+    rows[:200, 2] = 0
+    forest = quality_forest.IsolationForest(rows, trees=20, rows=64)
+
+    def path(x, at, depth):
+        if forest.left[at] == at:
+            return forest.length[at], depth
+        return path(x, int((forest.left if x[forest.feature[at]] <= forest.cut[at] else forest.right)[at]), depth + 1)
+
+    for x, got in zip(rows[::7], forest.score(rows[::7])):
+        found = [path(x, root, 0) for root in forest.roots]
+        assert all(d <= length for length, d in found)
+        mean = sum(length for length, _ in found) / len(found)
+        harmonic = sum(1 / k for k in range(1, 64))
+        assert abs(got - 2 ** (-mean / (2 * harmonic - 2 * 63 / 64))) < 2e-3  # c(64) by its definition
+    far = np.concatenate([rows, [[50, 50, 50, 50, 50]]])
+    assert forest.score(far).argmax() == 400
+
+
+def test_threshold_by_brute_force():
+    rng = np.random.default_rng(2)
+    for _ in range(40):
+        scores, good = np.round(rng.random(60), 2), rng.random(60) < 0.7
+        cut = quality_forest.calibrate(scores, good, 0.05)
+        judge = lambda c: ((scores[~good] > c).mean() if (~good).any() else 0) - (scores[good] > c).mean()
+        allowed = [c for c in scores if (scores[good] > c).mean() <= 0.05]
+        assert cut in allowed and abs(judge(cut) - max(map(judge, allowed))) < 1e-12
+
+
+def test_sample_is_the_lowest_hashes_at_every_size(spark):
+    from pyspark.sql import functions as F
+
+    rows = spark.range(5000).select(F.xxhash64("id").alias("h"), "id")
+    want = sorted((r["h"], r["id"]) for r in rows.collect())
+    for most in (10, 300, 2400, 9000):
+        assert [(r["h"], r["id"]) for r in quality_forest._lowest(rows, [F.col("h"), F.col("id")], most).collect()] == want[:most]
+
+
 def test_texts_of_many_chunks_and_stretches(spark, monkeypatch):
     rng = random.Random(8)
     mixed = "".join(rng.choice(["word", " ", "  \n", "it's ", "\u00e9t\u00e9 ", "12", "3456 ", "\u65e5\u672c", "!? ", "\U0001f600"]) for _ in range(9000))
