@@ -10,11 +10,12 @@ the corpus reaches the driver or every executor.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, slices
+from .common import Bloom, checkpointed, kind, slices
 
 HEAD, MU, _BITS = 1 << 17, 20.0, 21
 _DENSE = 1 << 22
@@ -50,31 +51,49 @@ class Coded:
         self.packed = (symbols[distinct // (k * k)] << _BITS | symbols[distinct // k % k]) << _BITS | symbols[distinct % k]
 
 
-def counts(docs: DataFrame, text: str = "text", target: str = "target") -> DataFrame:
-    """(gram, background, target): occurrences over all rows and over those where `target` is true."""
+def occurrences(docs: DataFrame, text: str) -> DataFrame:
+    """(gram, n): occurrences by task; the same trigram may come several times."""
 
     def run(batches):
         held: list[tuple] = []
 
         def merged():
             grams, at = np.unique(np.concatenate([h[0] for h in held]), return_inverse=True)
-            return grams, *(np.bincount(at, np.concatenate([h[i] for h in held])).astype(np.int64) for i in (1, 2))
+            return grams, np.bincount(at, np.concatenate([h[1] for h in held])).astype(np.int64)
 
-        for batch in slices(batches, text):
-            coded = Coded([t or "" for t in batch.column(text).to_pylist()])
-            good = np.array([bool(x) for x in batch.column(target).to_pylist()])
+        for batch in slices(batches, "text"):
+            coded = Coded([t or "" for t in batch.column("text").to_pylist()])
             if len(coded.packed):
-                n = len(coded.packed)
-                held.append((coded.packed, np.bincount(coded.index, minlength=n), np.bincount(coded.index[good[coded.owner]], minlength=n)))
+                held.append((coded.packed, np.bincount(coded.index, minlength=len(coded.packed))))
             if len(held) > 15:
                 held = [merged()]
                 if len(held[0][0]) > 2_000_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in held.pop()], names=["gram", "background", "target"])
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in held.pop()], names=["gram", "n"])
         if held:
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in merged()], names=["gram", "background", "target"])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in merged()], names=["gram", "n"])
 
-    rows = docs.select(text, target).mapInArrow(run, "gram bigint, background bigint, target bigint")
-    return rows.groupBy("gram").agg(F.sum("background").alias("background"), F.sum("target").alias("target"))
+    return docs.select(F.col(text).alias("text")).mapInArrow(run, "gram bigint, n bigint")
+
+
+def counts(docs: DataFrame, good: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """(gram, background, target): occurrences over all rows and over those whose id is in `good` (a column of ids named _id).
+
+    The background needs no join. For the target, a Bloom filter leaves out most rows without a good label before the rest
+    is joined with the ids, so few texts are shuffled; past its bound more are, to the same result.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(Bloom(good.select(F.xxhash64("_id").alias("h")), "h"))
+
+    @F.pandas_udf("boolean")
+    def may(h: pd.Series) -> pd.Series:
+        return pd.Series(sent.value.has(h.to_numpy()))
+
+    rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("text"))
+    # labels grow with the corpus, so this is a sort-merge join at every size
+    told = rows.where(F.col("_id").isNotNull() & may(F.xxhash64("_id"))).join(good.hint("merge"), "_id", "left_semi")
+    zero = F.lit(0).cast("long")
+    both = occurrences(rows, "text").select("gram", F.col("n").alias("background"), zero.alias("target"))
+    both = both.unionByName(occurrences(told, "text").select("gram", zero.alias("background"), F.col("n").alias("target")))
+    return both.groupBy("gram").agg(F.sum("background").alias("background"), F.sum("target").alias("target"))
 
 
 def model(grams: DataFrame, mu: float = MU) -> DataFrame:
@@ -97,10 +116,8 @@ def score(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
     rows and null ids are scored one by one, and count in the background one by one. Without target rows
     the target model is uniform. An empty table gives an empty result. Only the named columns are read.
     """
-    marks = labels.groupBy(F.col(doc_id).alias("_id")).agg((F.min(good) > 0).alias("target")).where("target and _id is not null")
-    # labels grow with the corpus, so this is a sort-merge join at every size
-    told = docs.select(doc_id, text).join(marks.hint("merge"), F.col(doc_id) == F.col("_id"), "left").select(text, "target")
-    table = checkpointed(model(checkpointed(counts(told, text)), mu))
+    good_ids = checkpointed(labels.groupBy(F.col(doc_id).alias("_id")).agg((F.min(good) > 0).alias("target")).where("target and _id is not null").select("_id"))
+    table = checkpointed(model(checkpointed(counts(docs, good_ids, text, doc_id)), mu))
     rows = table.count()
     # a first cut by count, so that each task offers only its share of the head
     least = table.approxQuantile("background", [1 - 2 * head / rows], 0.1 * head / rows)[0] if rows > 4 * head else 0
@@ -109,8 +126,8 @@ def score(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
 
     def run(batches):
         known, gaps = sent.value
-        for batch in slices(batches, text):
-            texts = [t or "" for t in batch.column(text).to_pylist()]
+        for batch in slices(batches, "text"):
+            texts = [t or "" for t in batch.column("text").to_pylist()]
             coded = Coded(texts)
             at = np.minimum(np.searchsorted(known, coded.packed), max(0, len(known) - 1))
             hit = known[at] == coded.packed if len(known) else np.zeros(len(coded.packed), bool)
@@ -123,10 +140,10 @@ def score(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
                 for d, g, n in zip(pairs[0].tolist(), coded.packed[pairs[1]].tolist(), times.tolist(), strict=True):
                     rest[d].append({"gram": g, "n": n})
             kind = pa.list_(pa.struct([("gram", pa.int64()), ("n", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([batch.column(doc_id), batch.column("row"), pa.array(coded.lengths), pa.array(sums), pa.array(rest, kind)], names=["doc_id", "row", "n_tokens", "near", "rest"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), pa.array(coded.lengths), pa.array(sums), pa.array(rest, kind)], names=["doc_id", "row", "n_tokens", "near", "rest"])
 
-    rows = docs.select(F.col(doc_id).alias(doc_id), F.col(text).alias(text), F.xxhash64(doc_id, text).alias("row"))
-    first = checkpointed(rows.mapInArrow(run, "doc_id bigint, row bigint, n_tokens bigint, near double, rest array<struct<gram:bigint,n:bigint>>"))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(doc_id, text).alias("row"))
+    first = checkpointed(rows.mapInArrow(run, f"doc_id {kind(docs, doc_id)}, row bigint, n_tokens bigint, near double, rest array<struct<gram:bigint,n:bigint>>"))
     others = first.where(F.size("rest") > 0).select("row", F.explode("rest").alias("r")).select("row", "r.gram", "r.n").groupBy("row", "gram").agg(F.max("n").alias("n"))
     far = others.join(table, "gram").groupBy("row").agg(F.sum(F.col("n") * F.col("gap")).alias("far"))
     total = F.col("near") + F.coalesce("far", F.lit(0.0))
