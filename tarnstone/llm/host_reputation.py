@@ -2,17 +2,25 @@
 
 Labelled page outcomes are counted by host, registered domain and suffix. Each level is a beta-binomial whose prior mean
 is the posterior mean of the level above; the prior's strength is estimated by moments from the spread of the groups. A host is
-blocked if even the upper posterior bound of its share of good pages lies under the least share that is wanted. Hosts
-without labels take the bound of their domain, then of their suffix, then of all pages. Rules given by hand come first.
+blocked if a posterior bound of its share of good pages lies under the least share that is wanted: the upper bound blocks
+hosts that are surely bad, the lower one all that are not surely good. Hosts without labels take the bound of their
+domain, then of their suffix. Rules given by hand come first.
+
+Pages are counted by host before anything is joined, so levels and rules are settled once a host; frequent hosts
+reach the pages by a broadcast of bounded size.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Suffixes of more than one label below which domains are registered; further ones are a parameter.
+from .common import free, lookup, settled
+
+#: Suffixes of more than one label below which domains are registered; a table of them is a parameter.
 LONG_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "com.au", "co.jp", "co.nz", "com.br", "co.in")
+#: Labels that a suffix may have, and rows of a suffix or rule table that may be broadcast.
+MOST_LABELS, MOST_SENT = 5, 50_000
 LEAST_GOOD, Z = 0.5, 1.64
 #: Bounds of the intra-class correlation, and so of the prior's strength (1 / rho - 1).
 LEAST_RHO, MOST_RHO = 0.005, 0.5
@@ -28,14 +36,24 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, _URL, 2), F.lit(""))
 
 
-def suffix_of(host: Column, long_suffixes=LONG_SUFFIXES) -> Column:
-    two = F.substring_index(host, ".", -2)
-    return F.when(two.isin(*long_suffixes), two).otherwise(F.substring_index(host, ".", -1))
+def suffix_table(spark: SparkSession, suffixes=LONG_SUFFIXES) -> DataFrame:
+    return spark.range(1).select(F.explode(F.array(*map(F.lit, suffixes))).alias("suffix"))
+
+
+def _sent(table: DataFrame) -> DataFrame:
+    """A table given by hand, broadcast if it is small enough."""
+    table = settled(table)
+    return F.broadcast(table) if table.count() <= MOST_SENT else table
 
 
-def domain_of(host: Column, long_suffixes=LONG_SUFFIXES) -> Column:
-    two = F.substring_index(host, ".", -2)
-    return F.when(two.isin(*long_suffixes), F.substring_index(host, ".", -3)).otherwise(two)
+def with_levels(hosts: DataFrame, suffixes: DataFrame | None = None) -> DataFrame:
+    """`hosts` (one row a host) with its registered domain and suffix: the longest suffix in the table, else the last label."""
+    suffixes = suffix_table(hosts.sparkSession) if suffixes is None else suffixes
+    tried = hosts.select("host", F.explode(F.sequence(F.lit(1), F.least(F.size(F.split("host", r"\.")), F.lit(MOST_LABELS)))).alias("labels"))
+    tried = tried.withColumn("suffix", F.expr("substring_index(host, '.', -labels)")).join(_sent(suffixes.select("suffix").distinct()), "suffix")
+    known = tried.groupBy("host").agg(F.max("labels").alias("labels"))
+    whole = hosts.join(known, "host", "left").withColumn("labels", F.coalesce("labels", F.lit(1)))
+    return whole.withColumns({"domain": F.expr("substring_index(host, '.', -labels - 1)"), "suffix": F.expr("substring_index(host, '.', -labels)")}).drop("labels")
 
 
 def _strength(groups: DataFrame, mean: Column) -> float:
@@ -47,48 +65,46 @@ def _strength(groups: DataFrame, mean: Column) -> float:
     return round(1 / min(MOST_RHO, max(LEAST_RHO, rho)) - 1, 6)
 
 
-def reputations(outcomes: DataFrame, z: float = Z, long_suffixes=LONG_SUFFIXES) -> dict[str, DataFrame]:
-    """Frames by level (`host`, `domain`, `suffix`, `all`) with columns key, n, good, mean, upper.
+def reputations(outcomes: DataFrame, z: float = Z, suffixes: DataFrame | None = None, side: int = 1) -> dict[str, DataFrame]:
+    """Frames by level (`host`, `domain`, `suffix`) with columns key, n, good, mean, strength, bound (above the mean, or below it if `side` is -1).
 
     `outcomes` has columns host and good (0 or 1); rows with a null in either count for nothing.
     """
-    own = outcomes.where(F.col("host").isNotNull() & F.col("good").isNotNull()).groupBy("host").agg(F.count("*").alias("n"), F.sum(F.col("good").cast("long")).alias("good"))
-    own = own.withColumns({"domain": domain_of(F.col("host"), long_suffixes), "suffix": suffix_of(F.col("host"), long_suffixes)})
+    told = outcomes.where(F.col("host").isNotNull() & F.col("good").isNotNull())
+    own = settled(with_levels(settled(told.groupBy("host").agg(F.count("*").alias("n"), F.sum(F.col("good").cast("long")).alias("good"))), suffixes))
     total = own.select(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("good"), F.lit(0)).alias("good")).first()
     overall = (total["good"] + 1) / (total["n"] + 2)
-    parent, parent_key = None, None
-    out = {}
-    for level in ("suffix", "domain", "host"):
-        up = {"suffix": None, "domain": "suffix", "host": "domain"}[level]
+    parent, out = None, {}
+    for level, up in (("suffix", None), ("domain", "suffix"), ("host", "domain")):
         groups = own.groupBy(level, *([up] if up else [])).agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
         if parent is None:
             groups = groups.withColumn("prior", F.lit(overall))
         else:
-            groups = groups.join(parent.select(F.col("key").alias(parent_key), F.col("mean").alias("prior")), parent_key)
+            sizes = groups.groupBy(up).agg(F.count("*").alias("size"))
+            groups = lookup(groups, sizes.join(parent.select(F.col("key").alias(up), F.col("mean").alias("prior")), up), up, "size")
+        groups = settled(groups.select(level, "n", "good", "prior"))
         strength = _strength(groups, F.col("prior"))
         posterior = (F.col("good") + F.col("prior") * strength) / (F.col("n") + strength)
         spread = F.sqrt(F.col("mean") * (1 - F.col("mean")) / (F.col("n") + strength + 1))
-        parent = groups.select(F.col(level).alias("key"), "n", "good", posterior.alias("mean"), F.lit(strength).alias("strength")).withColumn("upper", F.least(F.lit(1.0), F.col("mean") + z * spread))
-        parent_key = level
-        out[level] = parent
-    out["all"] = overall
+        bound = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("mean") + side * z * spread))
+        parent = out[level] = groups.select(F.col(level).alias("key"), "n", "good", posterior.alias("mean"), F.lit(strength).alias("strength")).withColumn("bound", bound)
     return out
 
 
-def _rule_parts(rule: str) -> tuple[str, str]:
-    host, slash, path = rule.partition("/")
-    return host, slash + path
+def rules_of(hosts: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
+    """host and `fits`, the rules (length, length of the host, block, action, rule, path) whose host is this one or a parent of it.
 
-
-def rule_for(host: Column, path: Column, rules: list[tuple[str, str]]) -> tuple[Column, Column]:
-    """The longest fitting rule (ties: the longer host, then block) and its action; null if none fits."""
-    order = sorted(rules, key=lambda r: (-len(r[1]), -len(_rule_parts(r[1])[0]), r[0] != "block", r[1]))
-    which = verdict = F.lit(None).cast("string")
-    for action, rule in reversed(order):
-        h, p = _rule_parts(rule)
-        fits = ((host == h) | host.endswith("." + h)) & path.startswith(p)
-        which, verdict = F.when(fits, F.lit(rule)).otherwise(which), F.when(fits, F.lit(action)).otherwise(verdict)
-    return which, verdict
+    Rules are (action, rule) with a host and a path in the rule; hosts that none fits are left out.
+    """
+    rows = []
+    for action, rule in dict.fromkeys(rules):
+        parent, slash, path = rule.partition("/")
+        rows.append(F.struct(*(F.lit(v).alias(n) for n, v in (("parent", parent), ("path", slash + path), ("action", action), ("rule", rule)))))
+    table = hosts.sparkSession.range(1).select(F.inline(F.array(*rows)))
+    tried = hosts.select("host", F.explode(F.sequence(F.lit(1), F.size(F.split("host", r"\.")))).alias("labels"))
+    tried = tried.select("host", F.expr("substring_index(host, '.', -labels)").alias("parent")).join(_sent(table), "parent")
+    order = F.struct(F.length("rule").alias("length"), F.length("parent").alias("own"), (F.col("action") == "block").alias("block"), "action", "rule", "path")
+    return tried.groupBy("host").agg(F.collect_list(order).alias("fits"))
 
 
 def filter_urls(
@@ -99,22 +115,30 @@ def filter_urls(
     keep: tuple[str, ...] = ("page_id",),
     least_good: float = LEAST_GOOD,
     z: float = Z,
-    long_suffixes=LONG_SUFFIXES,
+    suffixes: DataFrame | None = None,
+    bound: str = "upper",
 ) -> DataFrame:
-    """Judge every page: the columns `keep`, host, path, rule, verdict, and upper (the posterior bound that decided).
-
-    A null URL or one without `://` has an empty host and path; its reputation is that of the empty host. Rows are judged
-    one by one, repeated ones alike; an empty table gives an empty result. With no outcomes, only rules block. Only
-    `keep` and the URL are read, so other columns may have any names.
+    """Judge every page: the columns `keep`, host, path, rule, verdict, and bound (the posterior bound that decided).
+
+    `rules` are (action, rule), a rule being a host and a path; a rule fits its host and all subdomains if the path starts
+    with the rule's, the longest rule wins, of equal ones the one that blocks. `suffixes` is a table of the suffixes (column
+    suffix) of more than one label below which domains are registered. A null URL or one without `://` has an empty host and
+    path; its reputation is that of the empty host. Rows are judged one by one, repeated ones alike; URLs may be of any
+    length; an empty table gives an empty result. With no outcomes, only rules block. Only `keep` and the URL are
+    read, so other columns may have any names; a column of `keep` named like one of the result's own gives way to it.
     """
-    levels = reputations(outcomes, z, long_suffixes)
+    keep = tuple(c for c in dict.fromkeys(keep) if c not in ("host", "path", "rule", "verdict", "bound"))
     seen = pages.select(*keep, host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
-    named = seen.withColumns({"_domain": domain_of(F.col("host"), long_suffixes), "_suffix": suffix_of(F.col("host"), long_suffixes)})
+    hosts = settled(with_levels(settled(seen.groupBy("host").agg(F.count("*").alias("pages"))), suffixes))
+    levels = reputations(outcomes, z, suffixes, 1 if bound == "upper" else -1)
+    judged = hosts
     for level in ("host", "domain", "suffix"):
-        on = F.col("host") if level == "host" else F.col(f"_{level}")
-        named = named.join(levels[level].select(F.col("key").alias(f"_key_{level}"), F.col("upper").alias(f"_upper_{level}")), on == F.col(f"_key_{level}"), "left")
-    upper = F.coalesce("_upper_host", "_upper_domain", "_upper_suffix", F.lit(1.0))
-    rule, action = rule_for(F.col("host"), F.col("path"), list(rules))
-    return named.select(
-        *keep, "host", "path", rule.alias("rule"), F.coalesce(action, F.when(upper < least_good, "block").otherwise("allow")).alias("verdict"), F.round(upper, 6).alias("upper")
-    )
+        judged = judged.join(levels[level].select(F.col("key").alias(level), F.col("bound").alias(f"by_{level}")), level, "left")
+    judged = judged.select("host", "pages", F.coalesce("by_host", "by_domain", "by_suffix", F.lit(1.0)).alias("bound"))
+    judged = judged.join(rules_of(hosts, list(rules)), "host", "left") if rules else judged.withColumn("fits", F.lit(None).cast("array<struct<length:int,own:int,block:boolean,action:string,rule:string,path:string>>"))
+    found, size, fits = free("found", keep), free("pages", keep), free("fits", keep)
+    judged = judged.withColumnsRenamed({"pages": size, "fits": fits})
+    best = F.array_max(F.filter(fits, lambda r: F.col("path").startswith(r["path"])))
+    named = lookup(seen, judged, "host", size).withColumn(found, best)
+    verdict = F.coalesce(F.col(f"`{found}`.action"), F.when(F.col("bound") < least_good, "block").otherwise("allow"))
+    return named.select(*keep, "host", "path", F.col(f"`{found}`.rule").alias("rule"), verdict.alias("verdict"), F.round("bound", 6).alias("bound"))

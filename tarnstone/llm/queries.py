@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from . import bpe_chunks, entropy_difference, extendible, host_reputation, line_templates, minhash_forest, packing, phrase_fingerprints, quality_forest, rank_profiles
 
 URL_RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
-#: Share of good pages that a host should reach, and bytes of a shard (small, as the test tables are).
+#: Share of good pages that a host should surely reach (lower bound), and bytes of a shard (small, as the test tables are).
 LEAST_GOOD, SHARD_BYTES = 0.8, 1 << 20
 
 
@@ -26,7 +26,7 @@ def page_outcomes(pages: DataFrame, labels: DataFrame) -> DataFrame:
 
 def op1_host_reputation(spark, sf_dir):
     pages = table(spark, sf_dir, "pages")
-    return host_reputation.filter_urls(pages, page_outcomes(pages, table(spark, sf_dir, "labels")), URL_RULES, least_good=LEAST_GOOD)
+    return host_reputation.filter_urls(pages, page_outcomes(pages, table(spark, sf_dir, "labels")), URL_RULES, least_good=LEAST_GOOD, bound="lower")
 
 
 def op2_phrase_fingerprints(spark, sf_dir):
@@ -78,7 +78,7 @@ _LEVEL = """, {name}_g AS (SELECT {name} AS key, {up_cols} sum(n) AS n, sum(good
 , {name}_s AS (SELECT round(1 / least(0.5, greatest(0.005, CASE WHEN sum(n * (n - 1)) > 0
     THEN (sum((good - n * prior) * (good - n * prior) / (prior * (1 - prior))) - sum(n)) / sum(n * (n - 1)) ELSE 0.5 END)) - 1, 6) AS s FROM {name}_p)
 , {name}_m AS (SELECT k.key, k.n, s.s, (k.good + k.prior * s.s) / (k.n + s.s) AS mean FROM {name}_p k, {name}_s s)
-, {name} AS (SELECT key, mean, least(1.0, mean + 1.64 * sqrt(mean * (1 - mean) / (n + s + 1))) AS upper FROM {name}_m)"""
+, {name} AS (SELECT key, mean, greatest(0.0, mean - 1.64 * sqrt(mean * (1 - mean) / (n + s + 1))) AS bound FROM {name}_m)"""
 _DOMAIN = "array_to_string(list_slice(string_split({h}, '.'), greatest(1, len(string_split({h}, '.')) - {back}), len(string_split({h}, '.'))), '.')"
 
 
@@ -102,8 +102,8 @@ def _host_sql() -> str:
   ON g.doc_id = try_cast(regexp_extract(url, '/[a-z]+/([0-9]{{1,18}})', 1) AS BIGINT) WHERE g.good IS NOT NULL GROUP BY ALL)
 {levels}
 SELECT page_id, n.host, path, {rule.replace('host', 'n.host')} AS rule,
-  coalesce({action.replace('host', 'n.host')}, CASE WHEN coalesce(h.upper, d.upper, s.upper, 1.0) < {LEAST_GOOD} THEN 'block' ELSE 'allow' END) AS verdict,
-  round(coalesce(h.upper, d.upper, s.upper, 1.0), 6) AS upper
+  coalesce({action.replace('host', 'n.host')}, CASE WHEN coalesce(h.bound, d.bound, s.bound, 1.0) < {LEAST_GOOD} THEN 'block' ELSE 'allow' END) AS verdict,
+  round(coalesce(h.bound, d.bound, s.bound, 1.0), 6) AS bound
 FROM named n LEFT JOIN host h ON h.key = n.host LEFT JOIN domain d ON d.key = n.domain LEFT JOIN suffix s ON s.key = n.suffix"""
 
 

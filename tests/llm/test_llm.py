@@ -76,6 +76,22 @@ def test_hosts(spark, labels):
     assert host_reputation.filter_urls(pages.where("false"), none).collect() == []
 
 
+def test_every_level_decides(spark):
+    seen = [("bad.one.org", 0)] * 40 + [("fine.one.org", 1)] * 40 + [(f"h{k}.two.net", 0) for k in range(60)] + [(f"d{k}.co.uk", 0) for k in range(80)] + [(f"g{k}.com", 1) for k in range(80)]
+    outcomes = spark.createDataFrame(seen, "host string, good int")
+    asked = ["bad.one.org", "fine.one.org", "new.two.net", "x.new.co.uk", "new.com", "new.xyz"]
+    pages = spark.createDataFrame([(k, f"http://{h}/" + "p" * 9000) for k, h in enumerate(asked)], "found int, url string").selectExpr("*", "1 AS pages", "2 AS fits")
+    for bound in ("upper", "lower"):
+        got = host_reputation.filter_urls(pages, outcomes, keep=("found", "pages", "fits"), bound=bound).collect()
+        assert {r["host"]: r["verdict"] for r in got} == dict(zip(asked, ["block", "allow", "block", "block", "allow", "allow"]))
+        assert {(r["pages"], r["fits"]) for r in got} == {(1, 2)}
+    levels = host_reputation.reputations(outcomes)
+    assert {r["key"] for r in levels["suffix"].collect()} == {"org", "net", "co.uk", "com"} and levels["domain"].where("key = 'two.net'").first()["n"] == 60
+    table = host_reputation.suffix_table(spark, ["two.net", "a.b.c"])
+    own = host_reputation.with_levels(spark.createDataFrame([("h1.two.net",), ("z.y.a.b.c",), ("c",), ("",), ("two.net",)], "host string"), table)
+    assert {r["host"]: (r["domain"], r["suffix"]) for r in own.collect()} == {"h1.two.net": ("h1.two.net", "two.net"), "z.y.a.b.c": ("y.a.b.c", "a.b.c"), "c": ("c", "c"), "": ("", ""), "two.net": ("two.net", "two.net")}
+
+
 def test_edited_texts(odd):
     rows = sorted([(-(r[0] or 0) if r[0] is not None else 10**9, r[0], r[1] or "") for r in odd_rows()], key=lambda r: r[0])
     got = phrase_fingerprints.compare_edited(odd).collect()
