@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Bloom, checkpointed, kind, slices
+from .common import Bloom, checkpointed, kind, partitions, slices
 
 HEAD, MU, _BITS = 1 << 17, 20.0, 21
 _DENSE = 1 << 22
@@ -90,6 +90,8 @@ def counts(docs: DataFrame, good: DataFrame, text: str = "text", doc_id: str = "
     rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("text"))
     # labels grow with the corpus, so this is a sort-merge join at every size
     told = rows.where(F.col("_id").isNotNull() & may(F.xxhash64("_id"))).join(good.hint("merge"), "_id", "left_semi")
+    # the target is the smaller part: fewer tasks, so that each sums up more before its counts are shuffled
+    told = told.coalesce(max(1, partitions(docs.sparkSession) // 4))
     zero = F.lit(0).cast("long")
     both = occurrences(rows, "text").select("gram", F.col("n").alias("background"), zero.alias("target"))
     both = both.unionByName(occurrences(told, "text").select("gram", zero.alias("background"), F.col("n").alias("target")))
