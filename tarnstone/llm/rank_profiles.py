@@ -2,23 +2,23 @@
 
 A profile lists the most frequent character n-grams (one to three characters, words padded by a blank on either side).
 A document goes to the language whose profile its own is nearest to by the out-of-place distance. Profiles count every
-training row; what reaches the driver is `PROFILE` n-grams for each language. Languages are few: at most `MOST_LANGUAGES`.
+training row; what reaches the driver is `PROFILE` n-grams for each language.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections import defaultdict
-from functools import cache, reduce
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import checkpointed, slices
 
-PROFILE, MOST_LANGUAGES = 300, 500
+PROFILE = 300
 _BITS = 21  # bits of a code point; three of them fit a signed 64-bit key
 _DENSE = 1 << 22
 
@@ -109,16 +109,10 @@ def fit(rows: DataFrame, text: str = "text", lang: str = "lang", size: int = PRO
 
     taught = rows.select(text, lang).where(F.col(text).isNotNull() & F.col(lang).isNotNull())
     counts = checkpointed(taught.mapInArrow(count, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
-    names = [r[0] for r in counts.groupBy("lang").count().orderBy("lang").limit(MOST_LANGUAGES + 1).collect()]
-    if len(names) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    if not names:
-        return {}
-    tops = [counts.where(F.col("lang") == name).orderBy(F.desc("n"), "gram").limit(size) for name in names]
-    out: dict[str, list] = {name: [] for name in names}
-    for r in reduce(DataFrame.union, tops).collect():
-        out[r["lang"]].append((-r["n"], r["gram"]))
-    return {name: np.array([g for _, g in sorted(v)], np.int64) for name, v in out.items()}
+    # a window with a bound on the rank is cut to that many rows a language in each task before the shuffle
+    order = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
+    tops = counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= size).select("lang", "gram", "rank").toPandas()
+    return {name: own.sort_values("rank")["gram"].to_numpy(np.int64) for name, own in tops.groupby("lang")}
 
 
 class Matcher:

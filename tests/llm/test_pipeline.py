@@ -143,3 +143,24 @@ def test_foreign_and_random_texts_go(spark):
     got = {r["doc_id"] for r in corpus_pipeline.language(spark, docs.unionByName(extra), None).select("doc_id").collect()}
     want = {r["doc_id"] for r in docs.collect() if any(c.isalpha() for c in r["text"] or "")}
     assert got == want
+
+
+def test_stages_on_odd_tables(spark):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").select(*corpus_pipeline.COLUMNS)
+    first = docs.first()
+    odd = spark.createDataFrame([(None, first["text"], None, None, None), (-1, None, "en", "s", 0), (-1, None, "en", "s", 0), (-2, "", None, None, 0), tuple(first), (-3, "x " * 30000, "en", "s", 60000)], docs.schema)
+    wide = odd.selectExpr("*", "1 AS row", "2 AS gone", "3 AS score", "4 AS _row", "5 AS kept")
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, wide, FOLDER)
+        if name != "packing":
+            assert got.columns == list(corpus_pipeline.COLUMNS)
+        rows = got.collect()
+        if name in ("quality", "language"):
+            assert all(r["text"] for r in rows)
+        elif name == "lines":
+            assert len(rows) == 6
+        elif name == "near_duplicates":
+            assert sorted(str(r["doc_id"]) for r in rows) == sorted(["-1", "-2", "-3", str(first["doc_id"])])
+        else:
+            assert sum(r["start"] == 0 for r in rows) == 6
+        assert stage(spark, odd.where("false"), FOLDER).collect() == []
