@@ -205,7 +205,7 @@ def drop_lines(
     long_docs: int = LONG_DOCS,
     long_tokens: int = LONG_TOKENS,
 ) -> DataFrame:
-    """Every row with the lines of recurring templates dropped: doc_id, the columns `keep`, text, n_lines, n_dropped.
+    """Every row with the lines of recurring templates dropped: doc_id, the columns `keep`, text, n_lines, n_dropped, chars_dropped.
 
     A template recurs if at least `min_docs` documents hold a line of it (`long_docs`, if it has `long_tokens` tokens or
     more); a document counts once, however many of its lines are of the template, and rows with the same id and text are
@@ -216,7 +216,7 @@ def drop_lines(
     empty result. Only the named columns are read; doc_id may be of any type that can be ordered. A column of `keep` named
     like one of the result's own gives way to it.
     """
-    keep = tuple(c for c in dict.fromkeys(keep) if c not in ("doc_id", "text", "n_lines", "n_dropped"))
+    keep = tuple(c for c in dict.fromkeys(keep) if c not in ("doc_id", "text", "n_lines", "n_dropped", "chars_dropped"))
     need = F.when(F.col("n") >= long_tokens, long_docs).otherwise(min_docs)
     lines = settled(lines_of(docs, text, doc_id, min_tokens))
     exact = settled(lines.groupBy("leaf", "exact", "n").agg(F.sum("first").alias("docs")))
@@ -237,18 +237,19 @@ def drop_lines(
     base = docs.select(F.col(doc_id).alias("doc_id"), *keep, F.col(text).alias("text"), F.xxhash64(doc_id, text).alias(row))
     marked = base.join(gone, row, "left").drop(row)
     kinds = dict(marked.dtypes)
-    names = ["doc_id", *keep, "text", "n_lines", "n_dropped"]
+    names = ["doc_id", *keep, "text", "n_lines", "n_dropped", "chars_dropped"]
 
     def run(batches):
         for batch in slices(batches, "text"):
-            texts, n, dropped = [], [], []
+            texts, n, dropped, chars = [], [], [], []
             for t, g in zip(batch.column("text").to_pylist(), batch.column(drops).to_pylist(), strict=True):
                 parts = [] if t is None else t.split("\n")
                 out = {*(g or ())}
                 n.append(len(parts))
                 dropped.append(len(out))
+                chars.append(sum(len(parts[i]) for i in out))
                 texts.append(t if not out else "\n".join(p for i, p in enumerate(parts) if i not in out))
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("doc_id", *keep)] + [pa.array(texts, pa.string()), pa.array(n, pa.int64()), pa.array(dropped, pa.int64())], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("doc_id", *keep)] + [pa.array(texts, pa.string()), *(pa.array(c, pa.int64()) for c in (n, dropped, chars))], names=names)
 
-    schema = ", ".join([f"`{c}` {kinds[c]}" for c in ("doc_id", *keep)] + ["text string, n_lines bigint, n_dropped bigint"])
+    schema = ", ".join([f"`{c}` {kinds[c]}" for c in ("doc_id", *keep)] + ["text string, n_lines bigint, n_dropped bigint, chars_dropped bigint"])
     return marked.mapInArrow(run, schema)

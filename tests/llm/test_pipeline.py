@@ -80,8 +80,9 @@ def lines(rows):
             dropped += gone
             if not gone:
                 kept.append(line)
-        if not dropped or any(map(masked, kept)):
-            out[i] = ("\n".join(kept), lang)
+        after = "\n".join(kept)
+        if not dropped or any(map(masked, kept)) and len(after) >= 0.2 * (len(after) + len(text) - len(after) - dropped + (not kept)):
+            out[i] = (after, lang)
     return out
 
 
