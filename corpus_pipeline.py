@@ -13,6 +13,8 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Documents less like every profile than this are in no known language. On sf0.1 the least score of any document is 0.384,
 #: samples of Italian, Polish and random letters have 0.24 to 0.34.
 LEAST_SCORE = 0.35
+#: A document that loses lines stays if so much of its characters is left: what is left of a copy is no document.
+LEAST_LEFT = 0.2
 
 
 def quality(spark, docs, sf_dir):
@@ -34,13 +36,14 @@ def language(spark, docs, sf_dir):
 
 
 def lines(spark, docs, sf_dir):
-    """Lines of recurring templates go but from the first document; so do documents left without a word.
+    """Lines of recurring templates go but from the first document; so do documents left without a word or with under `LEAST_LEFT`.
 
     A document that loses no line stays as it is, null and empty texts too. Of a document's repeated rows all fare alike; null
     ids come last; an empty table stays empty. n_chars becomes the length of what is left (null for a null text).
     """
     found = line_templates.drop_lines(docs, keep=("lang", "source"))
-    left = found.where((F.col("n_dropped") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    size = F.length("text")
+    left = found.where((F.col("n_dropped") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]") & (size >= LEAST_LEFT * (size + F.col("chars_dropped"))))
     return left.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
