@@ -159,7 +159,7 @@ def test_stages_on_odd_tables(spark):
         if name in ("quality", "language"):
             assert all(r["text"] for r in rows)
         elif name == "lines":
-            assert len(rows) == 6
+            assert len(rows) == 5  # the copy with a null id is left without lines
         elif name == "near_duplicates":
             assert sorted(str(r["doc_id"]) for r in rows) == sorted(["-1", "-2", "-3", str(first["doc_id"])])
         else:
