@@ -4,7 +4,7 @@ Every task tokenises the documents of its partition and packs them in lots of ab
 is shuffled and memory is bounded by a lot. Whole sequences are cut off long documents first. In a lot, what remains of the
 documents is differenced into windows: the two partial partitions with the largest imbalance merge, the fullest windows of
 one with the emptiest of the other. If a window exceeds the capacity, the window count rises. Only where that does not
-help, as with few long remainders, the pieces are cut in two and differenced anew. What a lot's windows cannot hold goes to the
+help, as with few long remainders, the pieces are cut shorter and differenced anew. What a lot's windows cannot hold goes to the
 next lot; the last lot of a task lays its rest in sequences whose lengths are powers of two, which need no padding.
 """
 
@@ -26,9 +26,9 @@ from pyspark.sql import functions as F
 
 from .common import Memo, kind, slices
 
-CAPACITY, LOT_WINDOWS, END_ID = 4096, 128, 2
+CAPACITY, LOT_WINDOWS, END_ID = 4096, 64, 2
 #: Tokens by which the mean window of a lot is kept under the capacity, longest pieces tried, least length of a stub.
-ALLOWANCE, PIECES, LEAST_STUB = 12, (4096, 2048, 1024, 512, 256, 128), 256
+ALLOWANCE, PIECES, LEAST_STUB = 16, (4096, 512, 128), 256
 _SPACES = "\t-\r \x85\xa0  -     　"
 _CHUNK = re.compile(f"[^{_SPACES}]+")
 _ODD_SPLIT = re.compile("[\x1c-\x1f]")
