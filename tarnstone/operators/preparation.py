@@ -111,3 +111,22 @@ def batches(rows: DataFrame, key: str, size: int, group: str | None = None) -> D
     """Number rows in batches of `size` in shuffled (hash) order, within each group if one is given."""
     w = W.partitionBy(*([group] if group else [])).orderBy(by_hash(key, "batch"), key)
     return rows.withColumn("batch", F.floor((F.row_number().over(w) - 1) / size).cast("long"))
+
+
+def best_k(rows: DataFrame, group: str, metric: str, tie: str, k: int) -> DataFrame:
+    """The `k` rows of highest metric in each group (ties by the column `tie`), with their place from 1.
+
+    The bound on the place lets each task cut its groups to `k` rows before the shuffle.
+    """
+    order = W.partitionBy(group).orderBy(F.desc(metric), tie)
+    return rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
+
+
+def secondary_sort(rows: DataFrame, key: str, *by: str) -> DataFrame:
+    """Rows of a key in one partition, in order of `by` there: grouping by key, sorting by value, without a list a key."""
+    return rows.repartition(key).sortWithinPartitions(key, *by)
+
+
+def length_order(rows: DataFrame, text: str = "text") -> DataFrame:
+    """Rows by length of the text, then by the text itself."""
+    return rows.withColumn("length", F.length(text)).orderBy("length", text)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .registry import CONFIDENCE, STOP_WORDS, SUPPORT, SUPPORT3
+from .registry import CONFIDENCE, CONFIDENCE3, STOP_WORDS, SUPPORT, SUPPORT3
 
 _TOK = r"list_filter(regexp_split_to_array(lower({x}), '\s+'), lambda w: w <> '')"
 _T = r"t AS (SELECT doc_id, source, unnest(regexp_split_to_array(lower(text), '\s+')) AS term FROM documents), w AS (SELECT * FROM t WHERE term <> '')"
@@ -17,6 +17,11 @@ _BK = "b AS (SELECT DISTINCT l_orderkey AS tx, p_brand AS item FROM lineitem JOI
 _S2 = f"{_BK}, s2 AS (SELECT x.item AS i, y.item AS j, count(*) AS freq FROM b x JOIN b y ON x.tx = y.tx AND x.item < y.item GROUP BY ALL HAVING count(*) >= (SELECT n * {SUPPORT} FROM n))"
 _RULES = f"""{_S2}, r AS (SELECT i AS antecedent, j AS consequent, freq FROM s2 UNION ALL SELECT j, i, freq FROM s2),
 q AS (SELECT antecedent, consequent, r.freq, r.freq / a.freq::DOUBLE AS c, r.freq * n.n::DOUBLE / (a.freq * c.freq) AS l FROM r JOIN s1 a ON a.item = antecedent JOIN s1 c ON c.item = consequent, n)"""
+_TRIPLES = f"""{_BK}, known AS (SELECT item AS items, freq FROM s1 UNION ALL SELECT x.item || ',' || y.item, count(*) FROM b x JOIN b y ON x.tx = y.tx AND x.item < y.item GROUP BY ALL),
+s3 AS (SELECT x.item AS i, y.item AS j, z.item AS k, count(*) AS freq FROM b x JOIN b y ON x.tx = y.tx AND x.item < y.item JOIN b z ON z.tx = y.tx AND y.item < z.item GROUP BY ALL HAVING count(*) >= (SELECT n * {SUPPORT3} FROM n)),
+one AS (SELECT i AS a, j || ',' || k AS c, freq FROM s3 UNION ALL SELECT j, i || ',' || k, freq FROM s3 UNION ALL SELECT i || ',' || j, k, freq FROM s3),
+r AS (SELECT a AS antecedent, c AS consequent, freq, 1 AS forward FROM one UNION ALL SELECT c, a, freq, 0 FROM one),
+q AS (SELECT antecedent, consequent, r.freq, forward, r.freq / a.freq::DOUBLE AS c, r.freq * n.n::DOUBLE / (a.freq * c.freq) AS l FROM r JOIN known a ON a.items = antecedent JOIN known c ON c.items = consequent, n)"""
 _PAD = "list_concat(list_concat(['<s>'], " + _TOK.format(x="text") + "), ['</s>'])"
 _PAIRS = "p AS (SELECT *, unnest(list_slice(w, 1, len(w) - 1)) AS a, unnest(list_slice(w, 2, len(w))) AS b FROM m)"
 _M = f"m0 AS (SELECT d.doc_id, d.text, d.n_chars, l.quality, l.toxic FROM documents d JOIN labels l ON d.doc_id = l.doc_id), m AS (SELECT doc_id, quality, toxic, {_PAD} AS w FROM m0)"
@@ -70,6 +75,9 @@ SQL = {
     "assoc_rules": f"WITH {_RULES} SELECT antecedent, consequent, freq, round(c, 6) AS confidence, round(l, 6) AS lift FROM q WHERE c >= {CONFIDENCE}",
     "lift_rules": f"WITH {_RULES} SELECT antecedent, consequent, freq, round(c, 6) AS confidence, round(l, 6) AS lift FROM q WHERE c >= {CONFIDENCE} AND l >= 1",
     "rules_half": f"WITH {_RULES} SELECT antecedent, consequent, freq, round(c, 6) AS confidence, round(l, 6) AS lift FROM q WHERE c >= {CONFIDENCE} AND (antecedent < consequent OR NOT EXISTS (SELECT 1 FROM q o WHERE o.antecedent = q.consequent AND o.consequent = q.antecedent AND o.c >= {CONFIDENCE}))",
+    "assoc_rules_k3": f"WITH {_TRIPLES} SELECT antecedent, consequent, freq, round(c, 6) AS confidence, round(l, 6) AS lift FROM q WHERE c >= {CONFIDENCE3}",
+    "rules_half_k3": f"WITH {_TRIPLES} SELECT antecedent, consequent, freq, round(c, 6) AS confidence, round(l, 6) AS lift FROM q WHERE c >= {CONFIDENCE3} AND (forward = 1 OR NOT EXISTS (SELECT 1 FROM q o WHERE o.antecedent = q.consequent AND o.consequent = q.antecedent AND o.c >= {CONFIDENCE3}))",
+    "best_documents": "SELECT doc_id, source, n_chars, CAST(row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS INTEGER) AS place FROM documents QUALIFY place <= 3",
     "fpgrowth_itemsets": f"WITH {_S2} SELECT item AS items, freq FROM s1, n WHERE freq >= n * {SUPPORT} UNION ALL SELECT i || ',' || j, freq FROM s2",
     "fpgrowth_rules": f"WITH {_RULES} SELECT antecedent, consequent, round(c, 6) AS confidence FROM q WHERE c >= {CONFIDENCE}",
     "pruned_transactions": f"WITH {_BK}, k AS (SELECT b.* FROM b JOIN s1 ON b.item = s1.item WHERE freq >= 2300) SELECT tx, item FROM k WHERE tx IN (SELECT tx FROM k GROUP BY tx HAVING count(*) > 1)",
@@ -116,6 +124,7 @@ SQL = {
     "topic_shares": "WITH c AS (SELECT source, lang, count(*) AS n FROM documents GROUP BY ALL), t AS (SELECT source, sum(n) AS t FROM c GROUP BY source) SELECT c.source, lang, round((n + 0.1::DOUBLE) / (t + (SELECT count(DISTINCT lang) FROM c) * 0.1::DOUBLE), 6) AS share FROM c JOIN t ON c.source = t.source",
     "bio_spans": "WITH r AS (SELECT l_orderkey AS sent_id, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS INTEGER) AS pos, CASE WHEN l_quantity > 35 THEN 'B-' || l_returnflag WHEN l_quantity > 15 THEN 'I-' || l_returnflag ELSE 'O' END AS tag FROM lineitem), k AS (SELECT *, CASE WHEN tag = 'O' THEN '' ELSE substr(tag, 3) END AS kind FROM r), n AS (SELECT *, CASE WHEN starts_with(tag, 'I-') AND lag(kind) OVER w = kind THEN 0 ELSE 1 END AS nw FROM k WINDOW w AS (PARTITION BY sent_id ORDER BY pos)), u AS (SELECT *, sum(nw) OVER (PARTITION BY sent_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS run FROM n) SELECT sent_id, min(pos) AS start, CAST(max(pos) + 1 AS INTEGER) AS \"end\", min(kind) AS kind FROM u WHERE kind <> '' GROUP BY sent_id, run HAVING starts_with(arg_min(tag, pos), 'B-')",
     "lemma_rules": f"WITH {_T}, {_LEM.format(d='', t=_tries())} SELECT wd.word, lemma FROM wd LEFT JOIN best ON wd.word = best.word",
+    "lemma_cascade": f"WITH {_T}, {_LEM.format(d='WHERE length(word) <= 5', t=_tries())}, every AS (SELECT word, o, lemma FROM ok UNION ALL SELECT word, 1, substr(word, 1, 4) FROM wd WHERE starts_with(word, 'th') AND length(word) >= 6), least AS (SELECT word, arg_min(lemma, o) AS lemma FROM every GROUP BY word) SELECT wd.word, lemma FROM wd LEFT JOIN least ON wd.word = least.word",
     "missing_words": f"WITH {_T}, {_LEM.format(d='WHERE length(word) <= 5', t=_tries())} SELECT wd.word FROM wd LEFT JOIN best ON wd.word = best.word WHERE lemma IS NULL",
     "token_ids": r"WITH t AS (SELECT item_id, unnest(w) AS token, unnest(range(len(w))) AS place FROM (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '\s+'), lambda w: w <> '') AS w FROM benchmark)), f AS (SELECT token, min(item_id * 1000000 + place) AS k FROM t GROUP BY token) SELECT token, CAST(row_number() OVER (ORDER BY k) - 1 AS INTEGER) AS id FROM f",
     "text_predicates": "SELECT doc_id, regexp_matches(text, '[0-9]') AS digits, NOT regexp_matches(text, '[A-Za-z0-9,.!?]') AS acceptable, regexp_matches(text, '[\\x{3400}-\\x{4DBF}\\x{4E00}-\\x{9FFF}\\x{F900}-\\x{FAFF}]') AS cjk, regexp_matches(text, '^[A-Za-z]+$') AS alphabetic FROM documents",

@@ -19,7 +19,7 @@ from ..streaming import events as E
 
 QUERIES = {}
 STOP_WORDS = ["the", "of", "and", "to", "de", "la", "der", "die", "und", "en", "que"]
-SUPPORT, SUPPORT3, CONFIDENCE = 0.02, 0.005, 0.16
+SUPPORT, SUPPORT3, CONFIDENCE, CONFIDENCE3 = 0.02, 0.005, 0.16, 0.1
 
 
 def query(f):
@@ -177,6 +177,18 @@ def rules_half(spark, d):
     return _rules(I.association_rules(sets, n, 2, CONFIDENCE, half=True))
 
 
+@query
+def assoc_rules_k3(spark, d):
+    sets, n = _sets(spark, d, SUPPORT3, 3)
+    return _rules(I.association_rules(sets, n, 3, CONFIDENCE3))
+
+
+@query
+def rules_half_k3(spark, d):
+    sets, n = _sets(spark, d, SUPPORT3, 3)
+    return _rules(I.association_rules(sets, n, 3, CONFIDENCE3, half=True))
+
+
 @query
 def fpgrowth_itemsets(spark, d):
     got = I.fp_growth(baskets(spark, d), SUPPORT).freqItemsets
@@ -548,6 +560,19 @@ def lemma_rules(spark, d):
     return X.lemmas(words, words)
 
 
+@query
+def lemma_cascade(spark, d):
+    """A dictionary of short words and a table of irregular forms: all steps of the cascade find lemmas."""
+    words = T.terms(docs(spark, d)).where(F.col("term").rlike("^[a-z]+$")).select(F.col("term").alias("word"))
+    irregular = words.where("startswith(word, 'th') and length(word) >= 6").select(F.substring("word", 1, 4).alias("lemma"), "word").distinct()
+    return X.lemmas(words, words.where(F.length("word") <= 5), irregular)
+
+
+@query
+def best_documents(spark, d):
+    return P.best_k(docs(spark, d).select("doc_id", "source", "n_chars"), "source", "n_chars", "doc_id", 3)
+
+
 @query
 def missing_words(spark, d):
     words = T.terms(docs(spark, d)).where(F.col("term").rlike("^[a-z]+$")).select(F.col("term").alias("word"))

@@ -179,3 +179,14 @@ def test_files(spark, tmp_path):
     assert tuple(files.json_examples(spark, str(tmp_path / "j.json")).first()) == ("7", [1, 2], "x")
     (tmp_path / "s.txt").write_text("**SOF**\nls\ncd\nls\n**EOF**\n**SOF**\n")
     assert [r["items"] for r in files.token_sessions(spark, str(tmp_path / "s.txt")).orderBy("session").collect()] == [["cd", "ls"], []]
+
+
+def test_best_k_and_orders(spark):
+    from tarnstone.operators import preparation
+
+    rows = spark.createDataFrame([("a", 1, 5), ("a", 2, 7), ("a", 3, 7), ("b", 4, 1)], "g string, id int, m int")
+    assert sorted(map(tuple, preparation.best_k(rows, "g", "m", "id", 2).collect())) == [("a", 2, 7, 1), ("a", 3, 7, 2), ("b", 4, 1, 1)]
+    texts = spark.createDataFrame([("bb",), ("a",), ("ab",), ("",)], "text string")
+    assert [r["text"] for r in preparation.length_order(texts).collect()] == ["", "a", "ab", "bb"]
+    dealt = preparation.secondary_sort(rows, "g", "m", "id").rdd.glom().collect()
+    assert [r["id"] for part in dealt for r in part if r["g"] == "a"] == [1, 2, 3] and sum(any(r["g"] == "a" for r in p) for p in dealt) == 1
