@@ -41,7 +41,8 @@ def lines(spark, docs, sf_dir):
     A document that loses no line stays as it is, null and empty texts too. Of a document's repeated rows all fare alike; null
     ids come last; an empty table stays empty. n_chars becomes the length of what is left (null for a null text).
     """
-    found = line_templates.drop_lines(docs, keep=("lang", "source"))
+    # pairs of copies are left whole for the next stage: two documents make a passage recur only where copies are gone already
+    found = line_templates.drop_lines(docs, keep=("lang", "source"), long_docs=line_templates.MIN_DOCS)
     size = F.length("text")
     left = found.where((F.col("n_dropped") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]") & (size >= LEAST_LEFT * (size + F.col("chars_dropped"))))
     return left.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
