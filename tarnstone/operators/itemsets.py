@@ -95,5 +95,28 @@ def prune_transactions(baskets: DataFrame, sets: DataFrame, tx: str = "tx", item
     return kept.join(kept.groupBy(tx).agg(F.count("*").alias("n")).where("n > 1").select(tx), tx, "left_semi")
 
 
+def matched(baskets: DataFrame, sets: DataFrame, size: int, tx: str = "tx", item: str = "item") -> DataFrame:
+    """(tx, items): the sets of one size, sorted, that each transaction holds. Each step keeps what is the beginning of a set."""
+    rows = baskets.select(F.col(tx).alias("tx"), F.col(item).cast("string").alias("item")).distinct()
+    wanted = sets.where(F.size("items") == size).select("items")
+    begins = lambda k: wanted.select(F.slice("items", 1, k).alias("items")).distinct()
+    held = rows.select("tx", F.array("item").alias("items")).join(begins(1), "items", "left_semi")
+    for k in range(2, size + 1):
+        held = held.join(rows, "tx").where(F.col("item") > F.element_at("items", -1)).select("tx", F.concat("items", F.array("item")).alias("items"))
+        held = held.join(begins(k), "items", "left_semi")
+    return held.select("tx", "items")
+
+
+def prune_matched(held: DataFrame, size: int) -> DataFrame:
+    """(tx, item) that sets of one more item can still use, from the sets of `size` items that each transaction holds.
+
+    A set of size + 1 has size + 1 subsets of `size` items, and each of its items is in `size` of them: transactions with
+    fewer sets go, then items in fewer of them.
+    """
+    rich = held.groupBy("tx").agg(F.count("*").alias("n")).where(F.col("n") > size).select("tx")
+    uses = held.join(rich, "tx", "left_semi").select("tx", F.explode("items").alias("item")).groupBy("tx", "item").agg(F.count("*").alias("n"))
+    return uses.where(F.col("n") >= size).select("tx", "item")
+
+
 def item_union(sets: DataFrame) -> DataFrame:
     return sets.agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))

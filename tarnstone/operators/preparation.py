@@ -113,6 +113,18 @@ def batches(rows: DataFrame, key: str, size: int, group: str | None = None) -> D
     return rows.withColumn("batch", F.floor((F.row_number().over(w) - 1) / size).cast("long"))
 
 
+def repeated(rows: DataFrame, times: int) -> DataFrame:
+    """All rows once for each `epoch` from 0."""
+    return rows.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(times - 1))))
+
+
+def padded_batches(rows: DataFrame, key: str, ids: str, size: int, group: str, pad: int = 0) -> DataFrame:
+    """`batches` whose arrays `ids` are padded to the longest of their batch."""
+    numbered = batches(rows, key, size, group)
+    most = F.max(F.size(ids)).over(W.partitionBy(group, "batch"))
+    return numbered.withColumn(ids, F.concat(ids, F.array_repeat(F.lit(pad), (most - F.size(ids)).cast("int"))))
+
+
 def best_k(rows: DataFrame, group: str, metric: str, tie: str, k: int) -> DataFrame:
     """The `k` rows of highest metric in each group (ties by the column `tie`), with their place from 1.
 

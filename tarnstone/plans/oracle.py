@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .registry import CONFIDENCE, CONFIDENCE3, STOP_WORDS, SUPPORT, SUPPORT3
+from .registry import CONFIDENCE, CONFIDENCE3, PIECES, STOP_WORDS, SUPPORT, SUPPORT3, TRANSITIONS, WORDS
 
 _TOK = r"list_filter(regexp_split_to_array(lower({x}), '\s+'), lambda w: w <> '')"
 _T = r"t AS (SELECT doc_id, source, unnest(regexp_split_to_array(lower(text), '\s+')) AS term FROM documents), w AS (SELECT * FROM t WHERE term <> '')"
@@ -53,7 +53,44 @@ def _tries() -> str:
     return " ".join(out)
 
 
+def _viterbi(steps: int = 16, tags: int = 4) -> str:
+    """Best scores s, paths p and log sums a by tag, step by step."""
+    states, out = range(tags), []
+    e = [[f"embedding[{i * tags + j + 1}]::DOUBLE" for j in states] for i in range(steps)]
+    first = ", ".join(f"{e[0][j]} AS s{j}, {e[0][j]} AS a{j}, '{j}' AS p{j}" for j in states)
+    out.append(f"z0 AS (SELECT vec_id, embedding, {first} FROM embeddings)")
+    for i in range(1, steps):
+        made = []
+        for j in states:
+            via = [f"s{k} + {TRANSITIONS[k][j]}::DOUBLE" for k in states]
+            sums = " + ".join(f"exp(a{k} + {TRANSITIONS[k][j]}::DOUBLE)" for k in states)
+            cases = " ".join(f"WHEN {via[k]} = greatest({', '.join(via)}) THEN p{k}" for k in states)
+            made.append(f"greatest({', '.join(via)}) + {e[i][j]} AS s{j}, ln({sums}) + {e[i][j]} AS a{j}, CASE {cases} END || ',{j}' AS p{j}")
+        out.append(f"z{i} AS MATERIALIZED (SELECT vec_id, embedding, {', '.join(made)} FROM z{i - 1})")
+    top = "greatest(s0, s1, s2, s3)"
+    cases = " ".join(f"WHEN s{k} = {top} THEN p{k}" for k in states)
+    return f"WITH {', '.join(out)} SELECT vec_id, CASE {cases} END AS path, round({top}, 5) AS score, round(ln({' + '.join(f'exp(a{k})' for k in states)}), 5) AS log_partition FROM z{steps - 1}"
+
+
+_MARKS = r"!-/:-@\[-`{-~\p{P}"
+_BASIC = rf"regexp_extract_all(lower(strip_accents(text)), '[{_MARKS}]|[^\s{_MARKS}]+')"
+_PIECE = f"regexp_extract_all(w, '{'|'.join(PIECES)}|[a-z.,]')"
+_BMOE = """r AS (SELECT l_orderkey, l_linenumber, CASE l_linestatus WHEN 'O' THEN substr('BME', CAST(l_quantity % 3 + 1 AS INTEGER), 1) ELSE substr('bme', CAST(l_quantity % 3 + 1 AS INTEGER), 1) END AS c FROM lineitem),
+g AS (SELECT l_orderkey, string_agg(c, '' ORDER BY l_linenumber, upper(c), c DESC) AS s FROM r GROUP BY l_orderkey), i AS (SELECT *, CAST(unnest(range(length(s))) AS INTEGER) AS start FROM g),
+h AS (SELECT l_orderkey, start, regexp_extract(substr(s, start + 1), '^(BM*E|bm*e|B|b)') AS hit, substr(s, start + 2, 1) AS next FROM i)"""
+
 SQL = {
+    "viterbi_paths": _viterbi(),
+    "bmoe_spans": f"WITH {_BMOE} SELECT l_orderkey, start, CAST(start + length(hit) AS INTEGER) AS \"end\", CASE substr(hit, 1, 1) WHEN 'B' THEN 'O' ELSE 'F' END AS kind FROM h WHERE length(hit) > 1 OR hit = 'B' AND next <> 'M' OR hit = 'b' AND next <> 'm'",
+    "chart_parse": "SELECT l_orderkey, regexp_matches(string_agg(CASE WHEN l_returnflag = 'N' THEN 'F' ELSE 'R' END, '' ORDER BY l_linenumber, l_returnflag), '^R+F$') AS accepted FROM lineitem GROUP BY l_orderkey",
+    "basic_tokens": f"SELECT doc_id, array_to_string({_BASIC}, ' ') AS tokens FROM documents",
+    "word_pieces": f"SELECT doc_id, array_to_string(list_transform({_BASIC}, lambda w: CASE WHEN length(w) > 200 OR NOT regexp_matches(w, '^[a-z.,]+$') THEN '[UNK]' ELSE array_to_string({_PIECE}, ' ##') END), ' ') AS tokens FROM documents",
+    "segmented": rf"SELECT doc_id, array_to_string(regexp_extract_all(regexp_replace(text, '\s', '', 'g'), '{'|'.join(WORDS)}|(?s:.)'), ' ') AS tokens FROM documents",
+    "pruned_items": f"WITH {_S2}, h AS (SELECT x.tx, x.item AS i, y.item AS j FROM b x JOIN b y ON x.tx = y.tx AND x.item < y.item JOIN s2 ON s2.i = x.item AND s2.j = y.item), u AS (SELECT tx, i AS item FROM h UNION ALL SELECT tx, j FROM h) SELECT tx, item FROM u WHERE tx IN (SELECT tx FROM h GROUP BY tx HAVING count(*) > 2) GROUP BY tx, item HAVING count(*) >= 2",
+    "padded_batches": f"WITH e AS (SELECT concat_ws(':', conv_id, turn, epoch) AS key, role, list_transform({_TOK.format(x='text')}, lambda w: length(w)) AS ids FROM conversations, range(2) AS r(epoch)), k AS (SELECT *, CAST(floor((row_number() OVER (PARTITION BY role ORDER BY md5(key || 'batch'), key) - 1) / 8.0) AS BIGINT) AS batch FROM e), m AS (SELECT *, max(len(ids)) OVER (PARTITION BY role, batch) AS most FROM k) SELECT key, batch, array_to_string(list_concat(ids, list_transform(range(most - len(ids)), lambda x: 0)), ',') AS ids FROM m",
+    "secondary_sort": "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS INTEGER) AS place FROM lineitem",
+    "length_order": "SELECT doc_id, CAST(length(text) AS INTEGER) AS length FROM documents",
+    "character_kinds": r"WITH o AS (SELECT doc_id, substr(text, doc_id % n_chars + 1, 1) AS c FROM documents) SELECT doc_id, regexp_matches(c, '^\s*$') AS blank, regexp_matches(c, '^[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]+$') AS control, regexp_matches(c, '^[!-/:-@\[-`{-~]+$') AS mark FROM o",
     "inverted_index": f"WITH {_TF} SELECT term, count(*) AS df, {_B.format('sum(tf)')} AS cf FROM u GROUP BY term",
     "postings_list": f"WITH {_TF} SELECT term, floor(sum(tf) / count(*)::DOUBLE * 100 + 0.5) / 100 AS avg_tf, string_agg(doc_id || ':' || tf, ';' ORDER BY doc_id) AS postings FROM u WHERE term NOT IN ({_STOP}) GROUP BY term",
     "sorted_avg_freq": f"WITH {_TF} SELECT term, floor(sum(tf) / count(*)::DOUBLE * 100 + 0.5) / 100 AS avg_tf FROM u GROUP BY term",
@@ -140,3 +177,7 @@ SQL = {
     "running_mean": "SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean FROM events GROUP BY event_type",
     "event_sessions": "WITH x AS (SELECT *, CASE WHEN lag(ts) OVER w IS NULL OR ts >= lag(ts) OVER w + INTERVAL '30 minutes' THEN 1 ELSE 0 END AS nw FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), y AS (SELECT *, sum(nw) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS s FROM x) SELECT user_id, min(ts) AS start, count(*) AS n FROM y GROUP BY user_id, s",
 }
+
+from . import sources  # noqa: E402 - its SQL is made of the above
+
+SQL |= sources._sql()

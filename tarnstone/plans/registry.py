@@ -208,6 +208,11 @@ def pruned_transactions(spark, d):
     return I.prune_transactions(b, keep)
 
 
+@query
+def pruned_items(spark, d):
+    return I.prune_matched(I.matched(baskets(spark, d), _sets(spark, d, SUPPORT, 2)[0], 2), 2)
+
+
 @query
 def item_union(spark, d):
     return I.item_union(_sets(spark, d, SUPPORT, 2)[0]).select(F.concat_ws(",", "items").alias("items"))
@@ -332,6 +337,26 @@ def batch_ids(spark, d):
     return P.batches(t(spark, d, "events").select("event_id", "user_id"), "event_id", 16, "user_id")
 
 
+@query
+def padded_batches(spark, d):
+    rows = P.repeated(t(spark, d, "conversations").select("conv_id", "turn", "role", F.transform(T.tokens(F.col("text")), lambda w: F.length(w)).alias("ids")), 2)
+    rows = rows.withColumn("key", F.concat_ws(":", "conv_id", "turn", "epoch"))
+    return P.padded_batches(rows, "key", "ids", 8, "role").select("key", "batch", F.array_join(F.col("ids").cast("array<string>"), ",").alias("ids"))
+
+
+@query
+def secondary_sort(spark, d):
+    """The place of each line as found within its order, after the sort."""
+    by = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
+    found = P.secondary_sort(t(spark, d, "lineitem").select("l_orderkey", *by), "l_orderkey", *by).withColumn("at", F.monotonically_increasing_id())
+    return found.withColumn("place", F.row_number().over(W.partitionBy("l_orderkey").orderBy("at"))).drop("at")
+
+
+@query
+def length_order(spark, d):
+    return P.length_order(docs(spark, d).select("doc_id", "text")).select("doc_id", "length")
+
+
 # --- metrics
 
 
@@ -511,14 +536,36 @@ def lda_topics(spark, d):
 def tree_cv(spark, d):
     from ..operators import learners as N
 
-    return M.accuracy(N.cross_validated(emb(spark, d), "tree_gini", folds=5).withColumnRenamed("label", "truth"))
+    return M.accuracy(N.cross_validated(emb(spark, d), "tree_gini").withColumnRenamed("label", "truth"))
 
 
 @query
 def bagged_trees(spark, d):
     from ..operators import learners as N
 
-    return N.bagged(*_split(spark, d), "tree_entropy", estimators=5)
+    return N.bagged(*_split(spark, d), "tree_entropy")
+
+
+def _classified(spark, d, kind, **options):
+    from ..operators import learners as N
+
+    train, test = _split(spark, d)
+    return N.classified(train, test, kind, **options)
+
+
+@query
+def forest_classes(spark, d):
+    return _classified(spark, d, "forest")
+
+
+@query
+def linear_svm_classes(spark, d):
+    return _classified(spark, d, "linear_svm")
+
+
+@query
+def mlp_classes(spark, d):
+    return _classified(spark, d, "mlp", layers=[64, 64, 32, 10])
 
 
 @query
@@ -546,12 +593,14 @@ def bmoe_spans(spark, d):
     return S.spans_of(tags, scheme="bmoe").select("l_orderkey", F.explode("spans").alias("s")).select("l_orderkey", "s.*")
 
 
+TRANSITIONS = [[0.5, -0.2, 0.1, 0.0], [0.0, 0.3, -0.5, 0.2], [0.1, 0.0, 0.4, -0.3], [-0.2, 0.1, 0.0, 0.6]]
+
+
 @query
 def viterbi_paths(spark, d):
     rows = emb(spark, d).select("vec_id", F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: F.slice("embedding", (i * 4 + 1).cast("int"), 4)).alias("emissions"))
-    trans = [[0.5, -0.2, 0.1, 0.0], [0.0, 0.3, -0.5, 0.2], [0.1, 0.0, 0.4, -0.3], [-0.2, 0.1, 0.0, 0.6]]
-    got = S.decode(rows.withColumn("emissions", F.transform("emissions", lambda e: e.cast("array<double>"))), trans, [0.0] * 4, [0.0] * 4)
-    return got.select("vec_id", "path", F.round("score", 5).alias("score"), F.round("log_partition", 5).alias("log_partition"))
+    got = S.decode(rows.withColumn("emissions", F.transform("emissions", lambda e: e.cast("array<double>"))), TRANSITIONS, [0.0] * 4, [0.0] * 4)
+    return got.select("vec_id", F.array_join(F.col("path").cast("array<string>"), ",").alias("path"), F.round("score", 5).alias("score"), F.round("log_partition", 5).alias("log_partition"))
 
 
 @query
@@ -580,21 +629,28 @@ def missing_words(spark, d):
     return X.missing_words(words, known)
 
 
+def _joined(rows):
+    return rows.select("doc_id", F.array_join("tokens", " ").alias("tokens"))
+
+
 @query
 def basic_tokens(spark, d):
-    return X.basic_tokens(t(spark, d, "benchmark").select("item_id", "text")).select("item_id", F.size("tokens").alias("n"))
+    return _joined(X.basic_tokens(docs(spark, d).select("doc_id", "text")))
+
+
+PIECES = ["tion", "the", "and", "ing", "th", "er", "on", "an", "re"]
+WORDS = ["tion", "with", "that", "over", "the", "ing", "and", "ble"]
 
 
 @query
 def word_pieces(spark, d):
-    vocabulary = {"##" * k + x for k in (0, 1) for x in [*"abcdefghijklmnopqrstuvwxyz.,", "th", "er", "on", "an", "re", "the", "and", "ing", "tion"]}
-    return X.word_pieces(t(spark, d, "benchmark").select("item_id", "text"), vocabulary).select("item_id", "tokens")
+    vocabulary = {"##" * k + x for k in (0, 1) for x in [*"abcdefghijklmnopqrstuvwxyz.,", *PIECES]}
+    return _joined(X.word_pieces(docs(spark, d).select("doc_id", "text"), vocabulary))
 
 
 @query
 def segmented(spark, d):
-    words = {"the", "tion", "ing", "and", "with", "that", "ble", "over"}
-    return X.segmented(t(spark, d, "benchmark").select("item_id", F.regexp_replace("text", r"\s", "").alias("text")), words).select("item_id", "tokens")
+    return _joined(X.segmented(docs(spark, d).select("doc_id", F.regexp_replace("text", r"\s", "").alias("text")), set(WORDS)))
 
 
 @query
@@ -618,6 +674,14 @@ def text_predicates(spark, d):
     return docs(spark, d).select("doc_id", x.rlike("[0-9]").alias("digits"), X.acceptable(x).alias("acceptable"), X.is_cjk(x).alias("cjk"), x.rlike("^[A-Za-z]+$").alias("alphabetic"))
 
 
+@query
+def character_kinds(spark, d):
+    """Of one character of each text: blank, control or mark."""
+    c = F.col("c")
+    one = docs(spark, d).select("doc_id", F.expr("substring(text, cast(doc_id % n_chars as int) + 1, 1)").alias("c"))
+    return one.select("doc_id", X.is_blank(c).alias("blank"), X.is_control(c).alias("control"), X.is_punctuation(c).alias("mark"))
+
+
 def _ids(spark, d):
     return docs(spark, d).select("doc_id", F.transform(T.tokens(F.col("text")), lambda w: F.length(w)).alias("a"))
 

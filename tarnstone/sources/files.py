@@ -56,14 +56,17 @@ def token_sessions(spark: SparkSession, path: str, begin: str = "**SOF**", end:
 
 
 def arff(spark: SparkSession, path: str) -> DataFrame:
-    """Columns as the header declares: numeric ones as double, nominal ones as string, `?` as null. The header is short."""
+    """Columns as the header declares: numeric ones as double, nominal ones as string, `?` as null. The header is short.
+
+    Commas within single quotes belong to their value. Where the path is a folder, one of its files has the whole header.
+    """
     lines = spark.read.text(path).select(F.trim("value").alias("v")).where("v <> '' and not startswith(v, '%')")
     head = [r["v"] for r in lines.where(F.lower("v").startswith("@attribute")).collect()]
     fields = []
     for h in head:
         m = re.match(r"@attribute\s+(?:'([^']*)'|\"([^\"]*)\"|(\S+))\s+(.*)", h, re.I)
         fields.append((m[1] or m[2] or m[3], "double" if m[4].strip().lower() in ("real", "numeric", "integer") else "string"))
-    parts = F.split("v", r"\s*,\s*")
+    parts = F.split("v", r"\s*,\s*(?=(?:[^']*'[^']*')*[^']*$)")
     value = lambda i: F.nullif(F.regexp_replace(F.trim(F.get(parts, F.lit(i))), r"^'(.*)'$", "$1"), F.lit("?"))
     return lines.where("not startswith(v, '@')").select(*[value(i).cast(kind).alias(name) for i, (name, kind) in enumerate(fields)])
 
@@ -119,6 +122,13 @@ def irregular_forms(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.get(f, F.lit(0)).alias("lemma"), F.explode(F.slice(f, 2, F.size(f))).alias("form")).where("form <> ''")
 
 
+def dictionary(spark: SparkSession, path: str) -> DataFrame:
+    """(word, meaning): a word, then its fields, by tab; the fields stay joined. Of several lines of a word, any one."""
+    at = F.instr("value", "\t")
+    rows = spark.read.text(path).where(at > 1).select(F.substring_index("value", "\t", 1).alias("word"), F.expr("substring(value, instr(value, '\t') + 1)").alias("meaning"))
+    return rows.groupBy("word").agg(F.max("meaning").alias("meaning"))
+
+
 def json_examples(spark: SparkSession, path: str) -> DataFrame:
     """(id, ids, label) from one JSON object of id -> {ids, label}."""
     raw = spark.read.text(path, wholetext=True).select(F.from_json("value", "map<string,struct<ids:array<int>,label:string>>").alias("m"))
@@ -148,7 +158,24 @@ def write_records(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
 
+def write_id_map(rows: DataFrame, path: str, parts: int = 8) -> None:
+    """(id, ids, label) as JSON objects of id -> {ids, label}, one object in each of `parts` files, which `json_examples` reads.
+
+    An object is built in one row: take so many parts that each fits a task. Of rows with one id, any one stays.
+    """
+    one = rows.select(F.col("id").cast("string").alias("id"), F.struct("ids", "label").alias("e")).groupBy("id").agg(F.any_value("e").alias("e"))
+    part = F.pmod(F.hash("id"), F.lit(parts)).alias("part")
+    objects = one.groupBy(part).agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("id", "e")))).alias("value"))
+    objects.repartition("part").write.mode("overwrite").partitionBy("part").text(path)
+
+
+def markdown_rows(df: DataFrame) -> DataFrame:
+    """The rows of a Markdown table, one line each, without its head; nulls are empty."""
+    cells = [F.concat(F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit("|")) for c in df.columns]
+    return df.select(F.concat(F.lit("|"), *cells).alias("line"))
+
+
 def markdown(df: DataFrame) -> str:
-    """A small result table in Markdown."""
-    rows = [df.columns, ["---"] * len(df.columns), *[["" if v is None else str(v) for v in r] for r in df.collect()]]
-    return "\n".join("|" + "|".join(r) + "|" for r in rows)
+    """A small result table in Markdown, its rows in the table's order."""
+    head = ["|".join(["", *x, ""]) for x in (df.columns, ["---"] * len(df.columns))]
+    return "\n".join(head + [r["line"] for r in markdown_rows(df).collect()])

@@ -190,3 +190,19 @@ def test_best_k_and_orders(spark):
     assert [r["text"] for r in preparation.length_order(texts).collect()] == ["", "a", "ab", "bb"]
     dealt = preparation.secondary_sort(rows, "g", "m", "id").rdd.glom().collect()
     assert [r["id"] for part in dealt for r in part if r["g"] == "a"] == [1, 2, 3] and sum(any(r["g"] == "a" for r in p) for p in dealt) == 1
+
+
+def test_prune_matched(spark):
+    baskets = spark.createDataFrame([(1, x) for x in "abcd"] + [(2, x) for x in "ab"] + [(3, x) for x in "acd"], "tx int, item string")
+    sets = spark.createDataFrame([(["a", "b"],), (["a", "c"],), (["b", "c"],), (["c", "d"],), (["a"],)], "items array<string>")
+    held = I.matched(baskets, sets, 2)
+    assert sorted((r["tx"], "".join(r["items"])) for r in held.collect()) == [(1, "ab"), (1, "ac"), (1, "bc"), (1, "cd"), (2, "ab"), (3, "ac"), (3, "cd")]
+    # transactions 2 and 3 hold fewer than three pairs; `d` of transaction 1 is in one pair only
+    assert sorted(map(tuple, I.prune_matched(held, 2).collect())) == [(1, "a"), (1, "b"), (1, "c")]
+
+
+def test_id_map_and_table(spark, tmp_path):
+    rows = spark.createDataFrame([(1, [1, 2], "x"), (2, [], None), (2, [], None)], "id int, ids array<int>, label string")
+    files.write_id_map(rows, str(tmp_path / "m"), 2)
+    assert sorted(((r["id"], r["ids"], r["label"]) for r in files.json_examples(spark, str(tmp_path / "m")).collect())) == [("1", [1, 2], "x"), ("2", [], None)]
+    assert files.markdown(spark.createDataFrame([(1, None)], "a int, b string")) == "|a|b|\n|---|---|\n|1||"
