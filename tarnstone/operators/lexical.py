@@ -109,6 +109,18 @@ def token_ids(rows: DataFrame, tokens: str = "tokens", key: str = "doc_id") -> D
     return seen.select("token", (F.row_number().over(W.orderBy("first")) - 1).alias("id"))
 
 
+def looked_up(rows: DataFrame, vocabulary: DataFrame, token: str = "token", unknown: int = -1) -> DataFrame:
+    """Add `id` from a vocabulary (token, id), `unknown` for tokens that it lacks, to rows of one token each."""
+    named = vocabulary.select(F.col("token").alias(token), "id")
+    return rows.join(named, token, "left").withColumn("id", F.coalesce("id", F.lit(unknown)))
+
+
+def spelled(rows: DataFrame, vocabulary: DataFrame, token: str = "token", unknown: str = "[UNK]") -> DataFrame:
+    """Add the token of each `id`, `unknown` for ids that the vocabulary lacks."""
+    named = vocabulary.select("id", F.col("token").alias(token))
+    return rows.join(named, "id", "left").withColumn(token, F.coalesce(token, F.lit(unknown)))
+
+
 #: Ending, what replaces it, in order of trial; `=` stands for a doubled consonant to be halved.
 ENDINGS = (
     ("ies", "y"), ("ves", "fe"), ("ves", "f"), ("es", ""), ("s", ""), ("ied", "y"), ("ed", ""), ("ed", "e"), ("ed", "="),

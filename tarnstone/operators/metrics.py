@@ -57,6 +57,19 @@ def auc(rows: DataFrame, score: str = "score", truth: str = "truth") -> DataFram
     return wins.agg(F.round(F.try_divide(F.sum("wins"), F.sum("pos") * F.sum("neg")), 6).alias("auc"))
 
 
+def one_vs_rest(scores: DataFrame, key: str, label: str = "label", kind: str = "kind", score: str = "score") -> DataFrame:
+    """(key, kind, truth, score) for every row and class, from the scores of some classes; a class without one has 0.
+
+    `auc` over it is the micro average. `scores` has at least one line a row; the classes are all labels and kinds there.
+    """
+    rows = scores.select(key, label).distinct()
+    kinds = F.array_distinct(F.concat(F.collect_set(label), F.collect_set(kind))).alias("kinds")
+    known = scores.agg(kinds).first()["kinds"]
+    every = rows.select(key, label, F.explode(F.array(*map(F.lit, sorted(known)))).alias("kind"))
+    given = scores.select(key, F.col(kind).alias("kind"), F.col(score).cast("double").alias("score"))
+    return every.join(given, [key, "kind"], "left").select(key, "kind", (F.col(label) == F.col("kind")).cast("int").alias("truth"), F.coalesce("score", F.lit(0.0)).alias("score"))
+
+
 def or_vote(frames: list[DataFrame], key: str, label: str) -> DataFrame:
     """1 if any prediction is: the highest label by key."""
     return reduce(DataFrame.unionByName, [f.select(key, label) for f in frames]).groupBy(key).agg(F.max(label).alias(label))

@@ -64,6 +64,12 @@ def spans_of(rows: DataFrame, tags: str = "tags", scheme: str = "bio") -> DataFr
     return rows.withColumn("spans", run(tags))
 
 
+def kind_and_attribute(spans: DataFrame) -> DataFrame:
+    """Split `kind@attribute` of the column `kind`; without a mark the attribute is null."""
+    at = F.split("kind", "@", 2)
+    return spans.withColumn("attribute", F.get(at, F.lit(1))).withColumn("kind", F.get(at, F.lit(0)))
+
+
 def bio_spans_sql(rows: DataFrame, sentence: str = "sent_id", pos: str = "pos", tag: str = "tag") -> DataFrame:
     """(sentence, start, end, kind) of BIO tags by gaps and islands, in windows alone."""
     w = W.partitionBy(sentence).orderBy(pos)

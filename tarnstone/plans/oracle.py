@@ -79,7 +79,16 @@ _BMOE = """r AS (SELECT l_orderkey, l_linenumber, CASE l_linestatus WHEN 'O' THE
 g AS (SELECT l_orderkey, string_agg(c, '' ORDER BY l_linenumber, upper(c), c DESC) AS s FROM r GROUP BY l_orderkey), i AS (SELECT *, CAST(unnest(range(length(s))) AS INTEGER) AS start FROM g),
 h AS (SELECT l_orderkey, start, regexp_extract(substr(s, start + 1), '^(BM*E|bm*e|B|b)') AS hit, substr(s, start + 2, 1) AS next FROM i)"""
 
+_NAMES = [f"{a}@{b}" for a in "FO" for b in "ANR"]
+_CODES = ", ".join(f"'{m}-{n}'" for n in _NAMES for m in "BIES")
+_RUNS = "|".join(f"{chr(65 + 4 * k)}{chr(66 + 4 * k)}*{chr(67 + 4 * k)}|{chr(68 + 4 * k)}" for k in range(len(_NAMES)))
+_BIOES = f"""r AS (SELECT l_orderkey, l_linenumber, substr('BIES', CAST(l_quantity % 4 + 1 AS INTEGER), 1) || '-' || l_linestatus || '@' || l_returnflag AS tag FROM lineitem),
+g AS (SELECT l_orderkey, string_agg(chr(CAST(64 + list_position([{_CODES}], tag) AS INTEGER)), '' ORDER BY l_linenumber, tag) AS s, list(tag ORDER BY l_linenumber, tag) AS tags FROM r GROUP BY l_orderkey),
+i AS (SELECT *, CAST(unnest(range(length(s))) AS INTEGER) AS start FROM g), h AS (SELECT l_orderkey, start, length(regexp_extract(substr(s, start + 1), '^({_RUNS})')) AS n, string_split(substr(tags[start + 1], 3), '@') AS name FROM i)"""
+
 SQL = {
+    "attribute_spans": f"WITH {_BIOES} SELECT l_orderkey, start, CAST(start + n AS INTEGER) AS \"end\", name[1] AS kind, name[2] AS attribute FROM h WHERE n > 0",
+    "micro_auc": f"WITH {_NEAR}, s AS (SELECT k.i, e.label AS kind, count(*) / 5.0::DOUBLE AS score FROM k JOIN embeddings e ON k.j = e.vec_id WHERE rank <= 5 GROUP BY k.i, e.label), c AS (SELECT DISTINCT label AS kind FROM embeddings WHERE vec_id % 5 = 0 UNION SELECT kind FROM s), f AS (SELECT CAST(e.label = c.kind AS INTEGER) AS truth, coalesce(s.score, 0) AS score FROM embeddings e CROSS JOIN c LEFT JOIN s ON s.i = e.vec_id AND s.kind = c.kind WHERE e.vec_id % 5 = 0), w AS (SELECT score, count(*) FILTER (truth = 1) AS p, count(*) FILTER (truth = 0) AS n FROM f GROUP BY score) SELECT round(sum(CASE WHEN a.score > b.score THEN a.p * b.n WHEN a.score = b.score THEN 0.5 * a.p * b.n ELSE 0 END)::DOUBLE / (sum(a.p * b.n)), 6) AS auc FROM w a, w b",
     "viterbi_paths": _viterbi(),
     "bmoe_spans": f"WITH {_BMOE} SELECT l_orderkey, start, CAST(start + length(hit) AS INTEGER) AS \"end\", CASE substr(hit, 1, 1) WHEN 'B' THEN 'O' ELSE 'F' END AS kind FROM h WHERE length(hit) > 1 OR hit = 'B' AND next <> 'M' OR hit = 'b' AND next <> 'm'",
     "chart_parse": "SELECT l_orderkey, regexp_matches(string_agg(CASE WHEN l_returnflag = 'N' THEN 'F' ELSE 'R' END, '' ORDER BY l_linenumber, l_returnflag), '^R+F$') AS accepted FROM lineitem GROUP BY l_orderkey",
@@ -169,7 +178,7 @@ SQL = {
     "fitted_pairs": f"WITH a AS (SELECT doc_id, len({_TOK.format(x='text')}) AS a FROM documents), b AS (SELECT doc_id, a, least(a, doc_id % 23 + 1) AS b FROM a), g AS (SELECT *, greatest(a + b - 40, 0) AS o FROM b), f AS (SELECT *, least(o, a - b) AS f, greatest(o - (a - b), 0) AS r FROM g) SELECT doc_id, CAST(a - f - floor(r / 2.0) AS BIGINT) AS first, CAST(b - ceil(r / 2.0) AS BIGINT) AS second FROM f",
     "quorum_index": "SELECT l_orderkey, CAST(list_extract(list_reverse_sort(list(l_linenumber)), CAST(floor(count(*) / 2.0) + 1 AS INTEGER)) AS BIGINT) AS committed FROM lineitem GROUP BY l_orderkey",
     "row_union": "SELECT id, count(*) AS n FROM (SELECT o_custkey AS id FROM orders UNION ALL SELECT c_custkey FROM customer) GROUP BY id",
-    "key_difference": "SELECT id, 'orders' AS side FROM (SELECT o_custkey AS id FROM orders EXCEPT SELECT c_custkey FROM customer) UNION ALL SELECT id, 'customer' FROM (SELECT c_custkey AS id FROM customer EXCEPT SELECT o_custkey FROM orders)",
+    "key_difference": "WITH a AS (SELECT DISTINCT l_partkey % 1009 + 50 AS id FROM lineitem) SELECT id, 'lineitem' AS side FROM (SELECT id FROM a EXCEPT SELECT c_custkey FROM customer) UNION ALL SELECT id, 'customer' FROM (SELECT c_custkey AS id FROM customer EXCEPT SELECT id FROM a)",
     "positional_zip": "WITH o AS (SELECT o_orderkey AS line_no, string_split(o_orderpriority || ' ' || o_orderstatus, ' ') AS a FROM orders) SELECT line_no, CAST(unnest(range(len(a))) AS INTEGER) AS pos, unnest(a) AS token, upper(unnest(a)) AS tag FROM o",
     "bellman": "SELECT event_id, round(value + CASE WHEN event_type = 'purchase' THEN 0.0 ELSE 0.99::DOUBLE * (value * 2) END, 4) AS target, CAST(value > 0.985 AS BIGINT) AS decided FROM events",
     "event_windows": _WIN,
@@ -177,6 +186,7 @@ SQL = {
     "running_mean": "SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean FROM events GROUP BY event_type",
     "event_sessions": "WITH x AS (SELECT *, CASE WHEN lag(ts) OVER w IS NULL OR ts >= lag(ts) OVER w + INTERVAL '30 minutes' THEN 1 ELSE 0 END AS nw FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), y AS (SELECT *, sum(nw) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS s FROM x) SELECT user_id, min(ts) AS start, count(*) AS n FROM y GROUP BY user_id, s",
 }
+SQL["looked_up_tokens"] = f"WITH v AS ({SQL['token_ids']}), c AS (SELECT unnest({_TOK.format(x='text')}) AS token FROM conversations) SELECT coalesce(v.id, -1) AS id, coalesce(v.token, '[UNK]') AS token, count(*) AS n FROM c LEFT JOIN v ON c.token = v.token GROUP BY ALL"
 
 from . import sources  # noqa: E402 - its SQL is made of the above
 

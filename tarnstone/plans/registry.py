@@ -391,6 +391,14 @@ def auc_rank(spark, d):
     return M.auc(_judged(spark, d))
 
 
+@query
+def micro_auc(spark, d):
+    """Class shares among five neighbours as scores, over all rows and classes."""
+    train, test = _split(spark, d)
+    votes = V.nearest(test, train, 5).join(train.select(F.col("vec_id").alias("j"), F.col("label").alias("kind")), "j").groupBy("i", "kind").agg((F.count("*") / 5).alias("score"))
+    return M.auc(M.one_vs_rest(votes.join(test.select(F.col("vec_id").alias("i"), "label"), "i"), "i"))
+
+
 @query
 def or_vote(spark, d):
     j = _judged(spark, d)
@@ -593,6 +601,14 @@ def bmoe_spans(spark, d):
     return S.spans_of(tags, scheme="bmoe").select("l_orderkey", F.explode("spans").alias("s")).select("l_orderkey", "s.*")
 
 
+@query
+def attribute_spans(spark, d):
+    tag = F.concat(F.element_at(F.array(*map(F.lit, ("B-", "I-", "E-", "S-"))), (F.col("l_quantity") % 4 + 1).cast("int")), "l_linestatus", F.lit("@"), "l_returnflag")
+    tags = t(spark, d, "lineitem").groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", tag.alias("tag")))), lambda x: x["tag"]).alias("tags"))
+    spans = S.spans_of(tags, scheme="bioes").select("l_orderkey", F.explode("spans").alias("s")).select("l_orderkey", "s.*")
+    return S.kind_and_attribute(spans)
+
+
 TRANSITIONS = [[0.5, -0.2, 0.1, 0.0], [0.0, 0.3, -0.5, 0.2], [0.1, 0.0, 0.4, -0.3], [-0.2, 0.1, 0.0, 0.6]]
 
 
@@ -665,6 +681,15 @@ def token_ids(spark, d):
     return X.token_ids(t(spark, d, "benchmark").select("item_id", T.tokens(F.col("text")).alias("tokens")), key="item_id")
 
 
+@query
+def looked_up_tokens(spark, d):
+    """Tokens of conversations to ids of the benchmark's vocabulary and back."""
+    vocabulary = token_ids(spark, d)
+    rows = t(spark, d, "conversations").select(F.explode(T.tokens(F.col("text"))).alias("token"))
+    ids = X.looked_up(rows, vocabulary).groupBy("id").agg(F.count("*").alias("n"))
+    return X.spelled(ids, vocabulary).select("id", "token", "n")
+
+
 # --- column functions
 
 
@@ -711,8 +736,8 @@ def row_union(spark, d):
 
 @query
 def key_difference(spark, d):
-    a, b = t(spark, d, "orders").select("o_custkey").distinct(), t(spark, d, "customer").select("c_custkey").distinct()
-    return a.exceptAll(b).withColumn("side", F.lit("orders")).toDF("id", "side").unionByName(b.exceptAll(a).withColumn("side", F.lit("customer")).toDF("id", "side"))
+    a, b = t(spark, d, "lineitem").select(F.col("l_partkey") % 1009 + 50).distinct(), t(spark, d, "customer").select("c_custkey").distinct()
+    return a.exceptAll(b).withColumn("side", F.lit("lineitem")).toDF("id", "side").unionByName(b.exceptAll(a).withColumn("side", F.lit("customer")).toDF("id", "side"))
 
 
 @query

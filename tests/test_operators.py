@@ -206,3 +206,15 @@ def test_id_map_and_table(spark, tmp_path):
     files.write_id_map(rows, str(tmp_path / "m"), 2)
     assert sorted(((r["id"], r["ids"], r["label"]) for r in files.json_examples(spark, str(tmp_path / "m")).collect())) == [("1", [1, 2], "x"), ("2", [], None)]
     assert files.markdown(spark.createDataFrame([(1, None)], "a int, b string")) == "|a|b|\n|---|---|\n|1||"
+
+
+def test_lookup_and_back(spark):
+    vocabulary = spark.createDataFrame([("a", 0), ("b", 1)], "token string, id int")
+    ids = X.looked_up(spark.createDataFrame([("b",), ("z",), ("b",), (None,)], "token string"), vocabulary).select("id")
+    assert sorted(r["id"] for r in ids.collect()) == [-1, -1, 1, 1]
+    assert sorted(r["token"] for r in X.spelled(ids, vocabulary).collect()) == ["[UNK]", "[UNK]", "b", "b"]
+
+
+def test_kind_and_attribute(spark):
+    rows = spark.createDataFrame([("a@x",), ("b",), ("c@d@e",)], "kind string")
+    assert sorted(map(tuple, S.kind_and_attribute(rows).collect()), key=str) == [("a", "x"), ("b", None), ("c", "d@e")]

@@ -12,7 +12,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 CHECKED = """inverted_index postings_list author_tfidf degree_rank oriented_edges triangles_or triangles_and freq_itemsets_k2 freq_itemsets_k3
 assoc_rules rules_half lm_score fluency_label sessionise mode_impute reversed_weights downsample prf_averages auc_rank span_scores
 covariance gaussian_nb knn_classify bio_spans lemma_rules fitted_pairs event_sessions viterbi_paths bmoe_spans chart_parse basic_tokens word_pieces segmented pruned_items padded_batches secondary_sort
-character_kinds text_file numbered_file record_file stop_word_file edge_file basket_file item_file session_file arff_file matrix_file
+key_difference micro_auc attribute_spans looked_up_tokens token_ids dense_vertex_ids character_kinds text_file numbered_file record_file stop_word_file edge_file basket_file item_file session_file arff_file matrix_file
 labelled_file example_file mail_files tagged_file zipped_files vector_file lemma_files result_table rule_file csv_file json_file""".split()
 
 
