@@ -7,9 +7,10 @@ from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .preparation import dense
+
 CJK = r"[\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}\x{20000}-\x{2CEAF}\x{2F800}-\x{2FA1F}]"
 
 
@@ -106,7 +107,7 @@ def segmented(rows: DataFrame, words: set[str], text: str = "text") -> DataFrame
 def token_ids(rows: DataFrame, tokens: str = "tokens", key: str = "doc_id") -> DataFrame:
     """(token, id): ids from 0 by first appearance (lowest key, then position)."""
     seen = rows.select(key, F.posexplode(tokens).alias("at", "token")).groupBy("token").agg(F.min(F.struct(key, "at")).alias("first"))
-    return seen.select("token", (F.row_number().over(W.orderBy("first")) - 1).alias("id"))
+    return dense(seen.select("token", "first.*"), key, "at").select("token", F.col("id").cast("int").alias("id"))
 
 
 def looked_up(rows: DataFrame, vocabulary: DataFrame, token: str = "token", unknown: int = -1) -> DataFrame:

@@ -113,6 +113,31 @@ def batches(rows: DataFrame, key: str, size: int, group: str | None = None) -> D
     return rows.withColumn("batch", F.floor((F.row_number().over(w) - 1) / size).cast("long"))
 
 
+#: Ranges that `dense` numbers apart, and sampled keys for each: the bounds on what reaches the driver.
+RANGES, SAMPLED = 128, 32
+
+
+def dense(rows: DataFrame, key: str, *then: str, name: str = "id") -> DataFrame:
+    """Number rows from 0 without gaps by `key`, then the columns `then` (nulls first): long ids in the column `name`.
+
+    Ranges of `key` between sampled bounds are numbered apart and shifted by the counts of those before; the bounds decide
+    only how the work is dealt. Rows of one key are numbered in one task.
+    """
+    sample = rows.select(key).where(F.col(key).isNotNull()).orderBy(F.xxhash64(key)).limit(RANGES * SAMPLED).collect()
+    kind = rows.schema[key].dataType
+    bounds = sorted({r[0] for r in sample})[SAMPLED - 1 :: SAMPLED]
+    at = F.size(F.filter(F.array(*[F.lit(b).cast(kind) for b in bounds]), lambda b: b <= F.col(key))) if bounds else F.lit(0)
+    ranged = rows.withColumn("_range", F.greatest(at, F.lit(0)))
+    counts, shifts, before = dict(ranged.groupBy("_range").agg(F.count("*")).collect()), [], 0
+    for r in sorted(counts):
+        shifts.append((r, before))
+        before += counts[r]
+    shift = rows.sparkSession.createDataFrame(shifts, "_range int, _shift bigint")
+    place = F.row_number().over(W.partitionBy("_range").orderBy(key, *then))
+    numbered = ranged.withColumn(name, place).join(F.broadcast(shift), "_range")
+    return numbered.withColumn(name, F.col(name) + F.col("_shift") - 1).drop("_range", "_shift")
+
+
 def repeated(rows: DataFrame, times: int) -> DataFrame:
     """All rows once for each `epoch` from 0."""
     return rows.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(times - 1))))

@@ -218,3 +218,12 @@ def test_lookup_and_back(spark):
 def test_kind_and_attribute(spark):
     rows = spark.createDataFrame([("a@x",), ("b",), ("c@d@e",)], "kind string")
     assert sorted(map(tuple, S.kind_and_attribute(rows).collect()), key=str) == [("a", "x"), ("b", None), ("c", "d@e")]
+
+
+def test_dense_ids_have_no_gaps(spark):
+    rows = spark.range(20000).select((F.col("id") * 7919 % 5003).alias("k"), "id").unionByName(spark.createDataFrame([(None, -1), (None, -2)], "k bigint, id bigint"))
+    got = [(r["place"], r["k"], r["id"]) for r in P.dense(rows, "k", "id", name="place").collect()]
+    want = sorted(((i * 7919 % 5003, i) for i in range(20000)))
+    assert [g[1:] for g in sorted(got)] == [(None, -2), (None, -1), *want]
+    assert [g[0] for g in sorted(got)] == list(range(20002))
+    assert P.dense(rows.where("id > 99999"), "k").count() == 0
