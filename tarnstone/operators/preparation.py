@@ -66,19 +66,32 @@ def stratified(rows: DataFrame, label: str, key: str, each: int) -> DataFrame:
     return rows.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= each).drop("_r")
 
 
+def hash_place(rows: DataFrame, label: str, key: str, name: str) -> DataFrame:
+    """Number the rows of each class from 1 by key hash (ties by key), in the column `name`.
+
+    A class is split in 256 ranges of the hash, numbered apart and shifted by the counts of those before, so that a class
+    that holds most rows is not one task.
+    """
+    ranged = rows.withColumn("_range", F.coalesce(F.substring(by_hash(key), 1, 2), F.lit("")))
+    counts = ranged.groupBy(F.col(label).alias("_label"), F.col("_range").alias("_at")).agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(W.partitionBy("_label").orderBy("_at").rowsBetween(W.unboundedPreceding, -1))
+    shifts = counts.select("_label", "_at", F.coalesce(before, F.lit(0)).alias("_shift"))
+    placed = ranged.withColumn(name, F.row_number().over(W.partitionBy(label, "_range").orderBy(by_hash(key), key)))
+    joined = placed.join(shifts, F.col(label).eqNullSafe(F.col("_label")) & (F.col("_range") == F.col("_at")))
+    return joined.withColumn(name, F.col(name) + F.col("_shift")).select(*rows.columns, name)
+
+
 def downsample(rows: DataFrame, label: str, key: str, ratio: float = 0.5) -> DataFrame:
     """Keep of every class but the smallest at most floor(ratio * smallest) rows, by key hash."""
     smallest = rows.groupBy(label).count().orderBy("count", label).first()
     if smallest is None:
         return rows
     most = int(ratio * smallest["count"])
-    w = W.partitionBy(label).orderBy(by_hash(key), key)
-    return rows.withColumn("_r", F.row_number().over(w)).where((F.col(label) == F.lit(smallest[label])) | (F.col("_r") <= most)).drop("_r")
+    return hash_place(rows, label, key, "_r").where((F.col(label) == F.lit(smallest[label])) | (F.col("_r") <= most)).drop("_r")
 
 
 def stratified_folds(rows: DataFrame, label: str, key: str, folds: int = 10) -> DataFrame:
-    w = W.partitionBy(label).orderBy(by_hash(key), key)
-    return rows.withColumn("fold", F.pmod(F.row_number().over(w) - 1, F.lit(folds)))
+    return hash_place(rows, label, key, "_r").withColumn("fold", F.pmod(F.col("_r") - 1, F.lit(folds)).cast("int")).drop("_r")
 
 
 def hash_bucket(key: str, buckets: int, salt: str = ""):

@@ -227,3 +227,12 @@ def test_dense_ids_have_no_gaps(spark):
     assert [g[1:] for g in sorted(got)] == [(None, -2), (None, -1), *want]
     assert [g[0] for g in sorted(got)] == list(range(20002))
     assert P.dense(rows.where("id > 99999"), "k").count() == 0
+
+
+def test_hash_place(spark):
+    rows = spark.range(3000).select(F.when(F.col("id") % 3 > 0, "hot").when(F.col("id") % 2 > 0, "rare").alias("label"), F.when(F.col("id") > 0, F.col("id")).alias("key"))
+    got = P.hash_place(rows, "label", "key", "place").withColumn("h", P.by_hash("key")).collect()
+    for label in ("hot", "rare", None):
+        own = sorted((r for r in got if r["label"] == label), key=lambda r: r["place"])
+        assert [r["place"] for r in own] == list(range(1, len(own) + 1)) and len(own) in (500, 2000)
+        assert [r["h"] or "" for r in own] == sorted(r["h"] or "" for r in own)
