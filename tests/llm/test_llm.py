@@ -163,6 +163,41 @@ def test_sample_is_the_lowest_hashes_at_every_size(spark):
         assert [(r["h"], r["id"]) for r in quality_forest._lowest(rows, [F.col("h"), F.col("id")], most).collect()] == want[:most]
 
 
+def test_forest_and_threshold_cover_every_row(spark):
+    rng = np.random.default_rng(3)
+    docs = [(i, " ".join(rng.choice(["a#", "bcd", "Efghij!", "k\n", "lmnopqrst"], int(rng.integers(15, 90)), p=rng.dirichlet([1.0] * 5)))) for i in range(300)]
+    table = spark.createDataFrame(docs, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, i % 3) for i in range(0, 300, 2)], "doc_id bigint, quality int")
+    counts = quality_forest.text_counts([t for _, t in docs])
+    x, failed = quality_forest.features(counts), quality_forest.base_failures(counts)
+    plain = quality_forest.IsolationForest(x[~failed], trees=5, rows=16)
+    told = ~failed & (np.arange(300) % 2 == 0)
+    want = quality_forest.calibrate(plain.score(x[told]), np.arange(300)[told] % 3 > 0, 0.1)
+    got = quality_forest.quality_rules(table.repartition(5), labels, trees=5, tree_rows=16, max_clean_loss=0.1).orderBy("doc_id").collect()
+    assert 100 < len(np.unique(x[~failed], axis=0)) and [r["score"] for r in got] == plain.score(x).tolist()
+    assert {r["threshold"] for r in got} == {want}
+    for root in plain.roots:  # a leaf's length counts all the rows that end there
+        leaf = plain._leaf(x[~failed], root)
+        for at, n in zip(*np.unique(leaf, return_counts=True)):
+            depth = int(round(plain.length[at] - float(quality_forest._mean_path(n * 16 / (~failed).sum()))))
+            assert 0 < depth <= 4 and abs(plain.length[at] - depth - float(quality_forest._mean_path(n * 16 / (~failed).sum()))) < 1e-9
+
+
+def test_threshold_heeds_labels_of_every_row(spark):
+    from pyspark.sql import functions as F
+
+    # one good row in a hundred is odd, exactly; a sample of the 200,000 labelled ones has some more or some fewer
+    values = {"n_words": 100, "word_chars": 500, "n_symbols": 0, "n_dup_lines": 0, "n_repeat_words": 0, "n_lines": 9, "n_upper": 10, "n_marks": 0, "n_distinct": 60}
+    odd = (F.col("doc_id") % 100 == 0) | (F.col("doc_id") >= 200_000)
+    stats = spark.range(200_100).select(F.col("id").alias("doc_id"), *(F.lit(v).cast("bigint").alias(c) for c, v in values.items()))
+    stats = stats.withColumn("n_symbols", F.when(odd, 200).otherwise(0).cast("bigint"))
+    labels = stats.select("doc_id", (F.col("doc_id") < 200_000).cast("int").alias("quality"))
+    for most, goes in ((0.01 + 1e-7, True), (0.01 - 1e-7, False)):
+        forest, threshold = quality_forest.fit(stats, labels, trees=20, max_clean_loss=most)
+        common, strange = (forest.score(quality_forest.features({c: np.array([v]) for c, v in (values | {"n_symbols": n}).items()}))[0] for n in (0, 200))
+        assert common <= threshold and (strange > threshold) == goes
+
+
 def test_texts_of_many_chunks_and_stretches(spark, monkeypatch):
     rng = random.Random(8)
     mixed = "".join(rng.choice(["word", " ", "  \n", "it's ", "\u00e9t\u00e9 ", "12", "3456 ", "\u65e5\u672c", "!? ", "\U0001f600"]) for _ in range(9000))
