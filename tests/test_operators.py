@@ -236,3 +236,32 @@ def test_hash_place(spark):
         own = sorted((r for r in got if r["label"] == label), key=lambda r: r["place"])
         assert [r["place"] for r in own] == list(range(1, len(own) + 1)) and len(own) in (500, 2000)
         assert [r["h"] or "" for r in own] == sorted(r["h"] or "" for r in own)
+
+
+def shuffled(spark, run):
+    """MB that a job wrote in shuffles."""
+
+    def now():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        all_of = spark.sparkContext._jsc.sc().statusStore().executorList(False)
+        return sum(all_of.apply(i).totalShuffleWrite() for i in range(all_of.size())) / 1e6
+
+    before = now()
+    run()
+    return now() - before
+
+
+def _matrix(spark, n, dims, seed=5, shift=0.0):
+    x = np.random.default_rng(seed).normal(size=(n, dims)) + shift
+    return x, spark.createDataFrame([(i, v.tolist(), i % 3) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>, label int")
+
+
+def test_scaling_matrix_shuffles_no_pairs(spark):
+    x, rows = _matrix(spark, 400, 4)
+    d = ((x[:, None] - x[None]) ** 2).sum(2)
+    want = -0.5 * (d - d.mean(0) - d.mean(1)[:, None] + d.mean())
+    rows = rows.unionByName(rows.select(F.lit(None).cast("bigint").alias("vec_id"), "embedding", "label").limit(1))
+    made = V.centred_products(rows)
+    got = {(r["i"], r["j"]): r["b"] for r in made.collect()}
+    assert len(got) == 160000 and all(abs(got[i, j] - want[i, j]) < 2e-6 for i in range(400) for j in range(400))
+    assert shuffled(spark, V.centred_products(rows).count) < 0.3
