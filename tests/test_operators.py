@@ -265,3 +265,8 @@ def test_scaling_matrix_shuffles_no_pairs(spark):
     got = {(r["i"], r["j"]): r["b"] for r in made.collect()}
     assert len(got) == 160000 and all(abs(got[i, j] - want[i, j]) < 2e-6 for i in range(400) for j in range(400))
     assert shuffled(spark, V.centred_products(rows).count) < 0.3
+
+
+def test_nca_shuffles_rows_not_pairs_of_blocks(spark):
+    _, rows = _matrix(spark, 2000, 64)
+    assert shuffled(spark, lambda: V.nca(rows, 2, 1)) < 5
