@@ -270,3 +270,15 @@ def test_scaling_matrix_shuffles_no_pairs(spark):
 def test_nca_shuffles_rows_not_pairs_of_blocks(spark):
     _, rows = _matrix(spark, 2000, 64)
     assert shuffled(spark, lambda: V.nca(rows, 2, 1)) < 5
+
+
+def test_nca_objective_shuffles_rows_not_pairs_of_blocks(spark):
+    x, rows = _matrix(spark, 2000, 64)
+    x, rows = x[:, :6], rows.withColumn("embedding", F.slice("embedding", 1, 6)).withColumn("label", F.expr("nullif(label, 2)"))
+    e = np.exp(-((x[:, None] - x[None]) ** 2).sum(2))
+    np.fill_diagonal(e, 0)
+    k = np.arange(2000) % 3
+    want = ((e * ((k[:, None] == k) & (k != 2))).sum(1) / e.sum(1)).sum()
+    assert abs(V.nca_objective(rows).first()[0] - want) < 1e-5
+    _, rows = _matrix(spark, 2000, 64)
+    assert shuffled(spark, V.nca_objective(rows).collect) < 3
