@@ -282,3 +282,15 @@ def test_nca_objective_shuffles_rows_not_pairs_of_blocks(spark):
     assert abs(V.nca_objective(rows).first()[0] - want) < 1e-5
     _, rows = _matrix(spark, 2000, 64)
     assert shuffled(spark, V.nca_objective(rows).collect) < 3
+
+
+def test_neighbours_are_exact_far_from_the_origin(spark, monkeypatch):
+    monkeypatch.setattr(V, "BLOCKS", 1)
+    x, rows = _matrix(spark, 1500, 64, shift=1e6)
+    x[7::50] = x[7]
+    rows = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], rows.schema)
+    got = {(r["i"], r["rank"]): (r["j"], r["d2"]) for r in V.nearest(rows, rows, 4).collect()}
+    d = np.array([np.round(((x - v) ** 2).sum(1), 6) for v in x])
+    np.fill_diagonal(d, np.inf)
+    want = {(i, k + 1): (j, d[i, j]) for i in range(1500) for k, j in enumerate(np.lexsort((np.arange(1500), d[i]))[:4])}
+    assert set(got) == set(want) and all(got[p][0] == want[p][0] and abs(got[p][1] - want[p][1]) < 2e-6 for p in want)
