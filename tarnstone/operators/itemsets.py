@@ -1,7 +1,8 @@
 """Frequent itemsets and association rules over (transaction, item) rows.
 
 Levels grow by the prefix join; candidates with an infrequent subset are dropped before anything is counted. Support is
-counted by extending each transaction's own frequent (k-1)-sets, so no candidate is ever tested against every transaction.
+counted by extending each transaction's own frequent (k-1)-sets, so no candidate is ever tested against every transaction;
+transactions of equal items are counted as one.
 """
 
 from __future__ import annotations
@@ -25,26 +26,50 @@ def _subsets_frequent(candidates: DataFrame, known: DataFrame, k: int) -> DataFr
     return candidates
 
 
+def counted_transactions(baskets: DataFrame, tx: str = "tx", item: str = "item") -> DataFrame:
+    """(items, blank, loose, n): how many transactions have the same items, sorted; whether they have a missing item too, or
+    are rows without a transaction. One shuffle of the rows, one of the transactions; held by the executors."""
+    items = F.array_sort(F.collect_set("item")).alias("items")
+    rows = baskets.select(F.col(tx).alias("tx"), F.col(item).cast("string").alias("item"))
+    own = rows.groupBy("tx").agg(items, F.max(F.col("item").isNull()).alias("blank"))
+    return own.groupBy("items", "blank", F.col("tx").isNull().alias("loose")).agg(F.count("*").alias("n")).persist()
+
+
+def _held(df: DataFrame) -> DataFrame:
+    """Found now and held, so that its size is known to the joins with it and nothing is found twice."""
+    df = df.persist()
+    df.count()
+    return df
+
+
 def frequent_itemsets(baskets: DataFrame, transactions: int, support: float, most: int = 3, tx: str = "tx", item: str = "item", floor: bool = False) -> DataFrame:
-    """(items, freq) of all sizes up to `most`. Transactions without items count in `transactions`."""
+    """(items, freq) of all sizes up to `most`. Transactions without items count in the number of transactions."""
+    return frequent_in(counted_transactions(baskets, tx, item), transactions, support, most, floor)
+
+
+def frequent_in(counted: DataFrame, transactions: int, support: float, most: int = 3, floor: bool = False) -> DataFrame:
+    """`frequent_itemsets` from what `counted_transactions` gives; sets are grown beside their transaction's items, without a join."""
     least = threshold(transactions, support, floor)
-    rows = baskets.select(F.col(tx).alias("tx"), F.col(item).cast("string").alias("item")).distinct()
-    single = rows.groupBy("item").agg(F.count("*").alias("freq")).where(F.col("freq") >= least)
-    live = rows.join(single.select("item"), "item", "left_semi").cache()
-    level = single.select(F.array("item").alias("items"), "freq")
-    found, held = [level], live.select("tx", F.array("item").alias("items"))
+    single = counted.select(F.explode("items").alias("item"), "n").unionByName(counted.where("blank").select(F.lit(None).cast("string").alias("item"), "n"))
+    level = _held(single.groupBy("item").agg(F.sum("n").alias("freq")).where(F.col("freq") >= least).select(F.array("item").alias("items"), "freq"))
+    prefix, last = (lambda c, k: F.slice(c, 1, k - 2)), (lambda c: F.element_at(c, -1))
+    begin = counted.where("not loose").select(F.col("items").alias("of"), "n", F.explode("items").alias("item")).withColumn("items", F.array("item"))
+    found = [level]
     for k in range(2, most + 1):
-        prefix, last = (lambda c: F.slice(c, 1, k - 2)), (lambda c: F.element_at(c, -1))
-        a, b = level.select(F.col("items").alias("x")), level.select(F.col("items").alias("y"))
-        on = last(F.col("x")) < last(F.col("y"))
         if k > 2:
-            on = (prefix(F.col("x")) == prefix(F.col("y"))) & on
-        candidates = _subsets_frequent(a.join(b, on).select(F.concat("x", F.array(last(F.col("y")))).alias("items")), level.select("items"), k)
-        # a transaction holds a candidate if it holds its first k-1 items (as a frequent set) and its last item
-        grown = held.join(live, "tx").where(F.col("item") > last(F.col("items"))).select("tx", F.concat("items", F.array("item")).alias("items"))
-        held = grown.join(candidates, "items", "left_semi")
-        level = held.groupBy("items").agg(F.count("*").alias("freq")).where(F.col("freq") >= least)
-        held = held.join(level.select("items"), "items", "left_semi")
+            a, b = level.select(F.col("items").alias("x")), level.select(F.col("items").alias("y"))
+            on = (prefix(F.col("x"), k) == prefix(F.col("y"), k)) & (last(F.col("x")) < last(F.col("y")))
+            candidates = _held(_subsets_frequent(a.join(b, on).select(F.concat("x", F.array(last(F.col("y")))).alias("items")), level.select("items"), k))
+        held = begin.select("of", "n", "items")
+        for size in range(1, k):
+            held = held.join(found[size - 1].select("items"), "items", "left_semi")
+            more = F.explode(F.filter("of", lambda x: x > last(F.col("items")))).alias("item")
+            held = held.select("of", "n", "items", more).select("of", "n", F.concat("items", F.array("item")).alias("items"))
+        if k > 2:
+            held = held.join(candidates, "items", "left_semi")
+        else:  # any two frequent items are a candidate
+            held = held.withColumn("new", F.slice("items", 2, 1)).join(level.select(F.col("items").alias("new")), "new", "left_semi")
+        level = _held(held.groupBy("items").agg(F.sum("n").alias("freq")).where(F.col("freq") >= least))
         found.append(level)
     return reduce(DataFrame.unionByName, found)
 

@@ -120,15 +120,19 @@ def shortest_paths(spark, d):
 # --- itemsets and rules
 
 
-def baskets(spark, d):
+def _basket_rows(spark, d):
     parts = t(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand")
-    return t(spark, d, "lineitem").select("l_orderkey", "l_partkey").join(parts, "l_partkey").select(F.col("l_orderkey").alias("tx"), F.col("p_brand").alias("item")).distinct()
+    return t(spark, d, "lineitem").select("l_orderkey", "l_partkey").join(parts, "l_partkey").select(F.col("l_orderkey").alias("tx"), F.col("p_brand").alias("item"))
+
+
+def baskets(spark, d):
+    return _basket_rows(spark, d).distinct()
 
 
 def _sets(spark, d, support, most, floor=False):
-    b = baskets(spark, d)
-    n = b.select("tx").distinct().count()
-    return I.frequent_itemsets(b, n, support, most, floor=floor), n
+    counted = I.counted_transactions(_basket_rows(spark, d))
+    n = counted.agg(F.sum("n")).first()[0] or 0
+    return I.frequent_in(counted, n, support, most, floor), n
 
 
 def _flat(sets):

@@ -294,3 +294,21 @@ def test_neighbours_are_exact_far_from_the_origin(spark, monkeypatch):
     np.fill_diagonal(d, np.inf)
     want = {(i, k + 1): (j, d[i, j]) for i in range(1500) for k, j in enumerate(np.lexsort((np.arange(1500), d[i]))[:4])}
     assert set(got) == set(want) and all(got[p][0] == want[p][0] and abs(got[p][1] - want[p][1]) < 2e-6 for p in want)
+
+
+def test_itemsets_from_each_transaction_once(spark):
+    rows = [(t, f"{i:02}") for t in range(3000) for i in range(12) if (t * 7 + i * i) % 5 < 3] + [(None, "00"), (None, "01"), (1, None)]
+    b = spark.createDataFrame(rows, "tx bigint, item string").repartition(8)
+    by = {}
+    for t, i in rows:
+        by.setdefault(t, set()).add(i)
+    want = {}
+    for t, items in by.items():
+        for k in (1, 2, 3):
+            for c in itertools.combinations(sorted(i for i in items if i), k):
+                want[c] = want.get(c, 0) + (k == 1 or t is not None)
+    want = {c: n for c, n in want.items() if n >= 300}
+    out = []
+    mb = shuffled(spark, lambda: out.extend(I.association_rules(I.frequent_itemsets(b, 3000, 0.1, 3), 3000, 3, 0.1, half=True).collect()))
+    got = {tuple(r["items"]): r["freq"] for r in I.frequent_itemsets(b, 3000, 0.1, 3).collect()}
+    assert got == want and out and mb < 0.6
