@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
+import sys
 import unicodedata
-from functools import reduce
+from functools import cache, lru_cache, reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -37,34 +39,67 @@ def acceptable(column):
     return ~column.rlike(r"[A-Za-z0-9,.!?]")
 
 
+_BEYOND = re.compile("[\U00010000-\U0010ffff]")
+
+
+@cache
+def _classes(most: int) -> tuple[re.Pattern, re.Pattern, re.Pattern]:
+    """Patterns of accents, of characters that go, and of tokens in texts of characters up to `most`, made once a process.
+
+    Up to 0xFFFF a pattern looks a character up; beyond, it goes through a list of ranges.
+    """
+    accents, gone, alone, blank = [], [], [], [ord(c) for c in " \t\n\r"]
+    for n, kind in enumerate(map(unicodedata.category, map(chr, range(most + 1)))):
+        if n >= 128 and kind[0] not in "PZ" and kind not in ("Mn", "Cc", "Cf") and n != 0xFFFD and not 0x3400 <= n <= 0x2FA1F:
+            continue
+        c = chr(n)
+        if kind == "Mn":
+            accents.append(n)
+        if kind[0] == "P" or (c.isascii() and not c.isalnum() and not c.isspace() and c.isprintable()) or _ideograph(n):
+            alone.append(n)
+        elif kind == "Zs":
+            blank.append(n)
+        elif (kind in ("Cc", "Cf") and c not in "\t\n\r") or n in (0, 0xFFFD):
+            gone.append(n)
+
+    def ranges(points: list[int]) -> str:
+        points, out = sorted(set(points)), []
+        for n in points:
+            if out and out[-1][1] == n - 1:
+                out[-1][1] = n
+            else:
+                out.append([n, n])
+        return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in out)
+
+    return re.compile(f"[{ranges(accents)}]+" if accents else r"[^\s\S]"), re.compile(f"[{ranges(gone)}]+"), re.compile(f"[{ranges(alone)}]|[^{ranges(alone + blank)}]+")
+
+
 def basic_split(text: str, lower: bool = True) -> list[str]:
     """Cleaned text split at blanks, marks and ideographs; lower-cased without accents if `lower`."""
-    out, word = [], ""
-    if lower:
-        text = "".join(c for c in unicodedata.normalize("NFD", text.lower()) if unicodedata.category(c) != "Mn")
-    for c in text:
-        kind = unicodedata.category(c)
-        alone = kind[0] == "P" or (c.isascii() and not c.isalnum() and not c.isspace() and c.isprintable()) or _ideograph(ord(c))
-        if c in " \t\n\r" or kind == "Zs" or alone:
-            out += [word] * bool(word) + [c] * alone
-            word = ""
-        elif not (kind in ("Cc", "Cf") or ord(c) in (0, 0xFFFD)):
-            word += c
-    return out + [word] * bool(word)
+    text = text.lower() if lower else text
+    if lower and not text.isascii():
+        text = unicodedata.normalize("NFD", text)
+    accents, gone, token = _classes(0x7F if text.isascii() else sys.maxunicode if _BEYOND.search(text) else 0xFFFF)
+    if lower and not text.isascii():
+        text = accents.sub("", text)
+    return token.findall(gone.sub("", text))
 
 
 def _ideograph(c: int) -> bool:
     return any(a <= c <= b for a, b in ((0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x2CEAF), (0x2F800, 0x2FA1F)))
 
 
-def pieces(word: str, vocabulary: set[str], unknown: str = "[UNK]", most: int = 200) -> list[str]:
-    """Greedy longest prefixes from the vocabulary, inner ones marked `##`; unknown if any rest has none."""
+def pieces(word: str, vocabulary: set[str], unknown: str = "[UNK]", most: int = 200, longest: int | None = None) -> list[str]:
+    """Greedy longest prefixes from the vocabulary, inner ones marked `##`; unknown if any rest has none.
+
+    `longest` is the length of the vocabulary's longest entry, if known.
+    """
     if len(word) > most:
         return [unknown]
     out, at = [], 0
     while at < len(word):
         mark = "##" if at else ""
-        size = next((n for n in range(len(word) - at, 0, -1) if mark + word[at : at + n] in vocabulary), 0)
+        size = next((n for n in range(min(len(word) - at, longest or len(word)), 0, -1) if mark + word[at : at + n] in vocabulary), 0)
         if not size:
             return [unknown]
         out.append(mark + word[at : at + size])
@@ -74,34 +109,76 @@ def pieces(word: str, vocabulary: set[str], unknown: str = "[UNK]", most: int =
 
 def longest_match(text: str, words: set[str], longest: int) -> list[str]:
     """Forward longest match by characters; what no word fits stands alone."""
+    return _longest_match(text, words, _by_first(words, longest))
+
+
+def _by_first(words: set[str], longest: int) -> dict[str, list[int]]:
+    """Of each first character the lengths of words, longest first, without single characters."""
+    found = {}
+    for w in words:
+        if 1 < len(w) <= longest:
+            found.setdefault(w[0], set()).add(len(w))
+    return {c: sorted(sizes, reverse=True) for c, sizes in found.items()}
+
+
+def _longest_match(text: str, words: set[str], sizes: dict[str, list[int]]) -> list[str]:
     out, at = [], 0
     while at < len(text):
-        size = next((n for n in range(min(longest, len(text) - at), 1, -1) if text[at : at + n] in words), 1)
+        size = 1
+        for n in sizes.get(text[at], ()):
+            if text[at : at + n] in words and at + n <= len(text):
+                size = n
+                break
         out.append(text[at : at + size])
         at += size
     return out
 
 
-def _token_udf(make):
-    @F.pandas_udf("array<string>")
+def _token_udf(make, joint: str | None = None):
+    """Tokens of texts, as arrays or joined; a text's tokens are let go before the next text's are made."""
+
+    @F.pandas_udf("array<string>" if joint is None else "string")
     def run(column: pd.Series) -> pd.Series:
-        return column.map(lambda x: None if x is None else make(x))
+        return column.map(lambda x: None if x is None else make(x) if joint is None else joint.join(make(x)))
 
     return run
 
 
-def basic_tokens(rows: DataFrame, text: str = "text", lower: bool = True) -> DataFrame:
-    return rows.withColumn("tokens", _token_udf(lambda t: basic_split(t, lower))(text))
+def basic_tokens(rows: DataFrame, text: str = "text", lower: bool = True, joint: str | None = None) -> DataFrame:
+    """Add `tokens`, an array, or a string with `joint` between the tokens."""
+    return rows.withColumn("tokens", _token_udf(lambda t: basic_split(t, lower), joint)(text))
+
+
+def word_pieces(rows: DataFrame, vocabulary: set[str], text: str = "text", lower: bool = True, joint: str | None = None) -> DataFrame:
+    """Add `tokens` (see `basic_tokens`); the vocabulary is a parameter of fixed size and travels with the function.
+
+    The pieces of the last 65,536 different words are at hand in each process.
+    """
+    longest = max(map(len, vocabulary), default=0)
 
+    def make():
+        known = lru_cache(1 << 16)(lambda w: pieces(w, vocabulary, longest=longest))
+        return lambda t: [p for w in basic_split(t, lower) for p in known(w)]
 
-def word_pieces(rows: DataFrame, vocabulary: set[str], text: str = "text", lower: bool = True) -> DataFrame:
-    """Add `tokens`; the vocabulary is a parameter of fixed size and travels with the function."""
-    return rows.withColumn("tokens", _token_udf(lambda t: [p for w in basic_split(t, lower) for p in pieces(w, vocabulary)])(text))
+    return rows.withColumn("tokens", _token_udf(_made_once(make), joint)(text))
+
+
+def _made_once(make):
+    """A function that is made where it is first called."""
+    made = []
+
+    def run(x):
+        if not made:
+            made.append(make())
+        return made[0](x)
+
+    return run
 
 
-def segmented(rows: DataFrame, words: set[str], text: str = "text") -> DataFrame:
-    longest = max(map(len, words), default=1)
-    return rows.withColumn("tokens", _token_udf(lambda t: longest_match(t, words, longest))(text))
+def segmented(rows: DataFrame, words: set[str], text: str = "text", joint: str | None = None) -> DataFrame:
+    """Add `tokens`, see `basic_tokens`."""
+    sizes = _by_first(words, max(map(len, words), default=1))
+    return rows.withColumn("tokens", _token_udf(lambda t: _longest_match(t, words, sizes), joint)(text))
 
 
 def token_ids(rows: DataFrame, tokens: str = "tokens", key: str = "doc_id") -> DataFrame:

@@ -312,3 +312,13 @@ def test_itemsets_from_each_transaction_once(spark):
     mb = shuffled(spark, lambda: out.extend(I.association_rules(I.frequent_itemsets(b, 3000, 0.1, 3), 3000, 3, 0.1, half=True).collect()))
     got = {tuple(r["items"]): r["freq"] for r in I.frequent_itemsets(b, 3000, 0.1, 3).collect()}
     assert got == want and out and mb < 0.6
+
+
+def test_tokens_joined_in_python(spark):
+    rows = spark.createDataFrame([(1, "Café, the wing​ed \U0001d54f!"), (2, ""), (3, None), (4, "over\u0000the 1")], "doc_id int, text string")
+    vocabulary = {"the", "wing", "##ed", "caf", "##e", ","}
+    for make in (X.basic_tokens, lambda r, **k: X.word_pieces(r, vocabulary, **k), lambda r, **k: X.segmented(r, {"the", "over"}, **k)):
+        split = {r["doc_id"]: r["tokens"] for r in make(rows).collect()}
+        joined = {r["doc_id"]: r["tokens"] for r in make(rows, joint=" ").collect()}
+        assert joined == {k: None if v is None else " ".join(v) for k, v in split.items()}
+    assert [r["tokens"] for r in X.word_pieces(rows, vocabulary, joint=" ").where("doc_id = 1").collect()] == ["caf ##e , the wing ##ed [UNK] [UNK]"]
