@@ -703,7 +703,7 @@ def text_predicates(spark, d):
 def character_kinds(spark, d):
     """Of one character of each text: blank, control or mark."""
     c = F.col("c")
-    one = docs(spark, d).select("doc_id", F.expr("substring(text, cast(doc_id % n_chars as int) + 1, 1)").alias("c"))
+    one = docs(spark, d).select("doc_id", F.expr("substring(text, cast(try_mod(doc_id, n_chars) as int) + 1, 1)").alias("c"))
     return one.select("doc_id", X.is_blank(c).alias("blank"), X.is_control(c).alias("control"), X.is_punctuation(c).alias("mark"))
 
 

@@ -322,3 +322,12 @@ def test_tokens_joined_in_python(spark):
         joined = {r["doc_id"]: r["tokens"] for r in make(rows, joint=" ").collect()}
         assert joined == {k: None if v is None else " ".join(v) for k, v in split.items()}
     assert [r["tokens"] for r in X.word_pieces(rows, vocabulary, joint=" ").where("doc_id = 1").collect()] == ["caf ##e , the wing ##ed [UNK] [UNK]"]
+
+
+def test_character_kinds_of_empty_texts(spark, tmp_path):
+    from tarnstone.plans import registry
+
+    rows = spark.createDataFrame([(1, "", 0), (2, "a!", 2), (3, "a!", 2), (4, None, None)], "doc_id bigint, text string, n_chars bigint")
+    rows.write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: (r["blank"], r["control"], r["mark"]) for r in registry.character_kinds(spark, str(tmp_path)).collect()}
+    assert got == {1: (None,) * 3, 2: (False,) * 3, 3: (False, False, True), 4: (None,) * 3}
