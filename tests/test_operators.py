@@ -331,3 +331,14 @@ def test_character_kinds_of_empty_texts(spark, tmp_path):
     rows.write.parquet(str(tmp_path / "documents.parquet"))
     got = {r["doc_id"]: (r["blank"], r["control"], r["mark"]) for r in registry.character_kinds(spark, str(tmp_path)).collect()}
     assert got == {1: (None,) * 3, 2: (False,) * 3, 3: (False, False, True), 4: (None,) * 3}
+
+
+def test_fluency_scores_are_found_once(spark, tmp_path):
+    from tarnstone.plans import registry
+
+    r = np.random.default_rng(6)
+    texts = [(i, " ".join(map(str, r.integers(0, 3000, 60)))) for i in range(400)]
+    spark.createDataFrame(texts, "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, i % 2, i % 3 // 2) for i in range(400)], "doc_id bigint, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    own = shuffled(spark, registry.lm_score(spark, str(tmp_path)).collect)
+    assert shuffled(spark, lambda: registry.fluency_label(spark, str(tmp_path)).collect()) < 1.5 * own
