@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from . import gauss
+
 #: At least so many blocks; about so many rows in one; so many entries of a block of distances at a time.
 BLOCKS, BLOCK_ROWS, PIECE = 4, 8192, 1 << 19
 
@@ -372,11 +374,69 @@ def nca_objective(rows: DataFrame, key: str = "vec_id", vector: str = "embedding
     return p.agg(F.round(F.sum("p"), 6).alias("objective"))
 
 
+def _near_step(own: DataFrame, a: np.ndarray, n: int) -> tuple[float, np.ndarray] | None:
+    """The objective and the gradient of `nca` from sums over cells; None if those would not be exact to nine digits.
+
+    Three passes over the blocks; of each only moments by cell and label, or a matrix, reach the driver, added up on the way.
+    """
+    held, plane = own.select("v", "label").rdd, gauss.plane
+
+    def block(row):
+        label = np.frombuffer(row["label"])
+        v = np.frombuffer(row["v"]).reshape(len(label), -1)
+        return v, plane(v @ a.T), label, np.full(len(label), np.nan)
+
+    def first(row):
+        _, z, label, _ = block(row)
+        return gauss.moments(z, label, np.ones(len(z)))
+
+    counts = held.map(first).treeReduce(gauss.added)
+    if counts is None:
+        return None
+    cells = {name[1:] for name in counts}
+    of_label = gauss.coefficients({k: m for k, m in counts.items() if k[0] is not None}, cells)
+    of_all = gauss.coefficients(gauss.total(counts), cells)
+
+    def known(z, label, none):
+        every = gauss.sums(z, none, of_all) - 1
+        own = np.where(np.isnan(label), 0.0, gauss.sums(z, label, of_label) - 1)
+        return every, own / every
+
+    def second(row):
+        _, z, label, none = block(row)
+        every, p = known(z, label, none)
+        if not every.min() > 1e-4 * n:
+            return None
+        return p.sum(), gauss.moments(z, none, p / every), gauss.moments(z, label, 1 / every)
+
+    def both(x, y):
+        return None if x is None or y is None else (x[0] + y[0], gauss.added(x[1], y[1]), gauss.added(x[2], y[2]))
+
+    weights = held.map(second).treeReduce(both)
+    if weights is None or weights[1] is None or weights[2] is None:
+        return None
+    back_all = gauss.coefficients(weights[1], cells)
+    back_label = gauss.coefficients({k: m for k, m in weights[2].items() if k[0] is not None}, cells)
+
+    def third(row):
+        v, z, label, none = block(row)
+        every, p = known(z, label, none)
+        missing = np.isnan(label)[:, None]
+        own = np.where(missing, 0.0, gauss.sums(z, label, of_label, True))
+        mine = (p[:, None] * gauss.sums(z, none, of_all, True) - own) / every[:, None]
+        others = gauss.sums(z, none, back_all, True) - np.where(missing, 0.0, gauss.sums(z, label, back_label, True))
+        return (mine + others)[:, : len(a)].T @ v
+
+    return float(weights[0]), held.map(third).treeReduce(np.add)
+
+
 def nca(rows: DataFrame, dims: int, steps: int = 20, rate: float = 0.01, key: str = "vec_id", vector: str = "embedding", label: str = "label", seed: int = 3) -> tuple[np.ndarray, list[float]]:
     """Neighbourhood components by gradient ascent over all pairs of rows; returns the transform and the objectives.
 
-    A step adds up two passes over pairs of blocks: each row's scale and sums, then the gradient, a matrix a pair of blocks.
-    Both work in the `dims` columns of the projected rows; only a row's total meets its vector.
+    On one or two axes a step goes over the rows, not over pairs, as the kernel's sums come from the moments of cells (see
+    `gauss`). Where those are not exact to nine digits (sums tiny beside the number of rows, too many cells, repeated ids,
+    more axes), a step adds up two passes over pairs of blocks: each row's scale and sums, then the gradient, a matrix a
+    pair of blocks. Both work in the `dims` columns of the projected rows; only a row's total meets its vector.
     """
     rows = rows.select(key, F.coalesce(F.col(label).cast("double"), F.lit(float("nan"))).alias("label"), vector).where(F.col(key).isNotNull() & F.col(vector).isNotNull())
     width = rows.select(F.size(vector)).first()[0]
@@ -415,7 +475,14 @@ def nca(rows: DataFrame, dims: int, steps: int = 20, rate: float = 0.01, key: st
 
     own = _blocks(rows, key, vector, ("label",))
     n = own.rdd.getNumPartitions()
+    ids = rows.agg(F.count(key), F.count_distinct(key)).first()
+    near = dims <= 2 and ids[0] == ids[1]
     for _ in range(steps):
+        step = _near_step(own, a, ids[0]) if near else None
+        if step is not None:
+            seen.append(step[0])
+            a = a + rate * 2 * step[1]
+            continue
         found = _paired(own, own, (lambda a: lambda l, r: sums(l, r, a))(a), "i bigint, top double, own double, every double")
         found = found.groupBy("i").agg(F.max("top").alias("top"), F.collect_list(F.struct("top", "own", "every")).alias("of"))
         total = lambda c: F.aggregate("of", F.lit(0.0), lambda s, x: s + x[c] * F.exp(x["top"] - F.col("top")))

@@ -342,3 +342,15 @@ def test_fluency_scores_are_found_once(spark, tmp_path):
     spark.createDataFrame([(i, i % 2, i % 3 // 2) for i in range(400)], "doc_id bigint, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     own = shuffled(spark, registry.lm_score(spark, str(tmp_path)).collect)
     assert shuffled(spark, lambda: registry.fluency_label(spark, str(tmp_path)).collect()) < 1.5 * own
+
+
+def test_nca_goes_over_rows_not_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    x, y = rng.normal(size=(300, 4)) * 4, [None if i % 9 == 0 else i % 3 for i in range(300)]
+    rows = spark.createDataFrame([(i, v.tolist(), k) for i, (v, k) in enumerate(zip(x, y, strict=True))], "vec_id bigint, embedding array<double>, label int").persist()
+    with monkeypatch.context() as m:
+        m.setattr(V.gauss, "GROUPS", 0)
+        a, seen = V.nca(rows, 2, 2, 0.001)
+    monkeypatch.setattr(V, "_paired", None)
+    got, also = V.nca(rows, 2, 2, 0.001)
+    assert np.allclose(also, seen, rtol=1e-9) and np.allclose(got, a, rtol=1e-8)
