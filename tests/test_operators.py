@@ -354,3 +354,19 @@ def test_nca_goes_over_rows_not_pairs(spark, monkeypatch):
     monkeypatch.setattr(V, "_paired", None)
     got, also = V.nca(rows, 2, 2, 0.001)
     assert np.allclose(also, seen, rtol=1e-9) and np.allclose(got, a, rtol=1e-8)
+
+
+def test_paths_of_some_arcs_are_not_joined(spark, monkeypatch):
+    arcs = [(s, (s * 7 + k) % 11, float((s * k) % 5 + 1)) for s in range(30) for k in range(4)] + [(3, 40, 1.5), (40, 41, 0.5), (41, 3, 0.25)]
+    frame, sources = spark.createDataFrame(arcs, "src bigint, dst bigint, cost double"), [0, 3, 17, 99]
+    want = {(s, s): 0.0 for s in sources}
+    for _ in range(3):
+        step = [((s, d), c + cost) for (s, n), c in want.items() for a, d, cost in arcs if a == n]
+        for k, c in step:
+            want[k] = min(want.get(k, c), c)
+    start = spark.createDataFrame([(s,) for s in sources], "src bigint")
+    found = G.shortest_paths(frame, start, 3)
+    assert {(r["source"], r["node"]): r["cost"] for r in found.collect()} == want and found.count() == len(want)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
+    monkeypatch.setattr(G, "INNER", 0)
+    assert {(r["source"], r["node"]): r["cost"] for r in G.shortest_paths(frame, start, 3).collect()} == want
