@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .text_index import tokens
@@ -54,11 +55,14 @@ def score_summary(scores: DataFrame, score: str = "score") -> DataFrame:
     return scores.agg(F.min(score).alias("low"), F.max(score).alias("high"), F.round(F.avg(score), 6).alias("mean"))
 
 
-def frequency_scores(good: DataFrame, rows: DataFrame, key: str = "doc_id", text: str = "text", least: float = 1.0) -> DataFrame:
-    """(key, score, label): sum of ln(1 + frequency among good rows) over adjacent pairs; label 1 above `least`."""
-    plain = lambda df: df.select(key, F.explode(F.coalesce(pairs(tokens(F.col(text))), F.array())).alias("p")).select(key, "p.a", "p.b")
-    freq = plain(good).groupBy("a", "b").agg(F.count("*").alias("freq"))
-    own = plain(rows).groupBy(key, "a", "b").agg(F.count("*").alias("n"))
-    scored = own.join(freq, ["a", "b"]).groupBy(key).agg(F.sum(F.col("n") * F.log1p(F.col("freq").cast("double"))).alias("s"))
+def frequency_scores(good: Column, rows: DataFrame, key: str = "doc_id", text: str = "text", least: float = 1.0) -> DataFrame:
+    """(key, score, label): sum of ln(1 + frequency among good rows) over adjacent pairs; label 1 above `least`.
+
+    `good` is a condition on `rows`. A pair's lines are shuffled once, with what they add to its frequency.
+    """
+    named = rows.select(key, F.coalesce(good, F.lit(False)).alias("good"), F.explode(F.coalesce(pairs(tokens(F.col(text))), F.array())).alias("p"))
+    own = named.groupBy(key, "p.a", "p.b").agg(F.count("*").alias("n"), F.sum(F.col("good").cast("long")).alias("add"))
+    gain = own.withColumn("freq", F.sum("add").over(W.partitionBy("a", "b"))).where("freq > 0")
+    scored = gain.groupBy(key).agg(F.sum(F.col("n") * F.log1p(F.col("freq").cast("double"))).alias("s"))
     out = rows.select(key).join(scored, key, "left").withColumn("score", F.round(F.coalesce("s", F.lit(0.0)), 6))
     return out.select(key, "score", (F.col("score") > least).cast("int").alias("label"))

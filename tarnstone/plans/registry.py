@@ -262,7 +262,7 @@ def score_summary(spark, d):
 @query
 def frequency_scores(spark, d):
     m = _marked(spark, d)
-    return L.frequency_scores(m.where("quality = 1"), m)
+    return L.frequency_scores(F.col("quality") == 1, m)
 
 
 # --- preparation

@@ -370,3 +370,14 @@ def test_paths_of_some_arcs_are_not_joined(spark, monkeypatch):
     assert found._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
     monkeypatch.setattr(G, "INNER", 0)
     assert {(r["source"], r["node"]): r["cost"] for r in G.shortest_paths(frame, start, 3).collect()} == want
+
+
+def test_frequency_scores_shuffle_pairs_once(spark):
+    from tarnstone.operators import fluency as L
+
+    texts = [(1, 1, "a b a b"), (2, 0, "a b c"), (3, None, "x y"), (4, 1, None), (1, 0, "b a"), (5, 1, "c"), (6, 1, "b c")]
+    d = spark.createDataFrame(texts, "doc_id bigint, quality int, text string")
+    found = L.frequency_scores(F.col("quality") == 1, d)
+    low, high = np.log(2), np.log(3)
+    want = {1: 2 * high + 2 * low, 2: high + low, 3: 0.0, 4: 0.0, 5: 0.0, 6: low}
+    assert sorted((r["doc_id"], r["score"], r["label"]) for r in found.collect()) == sorted((k, round(want[k], 6), int(want[k] > 1)) for k, *_ in texts)
