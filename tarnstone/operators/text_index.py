@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -15,14 +16,24 @@ def terms(docs: DataFrame, doc: str = "doc_id", text: str = "text", keep: tuple[
     return docs.select(doc, *keep, F.explode(tokens(F.col(text))).alias("term"))
 
 
+def different_terms(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(term): each term once; those of a text are told apart before they become rows."""
+    return docs.select(F.explode(F.array_distinct(tokens(F.col(text)))).alias("term")).distinct()
+
+
 def without_stop_words(rows: DataFrame, stop_words: DataFrame, term: str = "term") -> DataFrame:
     """Anti join; Spark broadcasts the stop words if they are as small as they should be."""
     return rows.join(stop_words.select(F.col(stop_words.columns[0]).alias(term)).distinct(), term, "left_anti")
 
 
+def by_document(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
+    """Texts dealt by document: the shuffle carries each text once, and terms are then counted by document where they are."""
+    return docs.select(doc, text).repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), doc)
+
+
 def term_frequencies(docs: DataFrame, doc: str = "doc_id", text: str = "text", stop_words: DataFrame | None = None) -> DataFrame:
-    """(term, doc, tf), combined before the shuffle."""
-    rows = terms(docs, doc, text)
+    """(term, doc, tf); texts are shuffled, not their terms."""
+    rows = terms(by_document(docs, doc, text), doc, text)
     if stop_words is not None:
         rows = without_stop_words(rows, stop_words)
     return rows.groupBy("term", doc).agg(F.count("*").alias("tf"))
@@ -58,18 +69,16 @@ def author_tfidf(docs: DataFrame, author: str = "source", doc: str = "doc_id", t
 def tfidf_l2(docs: DataFrame, doc: str = "doc_id", text: str = "text", min_df: float = 0.005, max_df: float = 0.2, size: int = 2000) -> DataFrame:
     """(doc, term, weight): smoothed idf ln((1+n)/(1+df))+1 over the `size` most frequent terms within the df bounds, rows of unit length."""
     n = docs.count()
-    tf = term_frequencies(docs, doc, text)
-    df = tf.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")).where((F.col("df") >= min_df * n) & (F.col("df") <= max_df * n))
-    vocabulary = df.orderBy(F.desc("cf"), "term").limit(size)
-    raw = tf.join(vocabulary, "term").select(doc, "term", (F.col("tf") * (F.log(F.lit(1.0 + n) / (1 + F.col("df"))) + 1)).alias("w"))
-    norm = raw.groupBy(doc).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return raw.join(norm, doc).select(doc, "term", F.round(F.col("w") / F.col("norm"), 6).alias("weight"))
+    df = term_frequencies(docs, doc, text).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")).where((F.col("df") >= min_df * n) & (F.col("df") <= max_df * n))
+    vocabulary = df.orderBy(F.desc("cf"), "term").limit(size).select("term", (F.log(F.lit(1.0 + n) / (1 + F.col("df"))) + 1).alias("idf"))
+    tf = terms(by_document(docs, doc, text), doc, text).join(F.broadcast(vocabulary), "term").groupBy(doc, "term", "idf").agg(F.count("*").alias("tf"))
+    raw = tf.withColumn("w", F.col("tf") * F.col("idf"))
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(W.partitionBy(doc)))
+    return raw.where(F.col(doc).isNotNull()).select(doc, "term", F.round(F.col("w") / norm, 6).alias("weight"))
 
 
 def top_terms(docs: DataFrame, group: str = "source", text: str = "text", k: int = 5) -> DataFrame:
     """The k most frequent terms of each group, then by length, longest first (as keyword clouds list them)."""
-    from pyspark.sql import Window as W
-
     counts = docs.select(group, F.explode(tokens(F.col(text))).alias("term")).groupBy(group, "term").agg(F.count("*").alias("n"))
     best = counts.withColumn("rank", F.row_number().over(W.partitionBy(group).orderBy(F.desc("n"), "term"))).where(F.col("rank") <= k)
     return best.orderBy(group, F.desc(F.length("term")), "term")

@@ -381,3 +381,10 @@ def test_frequency_scores_shuffle_pairs_once(spark):
     low, high = np.log(2), np.log(3)
     want = {1: 2 * high + 2 * low, 2: high + low, 3: 0.0, 4: 0.0, 5: 0.0, 6: low}
     assert sorted((r["doc_id"], r["score"], r["label"]) for r in found.collect()) == sorted((k, round(want[k], 6), int(want[k] > 1)) for k, *_ in texts)
+
+
+def test_terms_are_counted_where_their_texts_are(spark):
+    d = spark.createDataFrame([(1, "a b a"), (1, "b c"), (2, "c\tA"), (None, "a"), (3, None)], "doc_id bigint, text string")
+    tf = T.term_frequencies(d)
+    assert {tuple(r) for r in tf.collect()} == {("a", 1, 2), ("b", 1, 2), ("c", 1, 1), ("c", 2, 1), ("a", 2, 1), ("a", None, 1)}
+    assert "hashpartitioning(term" not in tf._jdf.queryExecution().executedPlan().toString()
