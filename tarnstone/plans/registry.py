@@ -632,7 +632,7 @@ def lemma_rules(spark, d):
 @query
 def lemma_cascade(spark, d):
     """A dictionary of short words and a table of irregular forms: all steps of the cascade find lemmas."""
-    words = T.terms(docs(spark, d)).where(F.col("term").rlike("^[a-z]+$")).select(F.col("term").alias("word"))
+    words = T.different_terms(docs(spark, d)).where(F.col("term").rlike("^[a-z]+$")).select(F.col("term").alias("word")).persist()
     irregular = words.where("startswith(word, 'th') and length(word) >= 6").select(F.substring("word", 1, 4).alias("lemma"), "word").distinct()
     return X.lemmas(words, words.where(F.length("word") <= 5), irregular)
 

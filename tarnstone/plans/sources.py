@@ -169,7 +169,7 @@ def vector_file(spark, d):
 @query
 def lemma_files(spark, d):
     """Dictionary and irregular forms from files, then the whole cascade with the dictionary's entries."""
-    words = T.terms(docs(spark, d)).where(F.col("term").rlike("^[a-z]+$")).select(F.col("term").alias("word")).distinct()
+    words = T.different_terms(docs(spark, d)).where(F.col("term").rlike("^[a-z]+$")).select(F.col("term").alias("word")).persist()
     known = words.where(F.length("word") <= 5).select(F.concat_ws("\t", "word", F.upper("word"), F.length("word").cast("string")))
     th = words.where("startswith(word, 'th') and length(word) >= 6").groupBy(F.substring("word", 1, 4).alias("lemma")).agg(F.collect_list("word").alias("forms"))
     dictionary = files.dictionary(spark, stored(spark, known))

@@ -388,3 +388,8 @@ def test_terms_are_counted_where_their_texts_are(spark):
     tf = T.term_frequencies(d)
     assert {tuple(r) for r in tf.collect()} == {("a", 1, 2), ("b", 1, 2), ("c", 1, 1), ("c", 2, 1), ("a", 2, 1), ("a", None, 1)}
     assert "hashpartitioning(term" not in tf._jdf.queryExecution().executedPlan().toString()
+
+
+def test_different_terms(spark):
+    d = spark.createDataFrame([(1, "b A  a"), (2, "a\nc"), (3, None), (4, "")], "doc_id bigint, text string")
+    assert sorted(r["term"] for r in T.different_terms(d).collect()) == ["a", "b", "c"]
