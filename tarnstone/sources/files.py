@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 from ..functions.arrays import author_of, document_of
 from ..operators.preparation import delimited
 
+#: Lines of a file that are put in order at a time.
+CHUNK = 1 << 16
+
 
 def text_lines(spark: SparkSession, path: str, parts: int | None = None) -> DataFrame:
     """(file, line), in parallel by file split."""
@@ -19,9 +22,14 @@ def text_lines(spark: SparkSession, path: str, parts: int | None = None) -> Data
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line_no, line) with numbers from 1; a file is read whole, as its lines need their order."""
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_path").alias("path"), F.split(F.regexp_replace("value", r"\r?\n$", ""), r"\r?\n").alias("lines"))
-    return whole.select("file", "path", F.posexplode("lines").alias("line_no", "line")).withColumn("line_no", (F.col("line_no") + 1).cast("long"))
+    """(file, path, line_no, line) with numbers from 1; the splits of a file are read apart and shifted by the lines before them."""
+    meta = F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("_split"), F.monotonically_increasing_id().alias("_at")
+    rows = spark.read.text(path, lineSep="\n")
+    own = rows.select(F.col("_metadata.file_name").alias("file"), *meta, F.regexp_replace("value", r"\r$", "").alias("line"))
+    splits = rows.select(*meta).groupBy("path", "_split").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(W.partitionBy("path").orderBy("_split").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    shifts = splits.select("path", "_split", (before - F.col("_first") + 1).alias("_shift"))
+    return own.join(shifts, ["path", "_split"]).select("file", "path", (F.col("_at") + F.col("_shift")).alias("line_no"), "line")
 
 
 def documents(spark: SparkSession, path: str, special_author: str | None = None) -> DataFrame:
@@ -94,12 +102,20 @@ def mail_folders(spark: SparkSession, path: str) -> DataFrame:
 
 
 def tagged_tokens(spark: SparkSession, path: str) -> DataFrame:
-    """(sent_id, pos, token, tag): one token and tag a line, a blank line between sentences."""
-    rows = numbered_lines(spark, path)
-    w = W.partitionBy("path").orderBy("line_no")
-    rows = rows.withColumn("sent_id", F.sum((F.trim("line") == "").cast("long")).over(w.rowsBetween(W.unboundedPreceding, 0))).where(F.trim("line") != "")
+    """(path, sent_id, pos, token, tag): one token and tag a line, a blank line between sentences.
+
+    Lines are dealt in chunks of a file, which take over the sentences before them and the last blank line.
+    """
+    rows = numbered_lines(spark, path).withColumns({"_chunk": F.floor(F.col("line_no") / CHUNK), "_blank": F.trim("line") == ""})
+    last = F.max(F.when(F.col("_blank"), F.col("line_no")))
+    chunks = rows.groupBy("path", "_chunk").agg(F.sum(F.col("_blank").cast("long")).alias("_n"), last.alias("_last"))
+    before = W.partitionBy("path").orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
+    chunks = chunks.select("path", "_chunk", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_n"), F.coalesce(F.max("_last").over(before), F.lit(0)).alias("_last"))
+    own = W.partitionBy("path", "_chunk").orderBy("line_no").rowsBetween(W.unboundedPreceding, 0)
+    rows = rows.withColumns({"_n_own": F.sum(F.col("_blank").cast("long")).over(own), "_last_own": last.over(own)}).where(~F.col("_blank")).join(chunks, ["path", "_chunk"])
     f = F.split(F.trim("line"), r"\s+")
-    return rows.select("path", "sent_id", (F.row_number().over(W.partitionBy("path", "sent_id").orderBy("line_no")) - 1).alias("pos"), F.get(f, F.lit(0)).alias("token"), F.element_at(f, -1).alias("tag"))
+    pos = F.col("line_no") - F.coalesce("_last_own", "_last") - 1
+    return rows.select("path", (F.col("_n") + F.col("_n_own")).alias("sent_id"), pos.cast("int").alias("pos"), F.get(f, F.lit(0)).alias("token"), F.element_at(f, -1).alias("tag"))
 
 
 def zipped(words: DataFrame, tags: DataFrame, key: str = "line_no") -> DataFrame:

@@ -393,3 +393,24 @@ def test_terms_are_counted_where_their_texts_are(spark):
 def test_different_terms(spark):
     d = spark.createDataFrame([(1, "b A  a"), (2, "a\nc"), (3, None), (4, "")], "doc_id bigint, text string")
     assert sorted(r["term"] for r in T.different_terms(d).collect()) == ["a", "b", "c"]
+
+
+def test_lines_are_numbered_by_split(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(files, "CHUNK", 3)
+    sizes = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    lengths = [3, 1, 9, 4, 2]
+    want = [(s, p, f"w{s}-{p}", f"T{p}") for s, n in enumerate(lengths) for p in range(n)]
+    text = "\r\n\r\n".join("\r\n".join(f"w{s}-{p} T{p}" for p in range(n)) for s, n in enumerate(lengths)) + "\r\n\r\n"
+    for name in "ab":
+        (tmp_path / f"{name}.txt").write_bytes(text.encode())
+    try:
+        for k in sizes:
+            spark.conf.set(k, "24")
+        lines = files.numbered_lines(spark, str(tmp_path))
+        got = sorted((r["file"], r["line_no"], r["line"]) for r in lines.collect())
+        assert got == sorted((f"{x}.txt", i + 1, t) for x in "ab" for i, t in enumerate(text.split("\r\n")[:-1]))
+        tagged = files.tagged_tokens(spark, str(tmp_path)).collect()
+        assert sorted((r["sent_id"], r["pos"], r["token"], r["tag"]) for r in tagged) == sorted(want * 2)
+    finally:
+        for k, v in sizes.items():
+            spark.conf.set(k, v)
