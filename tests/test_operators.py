@@ -414,3 +414,16 @@ def test_lines_are_numbered_by_split(spark, tmp_path, monkeypatch):
     finally:
         for k, v in sizes.items():
             spark.conf.set(k, v)
+
+
+def test_topics_go_over_blocks_of_documents(spark, monkeypatch):
+    from pyspark.ml.clustering import LDA
+
+    from tarnstone.operators import learners as N
+
+    texts = [(i, " ".join(("red green blue", "one two six")[i % 2].split()[: 2 + i % 3 % 2] * (1 + i % 4))) for i in range(40)] + [(40, "")]
+    monkeypatch.setattr(LDA, "_fit", None)
+    got = N.topics(spark.createDataFrame(texts, "doc_id bigint, text string"), k=2, words=3, iterations=60).collect()
+    tops = [{r["term"] for r in got if r["topic"] == t} for t in (0, 1)]
+    assert sorted(map(sorted, tops)) == [["blue", "green", "red"], ["one", "six", "two"]]
+    assert all(abs(sum(r["weight"] for r in got if r["topic"] == t) - 1) < 0.3 for t in (0, 1))
