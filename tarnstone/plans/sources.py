@@ -94,7 +94,8 @@ def session_file(spark, d):
     """One file a user, one token a line."""
     token = F.when(F.col("event_type") == "signup", "**SOF**").when(F.col("event_id") % 7 == 0, "**EOF**").otherwise(F.col("event_type"))
     rows = t(spark, d, "events").select("user_id", "event_id", token.alias("token"))
-    path = stored(spark, rows.repartition("user_id").sortWithinPartitions("user_id", "event_id").select("token", "user_id"), "user_id")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))  # a stated number is not lowered: small files are many
+    path = stored(spark, rows.repartition(parts, "user_id").sortWithinPartitions("user_id", "event_id").select("token", "user_id"), "user_id")
     got = files.token_sessions(spark, path)
     return got.select(F.regexp_extract("path", r"user_id=(\d+)", 1).cast("bigint").alias("user_id"), "session", F.concat_ws(",", "items").alias("items"))
 
