@@ -130,6 +130,29 @@ def test_isomap_walks_long_chains(spark):
     assert np.allclose(abs(line - line[0]), range(24), atol=0.1)
 
 
+def test_isomap_has_neither_pairs_as_rows_nor_the_matrix(spark, monkeypatch):
+    x, rows = _matrix(spark, 700, 8)
+    x = x + 8 * (np.arange(700) % 7 == 0)[:, None]
+    rows = spark.createDataFrame([(int(i), v.tolist(), 0) for i, v in enumerate(x)], rows.schema)
+    arcs = V.knn_graph(rows, 6)
+    d = np.full((700, 700), np.inf)
+    np.fill_diagonal(d, 0)
+    for r in arcs.collect():
+        d[r["src"], r["dst"]] = r["cost"]
+    for m in range(700):
+        d = np.minimum(d, d[:, [m]] + d[m])
+    assert not np.isfinite(d).all()
+    d2 = np.where(np.isfinite(d), d, d[np.isfinite(d)].max()) ** 2
+    values, vectors = np.linalg.eigh(-0.5 * (d2 - d2.mean(0) - d2.mean(1)[:, None] + d2.mean()))
+    want = abs(vectors[:, ::-1][:, :2] * np.sqrt(values[::-1][:2]))
+    for whole, held, space in ((2048, 1 << 30, 1 << 20), (10, 0, 700 * 40), (10, 1 << 30, 1 << 20)):
+        for name, value in (("WHOLE", whole), ("HELD", held), ("SPACE", space)):
+            monkeypatch.setattr(V, name, value)
+        ids, got = V.isomap(rows, 6, 2)
+        assert ids == list(range(700)) and np.allclose(abs(got), want, atol=1e-4)
+    assert shuffled(spark, lambda: V.isomap(rows, 6, 2)) < 3
+
+
 def test_nca_takes_all_rows(spark, monkeypatch):
     monkeypatch.setattr(V, "BLOCKS", 2)
     rng = np.random.default_rng(4)
