@@ -319,6 +319,23 @@ def test_neighbours_are_exact_far_from_the_origin(spark, monkeypatch):
     assert set(got) == set(want) and all(got[p][0] == want[p][0] and abs(got[p][1] - want[p][1]) < 2e-6 for p in want)
 
 
+def test_neighbours_are_ranked_in_stripes_of_blocks(spark, monkeypatch):
+    monkeypatch.setattr(V, "BLOCKS", 24)
+    x, rows = _matrix(spark, 2400, 6)
+    x[5::40], x[6::40] = x[5], x[6] + np.arange(60)[:, None] % 7 * 1e-4
+    rows = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], rows.schema).persist()
+    got = {(r["i"], r["rank"]): (r["j"], r["d2"]) for r in V.nearest(rows, rows, 4).collect()}
+    d = np.array([np.round(((x - v) ** 2).sum(1), 6) for v in x])
+    np.fill_diagonal(d, np.inf)
+    want = {(i, k + 1): (j, d[i, j]) for i in range(2400) for k, j in enumerate(np.lexsort((np.arange(2400), d[i]))[:4])}
+    assert set(got) == set(want) and all(got[p][0] == want[p][0] and abs(got[p][1] - want[p][1]) < 2e-6 for p in want)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert shuffled(spark, V.nearest(rows, rows, 4).count) < 1.2
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_itemsets_from_each_transaction_once(spark):
     rows = [(t, f"{i:02}") for t in range(3000) for i in range(12) if (t * 7 + i * i) % 5 < 3] + [(None, "00"), (None, "01"), (1, None)]
     b = spark.createDataFrame(rows, "tx bigint, item string").repartition(8)
