@@ -481,3 +481,74 @@ def test_topics_go_over_blocks_of_documents(spark, monkeypatch):
     tops = [{r["term"] for r in got if r["topic"] == t} for t in (0, 1)]
     assert sorted(map(sorted, tops)) == [["blue", "green", "red"], ["one", "six", "two"]]
     assert all(abs(sum(r["weight"] for r in got if r["topic"] == t) - 1) < 0.3 for t in (0, 1))
+
+
+def test_huffman_paths_by_runs():
+    import heapq
+
+    from tarnstone.operators.word_vectors import HuffmanPaths
+
+    rng = np.random.default_rng(1)
+    for v in (1, 2, 3, 50, 377):
+        counts = np.sort(rng.zipf(1.5, v).clip(1, 5000))[::-1]
+        tree = HuffmanPaths(list(zip(*map(np.ndarray.tolist, np.unique(counts, return_counts=True)), strict=True)))
+        ends, nodes, codes = tree.of(np.arange(v))
+        heap, least = sorted(counts.tolist()), 0
+        while len(heap) > 1:
+            heapq.heappush(heap, both := heapq.heappop(heap) + heapq.heappop(heap))
+            least += both
+        length = np.diff(ends, prepend=0)
+        assert (length * counts).sum() == least and set(nodes) == set(range(v, 2 * v - 1))
+        assert len({tuple(codes[e - n : e]) for e, n in zip(ends, length, strict=True)}) == v
+
+
+def test_word_vector_steps():
+    from tarnstone.operators import word_vectors
+
+    counts = np.array([9, 7, 4, 4, 2, 1])
+    tree = word_vectors.HuffmanPaths([(9, 1), (7, 1), (4, 2), (2, 1), (1, 1)])
+    ends, nodes, codes = tree.of(np.arange(6))
+    rng = np.random.default_rng(2)
+    text, sentence = np.repeat(np.arange(6), counts), np.arange(27) // 10
+    rng.shuffle(text)
+    start = rng.normal(size=(11, 5)).astype("float32")
+    start[0] *= 9  # products beyond MAX_EXP
+    got = start.copy()
+    reached = word_vectors.train(got, text, sentence, (ends, nodes, codes), 3, lambda at: 0.05, np.random.default_rng(5))
+    want, reach = start.astype("float64"), 3 - np.random.default_rng(5).integers(0, 3, 27)
+    for low in range(0, 27, word_vectors.STEP):
+        add = np.zeros_like(want)
+        for p in range(low, min(27, low + word_vectors.STEP)):
+            for q in range(max(0, p - reach[p]), min(27, p + reach[p] + 1)):
+                if q != p and sentence[q] == sentence[p]:
+                    for at in range(ends[text[p] - 1] if text[p] else 0, ends[text[p]]):
+                        f = want[text[q]] @ want[nodes[at]]
+                        if abs(f) < word_vectors.MAX_EXP:
+                            g = (1 - codes[at] - 1 / (1 + np.exp(-f))) * 0.05
+                            add[text[q]] += g * want[nodes[at]]
+                            add[nodes[at]] += g * want[text[q]]
+        want += add
+    assert reached.all() and np.allclose(got, want, atol=1e-4)
+
+
+def test_mail_vocabulary_stays_in_executors(spark, monkeypatch):
+    from pyspark.ml.functions import vector_to_array
+
+    from tarnstone.operators import learners, word_vectors
+
+    monkeypatch.setattr(word_vectors, "CHUNK", 2000)
+    rng = np.random.default_rng(3)
+    rows = [("ab"[i % 2], [f"{'xy'[i % 2]}{w}" for w in rng.zipf(1.6, 20).clip(1, 60)] + [f"once{i}"]) for i in range(400)] + [("a", []), ("b", None), ("a", ["x1"])]
+    messages = spark.createDataFrame(rows, "label string, message array<string>")
+    model, predict = learners.train_mail(messages, size=16, layers=(8,), iterations=40)
+    words = model.stages[1]
+    assert not hasattr(words, "_java_obj")  # MLlib's model has every word and vector on the driver
+    vectors = {r["word"]: np.array(r["v"]) for r in words.getVectors().select("word", vector_to_array("vector").alias("v")).collect()}
+    assert set(vectors) == {w for _, m in rows for w in m or ()}
+    near = lambda a, b: vectors[a] @ vectors[b] / np.linalg.norm(vectors[a]) / np.linalg.norm(vectors[b])
+    assert near("x1", "x2") > near("x1", "y1") + 0.3 and near("y1", "y2") > near("y1", "x2") + 0.3
+    out = predict(messages).select("label", "predicted", "message", vector_to_array("features").alias("f")).collect()
+    assert sorted((r["label"], r["message"] or []) for r in out) == sorted((k, m or []) for k, m in rows)
+    for r in out:
+        assert np.allclose(r["f"], np.mean([vectors[w] for w in r["message"]], axis=0) if r["message"] else 0, atol=1e-6)
+    assert sum(r["label"] == r["predicted"] for r in out) >= 400
